@@ -9,10 +9,10 @@
 3. Global order of the shared shingles: rarest first, then by hash. Two linked sets share one
    of the first n - ceil(0.75 n) + 1 shingles each (those in one class only come before all).
 4. Pairs. Classes that share such a shingle form a bucket. First every member is paired with
-   two pivots of its bucket only, in as many rounds as still merge much; components come of
-   the links found. Then, in buckets that still hold several components, pairs between
-   different components are made, all of them: no link is lost, and a large group of near
-   copies costs rows in proportion to its size, not to its square.
+   two pivots of its bucket only, in `PIVOT_ROUNDS` rounds; components come of the links found.
+   Then, in buckets that still hold several components, all pairs between different components
+   are compared, block by block: no link is lost, and a large group of near copies costs rows
+   in proportion to its size, not to its square.
 5. Second vertical cut: the global order is cut at quantiles into fragments. For each pair the
    partial overlap of each fragment is counted separately, and summed per pair.
 
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ WORDS = 5
 PERCENT = 75
 BLOCK_SHINGLES = 1 << 21
 CUTS = 4
+PIVOT_ROUNDS = 2
+BLOCK_DOCUMENTS = 192
 LOW_BITS = 40
 MAX_DF = (1 << 15) - 1
 
@@ -278,6 +280,92 @@ def links(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     return summed.where(F.col("overlap") * 100 >= PERCENT * (F.col("nx") + F.col("ny") - F.col("overlap"))).select("x", "y")
 
 
+def pivot_pairs(labelled: DataFrame, seed: int) -> DataFrame:
+    """x, y: every member of a bucket with the two members of least and greatest seeded hash, unless it shares their component. Rows grow with the buckets' sizes."""
+    who = F.struct("rid", "n", "comp")
+    pivots = labelled.groupBy("gram").agg(F.min_by(who, F.xxhash64("rid", F.lit(seed))).alias("p"), F.max_by(who, F.xxhash64("rid", F.lit(seed))).alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    met = labelled.join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where("p.comp <> comp").where(_close("n", "p.n"))
+    return met.select(F.least("rid", "p.rid").alias("x"), F.greatest("rid", "p.rid").alias("y")).distinct()
+
+
+def _close(a: str, b: str) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def block_links(work: Workspace, labelled: DataFrame, segs: DataFrame) -> DataFrame:
+    """x, y: labels of different components with a link between them, found among all pairs that share a bucket.
+
+    Documents of open buckets (those with several components) are put into blocks of about
+    `BLOCK_DOCUMENTS`: each large component makes its own blocks, other documents go by their
+    most common open shingle. Blocks that meet in a bucket are compared as a whole: a row is
+    a pair of blocks and a fragment, its result a matrix of partial overlaps; the matrices of a
+    pair of blocks are summed. Only pairs of blocks of one and the same component are left out.
+    """
+    mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("gram", "m")
+    met = work.save(labelled.join(mixed, "gram"), "open")
+    docs = met.groupBy("rid", "n", "comp").agg(F.max(F.struct("m", "gram"))["gram"].alias("gram"))
+    of_comp = docs.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_DOCUMENTS // 4)
+    docs = docs.join(of_comp.select("comp", F.lit(True).alias("pure")), "comp", "left").withColumn("pure", F.coalesce("pure", F.lit(False)))
+    docs = docs.withColumn("place", F.when(F.col("pure"), F.col("comp")).otherwise(F.col("gram"))).select("rid", "n", "comp", "pure", "place")
+    docs = work.save(docs, "open-documents")
+    pieces = docs.groupBy("pure", "place").agg(F.ceil(F.count("*") / BLOCK_DOCUMENTS).alias("pieces"))
+    blocks = docs.join(pieces, ["pure", "place"]).withColumn("block", F.xxhash64("pure", "place", F.pmod(F.xxhash64("rid"), "pieces")))
+    blocks = blocks.groupBy("block", "pure").agg(F.sort_array(F.collect_list(F.struct("rid", "n", "comp"))).alias("members"))
+    blocks = work.save(blocks, "blocks")
+    inside = blocks.select("block", F.when(F.col("pure"), F.col("members")[0]["comp"]).alias("only"), F.size("members").alias("size"), F.posexplode("members").alias("i", "m"))
+    inside = work.save(inside.select("block", "only", "size", "i", "m.rid"), "inside")
+    packed = inside.join(segs, "rid").groupBy("block", "fragment").agg(F.collect_list(F.struct("i", "segment")).alias("sets"))
+    packed = work.save(packed, "packed")
+
+    at = met.select("gram", "rid").join(inside, "rid").select("gram", "block", "only", "size").distinct()
+    a, b = (at.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "only", "size"))) for s in "ab")
+    first = F.struct("size_a", "block_a") <= F.struct("size_b", "block_b")
+    same = F.coalesce(F.col("only_a") == F.col("only_b"), F.lit(False))
+    # the smaller block travels to the larger
+    pairs = a.join(b, "gram").where(first & ~same).select("block_a", "size_a", "block_b", "size_b").distinct()
+    pairs = work.save(pairs, "block-pairs")
+    left = pairs.join(packed.select(F.col("block").alias("block_a"), "fragment", F.col("sets").alias("sets_a")), "block_a")
+    both = left.join(packed.select(F.col("block").alias("block_b"), "fragment", F.col("sets").alias("sets_b")), ["block_b", "fragment"])
+    partial = both.select("block_a", "block_b", _matrix("size_a", "sets_a", "size_b", "sets_b").alias("matrix"))
+    # at most one matrix a fragment
+    summed = partial.groupBy("block_a", "block_b").agg(F.collect_list("matrix").alias("matrices"))
+    named = summed.join(blocks.select(F.col("block").alias("block_a"), F.col("members").alias("a")), "block_a").join(blocks.select(F.col("block").alias("block_b"), F.col("members").alias("b")), "block_b")
+    return named.select(F.explode(_linked("matrices", "a.n", "a.comp", "b.n", "b.comp")).alias("l")).select("l.x", "l.y").distinct()
+
+
+@F.pandas_udf(T.BinaryType())
+def _matrix(size_a: pd.Series, sets_a: pd.Series, size_b: pd.Series, sets_b: pd.Series) -> pd.Series:
+    """Overlaps of each set of a block with each set of another, uint32, row by row."""
+
+    def one(m: int, a: list, n: int, b: list) -> bytes:
+        out = np.zeros((m, n), np.uint32)
+        parts = [np.frombuffer(x["segment"], np.int64) for x in b]
+        grams, owner = np.concatenate(parts), np.repeat(np.array([x["i"] for x in b]), [len(p) for p in parts])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        for x in a:
+            g = np.frombuffer(x["segment"], np.int64)
+            lo, hi = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
+            k = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+            out[x["i"]] = np.bincount(owner[at], minlength=n)
+        return out.tobytes()
+
+    return pd.Series([one(*x) for x in zip(size_a, sets_a, size_b, sets_b)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])))
+def _linked(matrices: pd.Series, na: pd.Series, ca: pd.Series, nb: pd.Series, cb: pd.Series) -> pd.Series:
+    """Sums the partial overlaps and tells which components are linked, each pair of components once."""
+
+    def one(parts: list, n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> list:
+        overlap = np.sum([np.frombuffer(p, np.uint32).reshape(len(n), len(m)) for p in parts], axis=0, dtype=np.int64)
+        i, j = np.nonzero((100 * overlap >= PERCENT * (n[:, None] + m[None, :] - overlap)) & (a[:, None] != b[None, :]))
+        return [{"x": int(x), "y": int(y)} for x, y in {(min(x, y), max(x, y)) for x, y in zip(a[i], b[j])}]
+
+    return pd.Series([one(p, *map(np.asarray, rest)) for p, *rest in zip(matrices, na, ca, nb, cb)], dtype=object)
+
+
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """node, comp: comp is the least node reachable. Rounds of hooking each node to its least neighbour, then relabelling both tables."""
     edges = work.save(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), f"{name}-edges-0")
@@ -285,10 +373,10 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     k = 0
     while not edges.isEmpty():
         k += 1
-        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hook = work.save(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("to")), f"{name}-hook-{k}")
+        both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
+        hook = work.save(both.groupBy("e.x").agg(F.least(F.min("e.y"), F.first("e.x")).alias("to")), f"{name}-hook-{k}")
         # follow two hooks at once
-        far = hook.alias("a").join(hook.alias("b"), F.col("a.to") == F.col("b.x"), "left").select(F.col("a.x").alias("x"), F.coalesce("b.to", "a.to").alias("to"))
+        far = hook.alias("a").join(hook.alias("b"), F.col("a.to") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.to").alias("to"))
         far = work.save(far, f"{name}-far-{k}")
         next_labels = labels.join(far, labels.comp == far.x, "left").select("node", F.coalesce("to", "comp").alias("comp"))
         labels = work.save(next_labels, f"{name}-labels-{k}")
@@ -299,7 +387,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", pivot_rounds: int = 4) -> DataFrame:
+def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Per row of df: key, n_shingles, component_id."""
     spark = df.sparkSession
     work = Workspace(spark, "jaccard")
@@ -317,47 +405,23 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     entries = work.save(prefixes(alive), "entries")
     work.drop("alive")
 
-    found = work.save(spark.createDataFrame([], "x bigint, y bigint"), "links-0")
-    tested, comps = found, None
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    for k in range(1, pivot_rounds + 2):
-        labelled = entries.withColumn("comp", F.col("rid")) if comps is None else entries.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        labelled = work.save(labelled, f"labelled-{k}")
-        groups = labelled.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-        mixed = groups.groupBy("gram").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("sq")).where("comps > 1")
-        mixed = work.save(mixed, f"mixed-{k}")
-        cost = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), F.sum("m").alias("entries")).first()
-        if not cost["pairs"]:
-            break
-        open_entries = labelled.join(mixed.select("gram"), "gram", "left_semi")
-        last = k > pivot_rounds or cost["pairs"] <= 4 * cost["entries"]
-        if last:
-            # every pair between different components of a bucket
-            by_comp = open_entries.groupBy("gram", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            a, b = (by_comp.select("gram", F.col("comp").alias(f"c{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "ab")
-            met = a.join(b, "gram").where("ca < cb").where(f"100 * hia >= {PERCENT} * lob and 100 * hib >= {PERCENT} * loa").select("gram", "ca", "cb")
-            one = open_entries.select("gram", F.col("comp").alias("ca"), F.col("rid").alias("ra"), F.col("n").alias("na"))
-            two = open_entries.select("gram", F.col("comp").alias("cb"), F.col("rid").alias("rb"), F.col("n").alias("nb"))
-            pairs = met.join(one, ["gram", "ca"]).join(two, ["gram", "cb"]).where(close).select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
-        else:
-            # each member with two pivots of its bucket, other ones each round
-            who = F.struct("rid", "n", "comp")
-            pivots = open_entries.groupBy("gram").agg(F.min_by(who, F.xxhash64("rid", F.lit(k))).alias("p"), F.max_by(who, F.xxhash64("rid", F.lit(k))).alias("q"))
-            met = open_entries.join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where("p.comp <> comp").withColumns({"na": F.col("n"), "nb": F.col("p.n")})
-            pairs = met.where(close).select(F.least("rid", "p.rid").alias("x"), F.greatest("rid", "p.rid").alias("y"))
-        pairs = work.save(pairs.distinct().join(tested, ["x", "y"], "left_anti"), f"pairs-{k}")
+    def labelled(comps: DataFrame) -> DataFrame:
+        return entries.join(comps.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+    comps = entries.select(F.col("rid").alias("node"), F.col("rid").alias("comp")).limit(0)
+    found = entries.select(F.col("rid").alias("x"), F.col("rid").alias("y")).limit(0)
+    for k in range(1, pivot_rounds + 1):
+        pairs = work.save(pivot_pairs(labelled(comps), k), f"pairs-{k}")
         found = work.save(found.unionByName(links(pairs, segs)), f"links-{k}")
-        tested = work.save(tested.unionByName(pairs), f"tested-{k}")
         comps = components(work, found, f"round-{k}")
-        work.drop(f"pairs-{k}", f"labelled-{k}", f"mixed-{k}")
-        if last:
-            break
-    work.drop("segments", "entries")
+        work.drop(f"pairs-{k}")
+    more = work.save(block_links(work, labelled(comps), segs), "block-links")
+    work.drop("segments", "entries", "open", "open-documents", "inside", "packed", "block-pairs", "blocks")
+    comps = components(work, found.unionByName(more), "all")
 
     least = classes.where("rid is not null").groupBy("rid").agg(F.min(key).alias("least"))
-    if comps is not None:
-        joined = least.join(comps, least.rid == comps.node, "left").withColumn("comp", F.coalesce("comp", "rid"))
-        least = joined.join(joined.groupBy("comp").agg(F.min("least").alias("root")), "comp").select("rid", F.col("root").alias("least"))
+    joined = least.join(comps, least.rid == comps.node, "left").withColumn("comp", F.coalesce("comp", "rid"))
+    least = joined.join(joined.groupBy("comp").agg(F.min("least").alias("root")), "comp").select("rid", F.col("root").alias("least"))
     return classes.join(least, "rid", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))
 
 
