@@ -5,7 +5,7 @@ three letters, interpolated). A document is a mixture of languages: expectation-
 finds the proportions from its words' likelihoods. The set of languages grows greedily, as
 long as the log-likelihood gains more than a penalty of `penalty` * ln(words) per language.
 
-Training reads labelled rows only, at most `sample_per_language` of each language (those with
+Training reads labelled rows only, at most `SAMPLE_PER_LANGUAGE` of each language (those with
 the least hash of their key); that bound is the parameter's. Prediction reads nothing but the
 text. Null texts and texts without a letter are `und` with score 0; with no labelled rows, so
 is every text. Words are maximal runs of letters, lower-cased; very long texts are worked
@@ -150,8 +150,14 @@ class Mixture:
 def sample(df: DataFrame, text: str, label: str, key: str, use: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most `per_language` labelled texts of each language, those with the least hash of their key. Texts aren't shuffled: keys are chosen first."""
     rows = df.where(use & F.col(label).isNotNull() & F.col(text).isNotNull())
+    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    # a hash below this lets through little more than the bound, so that no task ranks a whole language
+    most = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, (1.25 * per_language + 50) / n) * (1 << 32)))))
     order = Window.partitionBy("l").orderBy("h", "k")
-    ids = rows.select(F.col(label).alias("l"), F.col(key).alias("k"), F.xxhash64(key, F.lit(11)).alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    hashed = rows.select(F.col(label).alias("l"), F.col(key).alias("k"), F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 32)).alias("h")).where(F.col("h") < most[F.col("l")])
+    ids = hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     by_language: dict[str, set] = {}
     for r in ids.collect():
         by_language.setdefault(r["l"], set()).add(r["k"])
