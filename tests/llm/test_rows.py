@@ -1,0 +1,255 @@
+"""Secrets, media, rules, languages, shards and mixes against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomfield.llm import langid, media, mixing, quality, secrets, sharding
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def added_spans(t, base, model):
+    out, at = [], 0
+    gaps = []
+    for m in re.finditer(secrets.BASE.replace("((?i)", "((?i:").replace("key)", "key))"), t):
+        gaps.append((at, m.start()))
+        at = m.end()
+    for a, b in [*gaps, (at, len(t))]:
+        for m in re.finditer(secrets.RUN, t[a:b]):
+            s = m[0]
+            total = sum(model[ord(x) * 128 + ord(y)] for x, y in zip(s, s[1:]))
+            if total >= secrets.MIN_TOTAL and total >= secrets.MIN_MEAN * len(s) and not any(x < a + m.end() and a + m.start() < z for x, _, z in base):
+                out.append((a + m.start(), 3, a + m.end()))
+    return out
+
+
+def test_secrets(spark, docs, none):
+    model = secrets.train(secrets.labelled_samples(spark))
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r["doc_id"]].add(r["text"] or "")
+    names = ("assign", "access", "hex", "random")
+    told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+    want = set()
+    for d, some in texts.items():
+        for t in some:
+            base = base_spans(t)
+            n = Counter(k for _, k, _ in base)
+            everything = sorted(base + added_spans(t, base, model))
+            want.add((d, n[0], n[1], n[2], hashlib.sha256(told(base).encode()).hexdigest(), told(everything), len(everything) - len(base)))
+    got = secrets.scan(docs)
+    assert {tuple(r) for r in got.collect()} == want
+    assert got.count() == docs.count()
+    assert secrets.scan(none).count() == 0
+    by = {r["doc_id"]: r["spans"] for r in got.collect()}
+    assert by[19].startswith("random:4:") and by[20] == ""
+
+
+def test_models_tell_held_out_samples_apart(spark):
+    model = secrets.train(secrets.labelled_samples(spark, 2000))
+    rows = secrets.labelled_samples(spark, 3000).collect()[2000:3000] + secrets.labelled_samples(spark, 3000).collect()[5000:]
+    score = lambda s: sum(model[ord(a) * 128 + ord(b)] for a, b in zip(s, s[1:]))
+    right = sum((score(r["text"]) >= max(secrets.MIN_TOTAL, secrets.MIN_MEAN * len(r["text"]))) == r["secret"] for r in rows)
+    assert right / len(rows) > 0.97
+
+
+def test_redact(spark, docs):
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] is not None}
+    assert got[15] == "[SECRET]\" token:abc" or "hunter2" not in got[15]
+    assert got[16] == "key [SECRET] end" and got[17] == "[SECRET]" and got[19] == "see [SECRET] there"
+    assert got[7] is None and got[20] == "user_session_token_manager_factory_instance"
+    assert secrets.redact(docs).columns == docs.columns
+
+
+def rules_of(t):
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    at = defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i : i + 5])].append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules(docs, none):
+    got = quality.cascade(docs).collect()
+    want = Counter((r["doc_id"], *rules_of(r["text"] or "")) for r in docs.collect())
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert r["kept"] == (r["rejected_by"] is None) and (not r["base_failed"] or r["rejected_by"] == "base")
+    assert quality.cascade(none).count() == 0
+
+
+def test_order_of_rules_changes_no_verdict(docs):
+    kept = lambda order: Counter((r["doc_id"], r["kept"]) for r in quality.cascade(docs, order=order).collect())
+    assert kept(list(quality.RULES)) == kept(list(reversed(quality.RULES)))
+    rates = [e.rate for e in quality.estimate(docs, "text")]
+    assert rates == sorted(rates, reverse=True)
+
+
+@pytest.mark.parametrize("sep", ["\n", " "])
+def test_junk_goes_and_prose_stays(spark, sep):
+    rows = [(1, sep.join(f"The quiet river number {i} runs past a mill." for i in "abcdefghijklmnop")), (2, "WORDS SHOUTED AT EVERYONE WITHOUT ANY PAUSE OR REASON GIVEN TODAY FRIENDS"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (4, "buy### now$$$ cheap%%% deal&&& win*** free||| go<<< act>>> top### best$$$ last%%% one")]
+    got = {r["doc_id"]: r["kept"] for r in quality.cascade(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2] is False and got[3] is False and got[4] is False
+
+
+def test_languages(spark, docs, none):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(d)
+    out = langid.identify(d.where(langid.held_out()), model, keep=["doc_id", "lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in out)
+    odd = langid.identify(docs, model, keep=["doc_id"])
+    assert odd.count() == docs.count()
+    assert {r["doc_id"]: r["lang_pred"] for r in odd.collect()}[6] == "und"
+    assert langid.identify(none, model).count() == 0
+    assert langid.identify(docs, langid.train(none), keep=["doc_id"]).where("lang_pred <> 'und'").count() == 0
+    # nothing is learnt from the held-out fold or from unlabelled rows
+    assert langid.sample(d.where(langid.held_out()), "text", "lang", "doc_id", ~langid.held_out()) == []
+
+
+def test_mixture_finds_two_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = d.where("lang IN ('en', 'fr') AND n_chars > 2000").select("text", "lang").collect()
+    model = langid.train(d)
+    en, fr = (next(r["text"] for r in rows if r["lang"] == x)[:2000] for x in ("en", "fr"))
+    lang, score, shares = model.infer(en + "\n" + fr)
+    assert set(shares) == {"en", "fr"} and abs(sum(shares.values()) - 1) < 1e-6 and 0.3 < shares["en"] < 0.7
+
+
+def test_images():
+    rgb = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    assert (media.decode(b"P6\n# a comment\n3 2\n255\n" + rgb.tobytes()) == rgb).all()
+    assert media.decode(b"P2 2 1 9 4 7").tolist() == [[4, 7]]
+    assert media.decode(b"P1 3 1 1 0 1").tolist() == media.decode(b"P4 3 1\n\xa0").tolist() == [[0, 255, 0]]
+    assert media.decode(b"P5 1 1 65535\n\x01\x02").tolist() == [[258]]
+    rows = b"".join(rgb[y, :, ::-1].tobytes() + bytes(-9 % 4) for y in (1, 0))
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 24, 0, len(rows), 0, 0, 0, 0)
+    assert (media.decode(bmp + rows) == rgb).all()
+    gray = bytes(x for i in range(256) for x in (i, i, i, 0))
+    bmp8 = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 1024) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 8, 0, 0, 0, 0, 256, 0) + gray + b"\x05\x06\0\0"
+    assert media.decode(bmp8).tolist() == [[5, 6]]
+    for bad in (b"", b"P5 2 2 255\n\x00", b"BM", b"GIF89a", b"P9 1 1 1"):
+        with pytest.raises(media.BadImage):
+            media.decode(bad)
+
+
+def test_area_means(monkeypatch):
+    monkeypatch.setattr(media, "BAND_ROWS", 3)
+    r = np.random.default_rng(1)
+    for h, w, oh, ow in ((8, 8, 4, 4), (7, 5, 3, 2), (2, 3, 5, 7), (11, 64, 8, 9), (1, 1, 3, 3)):
+        a = r.integers(0, 256, (h, w), dtype=np.uint8)
+        big = np.repeat(np.repeat(a.astype(np.int64), oh, 0), ow, 1)
+        want = big.reshape(oh, h, ow, w).sum(axis=(1, 3))
+        assert (media.area_resize(a, oh, ow) == (2 * want + h * w) // (2 * h * w)).all()
+
+
+def test_text_media(docs, none):
+    for r in media.text_media(docs, with_tiles=True).collect():
+        raw = media.decode(bytes(r["media"])).tobytes()
+        assert len(raw) == r["payload_bytes"] > 0 and len(raw) % 64 == 0 and hashlib.sha256(raw).hexdigest() == r["payload_sha256"]
+        assert zlib.crc32(raw[-64:]) == r["tail_crc32"] and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and not any(raw[r["n_bytes"] :])
+        tile = np.load(io.BytesIO(bytes(r["tiles"][0])))
+        assert tile.shape == (32, 32) and len(r["tiles"]) == r["n_tiles"] == 4
+    texts = Counter((x["doc_id"], (x["text"] or "").encode()) for x in docs.collect())
+    got = Counter((r["doc_id"], media.decode(bytes(r["media"])).tobytes()[: r["n_bytes"]]) for r in media.text_media(docs, with_tiles=True).collect())
+    assert got == texts
+    assert media.text_media(none).count() == 0
+
+
+def test_image_table(spark):
+    rows = [(1, b"P5 2 2 255\n\x00\x10\x20\x30"), (2, None), (3, b"junk"), (4, b"P6 1 1 255\n\x01\x02\x03")]
+    got = {r["image_id"]: r for r in media.image_tiles(spark.createDataFrame(rows, "image_id int, image binary")).collect()}
+    assert (got[1]["height"], got[1]["channels"], got[4]["channels"]) == (2, 1, 3) and len(got[1]["dhash"]) == 16
+    assert got[2]["error"] is None and got[2]["tiles"] is None and got[3]["error"]
+
+
+@pytest.mark.parametrize(("n", "bits"), [(2, 3), (3, 2), (4, 2)])
+def test_curve_visits_neighbours(spark, n, bits):
+    side = 1 << bits
+    cells = spark.range(side**n).select(*(F.floor(F.col("id") / side**k % side).cast("int").alias(f"d{k}") for k in range(n)))
+    rows = cells.select("*", sharding.curve_index([F.col(f"d{k}") for k in range(n)], bits).alias("h")).orderBy("h").collect()
+    assert [r["h"] for r in rows] == list(range(side**n))
+    for a, b in zip(rows, rows[1:]):
+        assert sum(abs(a[k] - b[k]) for k in range(n)) == 1
+
+
+def test_shards(docs, none):
+    got = sharding.hilbert_shards(docs).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) == set(range(16)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    order = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)
+    assert sharding.hilbert_shards(none).count() == 0
+
+
+def test_written_shards(spark, docs, tmp_path):
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    sharding.write_shards(named.drop("shard"), sharding.hilbert_shards(named), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == named.count() and back.select("shard").distinct().count() == 16
+
+
+def filled(sizes, weights, budget, cap):
+    """Clamp, share the rest again, until none is above."""
+    out, free = {}, dict(weights)
+    while free:
+        level = (budget - sum(out.values())) / sum(free.values())
+        above = [s for s in free if level * free[s] > cap * sizes[s]]
+        if not above:
+            return out | {s: level * w for s, w in free.items()}
+        for s in above:
+            out[s] = cap * sizes[s]
+            del free[s]
+    return out
+
+
+def test_mix_targets(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(d).select("doc_id", "source", "text", "__mix.*").collect()
+    sizes: Counter = Counter()
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r["text"])) and 0 <= r["copies"] <= 2
+        sizes[r["source"]] += r["size"]
+    names = sorted(sizes, key=lambda s: s.encode())
+    want = filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(sizes.values()), 2)
+    taken: Counter = Counter()
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 1 for s in names)
+    again = {r["doc_id"]: r["copies"] for r in mixing.mix(d.repartition(5)).select("doc_id", "__mix.copies").collect()}
+    assert again == {r["doc_id"]: r["copies"] for r in rows}
+
+
+def test_mix_of_odd_rows(docs, none):
+    rows = mixing.mix(docs).select("doc_id", "source", F.col("__mix.size").alias("words"), "__mix.copies").collect()
+    assert len(rows) == docs.count() and {r["source"] for r in rows} == {"a", "b", None}
+    assert all(r["copies"] <= 2 for r in rows)
+    assert mixing.repeat(mixing.mix(docs)).columns == docs.columns
+    assert mixing.mix(none).count() == 0
