@@ -199,9 +199,9 @@ def mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.mixed(dirty(spark, sf_dir), TEXTS)
 
 
-@query("WITH q AS (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q) SELECT l_returnflag, n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(lo, 4) AS lower, round(hi, 4) AS upper, (SELECT count(*) FROM lineitem l WHERE l.l_returnflag = f.l_returnflag AND (l_extendedprice < lo OR l_extendedprice > hi)) AS flagged, 'flagged_not_modified' AS state FROM f")
+@query("WITH q AS (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q) SELECT l_returnflag, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS lower, round(hi, 6) AS upper, (SELECT count(*) FROM lineitem l WHERE l.l_returnflag = f.l_returnflag AND (l_extendedprice < lo OR l_extendedprice > hi)) AS flagged, 'flagged_not_modified' AS state FROM f")
 def outliers_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: F.round(c, 6).alias(c)  # noqa: E731  prices have two decimals, so fences have five; fewer would cut at a tie
     return P.outliers(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", *map(r, ("q1", "median", "q3", "lower", "upper")), "flagged", "state")
 
 
