@@ -20,7 +20,9 @@ Components come from rounds of hooking to the least neighbour and relabelling, a
 
 Documents without words, and null texts, have no shingles and no links. Repeated rows are
 equal sets. Rows without a key take part; a component's id is its smallest non-null key, null
-if it has none. Shared shingles are compared by 40 bits of hash besides the fragment's number.
+if it has none. Within the join a shingle is its document
+frequency and 48 bits of its hash, of which two sets of a thousand shingles confuse any two with a
+probability below 1e-8; a set is known by 64 bits.
 """
 
 from __future__ import annotations
