@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.model import APPROVALS, MARKS
+from loomfield.model import APPROVALS, MARKS, THEME_COLOURS
 
 NBSP = "\u00a0"
 BLANK = "[ \\t\\r\\n]"
@@ -216,3 +216,8 @@ def range_corners(c: Column) -> Column:
 
 def is_optional(question: Column) -> Column:
     return F.contains(question, F.lit("(optional)"))
+
+
+def theme_colour(theme: Column) -> Column:
+    """Null for a theme that isn't listed."""
+    return F.create_map(*(F.lit(x) for kv in THEME_COLOURS.items() for x in kv))[theme]

@@ -23,6 +23,8 @@ REPORT_SHEETS = ("Summary", "Sheet Statistics", "Missing Values", "Duplicate Row
 LOG_KEYS = ("schema_version", "status", "run", "input", "output", "packaged_replay_script", "workbook_inspection", "rules", "changes", "quality_findings", "validation", "warnings", "errors")
 APPROVALS = ("ok", "yes", "gửi", "approved")
 MARKS = {"NEW": "🔵", "REPEAT": "🌐", "ABSENT": "⚪️"}
+#: Fill of each theme's cell.
+THEME_COLOURS = {"0. Warm-up": "#E5E7EB", "1. Awareness": "#D9F0C2", "2. Consideration": "#CFE8F8", "3. Decision Making": "#FFE7A8", "4. Usage": "#FFD2B8", "5. Advocacy": "#E5D1F4"}
 #: Canonical column names of mapped transcripts and questionnaires.
 ALIASES = {"#": "question_no", "STT": "question_no", "Theme": "theme", "Giai đoạn": "theme", "Question": "question", "Câu hỏi": "question", "Observed Variable": "targets", "Mục tiêu / Chủ đề khai thác": "targets", "Response": "response", "Topic": "topic"}
 

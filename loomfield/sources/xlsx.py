@@ -145,8 +145,11 @@ def used_range(cells: DataFrame, address: str, sheet: str | None = None) -> Data
     return rows if sheet is None else rows.where(rows.sheet == sheet)
 
 
-def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = ()) -> bytes:
-    """A workbook of rows of values: text, numbers, booleans, None, and formulas as text that begins with =. The same input gives the same bytes."""
+def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = (), frozen_rows: dict[str, int] | None = None, lists: dict[str, tuple[str, list[str]]] | None = None) -> bytes:
+    """A workbook of rows of values: text, numbers, booleans, None, and formulas as text that begins with =. The same input gives the same bytes.
+
+    frozen_rows: rows that stay in view, by sheet; lists: a range and the values that its cells may have, by sheet.
+    """
 
     def cell(r: int, c: int, v: object) -> str:
         at = f'r="{column_name(c)}{r}"'
@@ -174,9 +177,21 @@ def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list
         body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>" for r, row in enumerate(rows, 1))
         boxes = (merges or {}).get(name, [])
         joined = f'<mergeCells count="{len(boxes)}">' + "".join(f'<mergeCell ref="{b}"/>' for b in boxes) + "</mergeCells>" if boxes else ""
-        files[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData>{joined}</worksheet>'
+        n = (frozen_rows or {}).get(name, 0)
+        view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{n}" topLeftCell="A{n + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if n else ""
+        span, values = (lists or {}).get(name, ("", []))
+        allowed = f'<dataValidations count="1"><dataValidation type="list" sqref="{span}"><formula1>{escape(chr(34) + ",".join(values) + chr(34))}</formula1></dataValidation></dataValidations>' if span else ""
+        files[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}">{view}<sheetData>{body}</sheetData>{joined}{allowed}</worksheet>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for path, text in files.items():
             z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), text)
     return out.getvalue()
+
+
+def write_questionnaire(rows: list[tuple[int, str, str, str]], title: str, source: str = "", sheet: str = "Questionnaire") -> bytes:
+    """The questionnaire's workbook: a merged title and source, headers in the fourth row, which stays in view, and a list of themes to choose from."""
+    from loomfield.model import THEMES
+
+    table = [[title], [source or None], [], ["STT", "Giai đoạn", "Câu hỏi", "Mục tiêu / Chủ đề khai thác"], *map(list, rows)]
+    return write_workbook({sheet: table}, {sheet: ["A1:D1", "A2:D2"]}, frozen_rows={sheet: 4}, lists={sheet: (f"B5:B{len(rows) + 4}", list(THEMES))})

@@ -18,7 +18,7 @@ CASES = [
     (T.mark_of, "🔵", "NEW"), (T.mark_of, "🌐", "REPEAT"), (T.mark_of, "⚪️", "ABSENT"), (T.mark_of, "⚪", "ABSENT"), (T.symbol_of, "NEW", "🔵"), (T.bare_label, "**🔵 New Insights**", "New Insights"),
     (T.score_num, "9/10", 9), (T.score_den, "9/10", 10), (T.score_num, "n/a", None), (T.fenced_block, "x\n```markdown\na\nb\n```\ny", "a\nb"), (T.fenced_block, " plain ", "plain"),
     (T.is_approval, " GỬI ", True), (T.is_approval, "no", False), (T.path_stem, "/a/b/Ann.v2.MP3", "Ann.v2"), (T.path_extension, "/a/b/x.XLSX", ".xlsx"), (T.slug, "Decision Making", "decision-making"),
-    (T.seconds_of, "01:02:03", 3723), (T.seconds_of, "02:03", 123), (T.rating_of, "an 8 of 10", 8), (T.rating_of, "none", None), (T.column_number, "AA", 27), (T.is_optional, "Why? (optional)", True),
+    (T.seconds_of, "01:02:03", 3723), (T.seconds_of, "02:03", 123), (T.rating_of, "an 8 of 10", 8), (T.rating_of, "none", None), (T.column_number, "AA", 27), (T.is_optional, "Why? (optional)", True), (T.theme_colour, "4. Usage", "#FFD2B8"), (T.theme_colour, "x", None),
 ]
 
 
