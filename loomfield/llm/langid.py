@@ -6,7 +6,8 @@ finds the proportions from its words' likelihoods. The set of languages grows gr
 long as the log-likelihood gains more than a penalty of `penalty` * ln(words) per language.
 
 Training reads labelled rows only, at most `SAMPLE_PER_LANGUAGE` of each language (those with
-the least hash of their key; rows without a key teach nothing); that bound is the parameter's. Prediction reads nothing but the
+the least hash of their key; rows without a key, and texts over
+`SAMPLE_CHARS` characters, teach nothing); these bounds are parameters. Prediction reads nothing but the
 text. Null texts and texts without a letter are `und` with score 0; with no labelled rows, so
 is every text. Words are maximal runs of letters, lower-cased; very long texts are worked
 through in blocks. Ties go to the first language by name. Repeated rows stay, an empty table
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SAMPLE_PER_LANGUAGE = 400
+SAMPLE_CHARS = 200_000
 BUCKETS = 1 << 17
 WEIGHTS = (0.1, 0.3, 0.6)
 PENALTY = 3.0
@@ -149,7 +151,7 @@ class Mixture:
 
 def sample(df: DataFrame, text: str, label: str, key: str, use: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most `per_language` labelled texts of each language, those with the least hash of their key. Texts aren't shuffled: keys are chosen first."""
-    rows = df.where(use & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    rows = df.where(use & F.col(label).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
     counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from loomfield.llm.common import WORD
 
 SAMPLE_ROWS = 256
+SAMPLE_CHARS = 100_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -107,9 +108,9 @@ class Estimate:
 
 
 def estimate(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost a row and share of rejections of each rule, over at most `rows` rows, best rejection per cost first; ties keep the given order."""
+    """Cost a row and share of rejections of each rule, over at most `rows` rows of at most `SAMPLE_CHARS` characters, best rejection per cost first; ties keep the given order."""
     # take() reads as few partitions as it needs; a limit below an aggregation would gather some rows of each in one task
-    texts = [r["t"] for r in df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).take(rows)]
+    texts = [r["t"] for r in df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS).take(rows)]
     some = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, texts)).cast("array<string>")).alias("t")).withColumn("m", measures(F.col("t")))
     s = some.agg(F.count("*").alias("n"), F.avg(F.length("t")).alias("chars"), F.avg("m.n_words").alias("words"), *(F.avg(F.when(F.coalesce(r.reject(F.col("t"), F.col("m")), F.lit(False)), 1.0).otherwise(0.0)).alias(f"r{i}") for i, r in enumerate(rules))).first()
     found = [Estimate(r, r.fixed + r.per_char * (s["chars"] or 0) + r.per_word * (s["words"] or 0), s[f"r{i}"] or 0.0) for i, r in enumerate(rules)]
