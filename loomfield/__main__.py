@@ -20,7 +20,7 @@ def main(args: list[str]) -> int:
             from loomfield.plans.publish import check_input, clean_workbook
 
             check_input(path)
-            result = clean_workbook(session(), path, os.path.join(os.path.dirname(path), f"{os.path.splitext(os.path.basename(path))[0]}_cleaned"))
+            result = clean_workbook(session(), path, os.path.splitext(path)[0])
         else:
             from loomfield.plans import workflow
 

@@ -1,4 +1,4 @@
-"""Workbooks: a reader into the long cell relation, and a plain writer, on zip and XML from the standard library.
+"""Workbooks: a reader into the long cell relation, a plain writer, and edits in place, on zip and XML from the standard library.
 
 Files are read as bytes by Spark, so any store that it reads will do; one workbook is one task's work.
 Formulas stay text. Dates are numbers whose style has a date format. Unknown parts are ignored.
@@ -145,8 +145,8 @@ def used_range(cells: DataFrame, address: str, sheet: str | None = None) -> Data
     return rows if sheet is None else rows.where(rows.sheet == sheet)
 
 
-def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = (), frozen_rows: dict[str, int] | None = None, lists: dict[str, tuple[str, list[str]]] | None = None) -> bytes:
-    """A workbook of rows of values: text, numbers, booleans, None, and formulas as text that begins with =. The same input gives the same bytes.
+def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = (), frozen_rows: dict[str, int] | None = None, lists: dict[str, tuple[str, list[str]]] | None = None, formulas: bool = True) -> bytes:
+    """A workbook of rows of values: text, numbers, booleans, None, and (unless `formulas` is off) formulas as text that begins with =. The same input gives the same bytes.
 
     frozen_rows: rows that stay in view, by sheet; lists: a range and the values that its cells may have, by sheet.
     """
@@ -159,7 +159,7 @@ def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list
             return f'<c {at} t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
             return f"<c {at}><v>{v!r}</v></c>"
-        if str(v).startswith("="):
+        if formulas and str(v).startswith("="):
             return f"<c {at}><f>{escape(str(v)[1:])}</f></c>"
         return f'<c {at} t="inlineStr"><is><t xml:space="preserve">{escape(str(v)).replace(chr(13), "&#13;")}</t></is></c>'
 
@@ -182,13 +182,99 @@ def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list
         span, values = (lists or {}).get(name, ("", []))
         allowed = f'<dataValidations count="1"><dataValidation type="list" sqref="{span}"><formula1>{escape(chr(34) + ",".join(values) + chr(34))}</formula1></dataValidation></dataValidations>' if span else ""
         files[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}">{view}<sheetData>{body}</sheetData>{joined}{allowed}</worksheet>'
+    return _zipped(files)
+
+
+def _zipped(files: dict[str, str] | dict[str, bytes]) -> bytes:
+    """The same files give the same bytes."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for path, text in files.items():
-            z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), text)
+        for path, content in files.items():
+            z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
+ROW = re.compile(r"<((?:\w+:)?)row(?=[\s/>])([^>]*?)(?:/>|>(.*?)</\1row>)", re.S)
+CELL = re.compile(r"<((?:\w+:)?)c(?=[\s/>])([^>]*?)(?:/>|>(.*?)</\1c>)", re.S)
+PLACE = re.compile(r"""(?<=\sr=["'])[^"']+""")
+FORMULA = re.compile(r"<(?:\w+:)?f[\s/>]")
+#: A formula that other cells take theirs from.
+SHARED_FORMULA = re.compile(r"<(?:\w+:)?f\s[^>]*\bref=")
+#: What is bound to addresses: rows above or within it don't move.
+BOUND = re.compile(r"<(?:\w+:)?(?:f|mergeCells|autoFilter|tableParts|conditionalFormatting|dataValidations|hyperlinks|drawing|legacyDrawing|rowBreaks|extLst)[\s/>]")
+
+
+def edit_workbook(raw: bytes, texts: dict[str, dict[tuple[int, int], str]], gone: dict[str, set[int]]) -> bytes:
+    """The same workbook with some cells' texts replaced and some rows taken out, by sheet.
+
+    Every other part stays byte for byte: styles, widths, names, visibility, merges, formulas,
+    rows without values. An edited cell keeps its style, but not formats of parts of its text.
+    Rows below one that goes move up where nothing in the workbook is bound to addresses;
+    otherwise it stays as an empty row, so that no reference changes its meaning. A row with a
+    formula that others share can't go.
+    """
+    book = Workbook(raw)
+    files = {n: book.zip.read(n) for n in book.zip.namelist()}
+    sources = {part: files[part].decode("utf-8-sig") for _, _, part in book.sheets if files[part].lstrip()[:1] in (b"<", b"\xef")}
+    if len(sources) < len(book.sheets):
+        raise EngineError("RISKY_WORKBOOK_FEATURE", "a sheet isn't UTF-8")
+    fixed = b"<definedName" in files["xl/workbook.xml"] or any(FORMULA.search(x) for x in sources.values())
+    lost_formula = False
+    for sheet, _, part in book.sheets:
+        if not texts.get(sheet) and not gone.get(sheet):
+            continue
+        xml, lost = _edited(sources[part], texts.get(sheet, {}), gone.get(sheet, set()), not fixed and not BOUND.search(sources[part]))
+        files[part], lost_formula = xml.encode(), lost_formula or lost
+    if lost_formula and files.pop("xl/calcChain.xml", None):  # the order of calculation is found again on opening
+        files["[Content_Types].xml"] = re.sub(rb"<Override[^>]*calcChain[^>]*/>", b"", files["[Content_Types].xml"])
+        files["xl/_rels/workbook.xml.rels"] = re.sub(rb"<Relationship\s[^>]*calcChain[^>]*/>", b"", files["xl/_rels/workbook.xml.rels"])
+    return _zipped(files)
+
+
+def _edited(xml: str, texts: dict[tuple[int, int], str], gone: set[int], movable: bool) -> tuple[str, bool]:
+    """(the sheet with its edits, whether a formula went)."""
+    moved, lost = 0, False
+
+    def emptied(m: re.Match) -> str:
+        return f"<{m[1]}c{_without_kind(m[2])}/>"
+
+    def cell(m: re.Match) -> str:
+        place = PLACE.search(m[2])[0]
+        attributes, text = m[2], texts.get(corner(place))
+        if moved:
+            row, col = corner(place)
+            attributes = PLACE.sub(f"{column_name(col)}{row - moved}", attributes)
+        if text is not None:
+            return f'<{m[1]}c{_without_kind(attributes)} t="inlineStr"><{m[1]}is><{m[1]}t xml:space="preserve">{escape(text).replace(chr(13), "&#13;")}</{m[1]}t></{m[1]}is></{m[1]}c>'
+        return m[0].replace(m[2], attributes, 1) if moved else m[0]
+
+    def row(m: re.Match) -> str:
+        nonlocal moved, lost
+        attributes, body = m[2], m[3] or ""
+        named = PLACE.search(attributes) or PLACE.search(body)
+        if named is None:
+            return m[0]
+        r = int(re.search(r"\d+$", named[0])[0])
+        if r in gone:
+            if SHARED_FORMULA.search(body):
+                raise EngineError("RISKY_WORKBOOK_FEATURE", f"row {r} has a formula that other rows share")
+            lost = lost or bool(FORMULA.search(body))
+            if movable:
+                moved += 1
+                return ""
+            return f"<{m[1]}row{attributes}>{CELL.sub(emptied, body)}</{m[1]}row>"
+        if moved:
+            attributes = PLACE.sub(str(r - moved), attributes)
+        return f"<{m[1]}row{attributes}>{CELL.sub(cell, body)}</{m[1]}row>"
+
+    out = ROW.sub(row, xml)
+    return (re.sub(r"<(?:\w+:)?dimension\s[^>]*/>", "", out) if moved else out), lost
+
+
+def _without_kind(attributes: str) -> str:
+    return re.sub(r"""\st=["'][^"']*["']""", "", attributes)
+
+
 def write_questionnaire(rows: list[tuple[int, str, str, str]], title: str, source: str = "", sheet: str = "Questionnaire") -> bytes:
     """The questionnaire's workbook: a merged title and source, headers in the fourth row, which stays in view, and a list of themes to choose from."""
     from loomfield.model import THEMES

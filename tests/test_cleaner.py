@@ -84,12 +84,12 @@ def test_publish_rerun_collisions_and_replay(spark, book, tmp_path):
     assert second["action"] == "refresh" and second["report_sha256"] == first["report_sha256"]
     assert P.replay(spark, folder, first["raw_sha256"])["report_sha256"] == first["report_sha256"]
     cleaned = str(tmp_path / "Study.XLSX")
-    with open(first["cleaned"], "rb") as f, open(cleaned, "wb") as g:
+    with open(first["cleaned_xlsx_path"], "rb") as f, open(cleaned, "wb") as g:
         g.write(f.read())
     with pytest.raises(EngineError, match="OUTPUT_COLLISION_RAW_MISMATCH"):
         P.clean_workbook(spark, cleaned, folder)
     again = P.clean_workbook(spark, cleaned, str(tmp_path / "out2"))  # clean twice is clean once
-    assert P.file_hash(again["cleaned"]) == P.file_hash(first["cleaned"])
+    assert again["cleaned_sha256"] == first["cleaned_sha256"]
     with pytest.raises(EngineError, match="RAW_ARCHIVE_HASH_MISMATCH"):
         P.replay(spark, folder, "0" * 64)
     os.remove(os.path.join(folder, P.LOG))
@@ -99,6 +99,62 @@ def test_publish_rerun_collisions_and_replay(spark, book, tmp_path):
         P.replay(spark, folder, first["raw_sha256"])
 
 
+def rewritten(raw: bytes, part: str, *changes: tuple[str, str]) -> bytes:
+    book = xlsx.Workbook(raw)
+    files = {n: book.zip.read(n) for n in book.zip.namelist()}
+    for a, b in changes:
+        assert a.encode() in files[part]
+        files[part] = files[part].replace(a.encode(), b.encode())
+    return xlsx._zipped(files)
+
+
+def test_output_tree_and_envelope(spark, book, tmp_path):
+    out = P.clean_workbook(spark, book, str(tmp_path / "Study"))
+    found = sorted(os.path.relpath(os.path.join(d, f), tmp_path / "Study") for d, _, names in os.walk(tmp_path / "Study") for f in names)
+    assert found == ["Analysis/Study.XLSX", "Analysis/cleaning_log.json", "Analysis/data_quality_report.xlsx", "Scripts/clean.py", "Study_cleaned.xlsx"]
+    assert all(os.path.isfile(out[k]) for k in out if k.endswith("_path"))
+    assert {"code", "sheet", "message"} == set(out["warnings"][0])
+    with open(out["report_xlsx_path"], "rb") as f:
+        assert tuple(s for s, *_ in xlsx.Workbook(f.read()).sheets) == model.REPORT_SHEETS
+
+
+def test_cleaned_workbook_keeps_what_isn_t_edited(spark, tmp_path):
+    rows = [[], ["Name", "n"], [" x ", 1], ["x", 1], [], ["y", 2]]
+    raw = xlsx.write_workbook({"One": rows, "Empty": [], "Hidden": [["p", "q"], ["=A1", 1]]}, hidden=("Hidden",), frozen_rows={"One": 2})
+    raw = rewritten(raw, "xl/worksheets/sheet1.xml", ('<c r="A3" t=', '<c r="A3" s="7" t='), ('<row r="3">', '<row r="3" ht="30" customHeight="1">'), ("<sheetData>", '<cols><col min="1" max="1" width="40"/></cols><sheetData>'))
+    (tmp_path / "b.xlsx").write_bytes(raw)
+    out = P.clean_workbook(spark, str(tmp_path / "b.xlsx"), str(tmp_path / "b"))
+    with open(out["cleaned_xlsx_path"], "rb") as f:
+        cleaned = xlsx.Workbook(f.read())
+    xml = cleaned.zip.read("xl/worksheets/sheet1.xml").decode()
+    assert [x[:2] for x in cleaned.sheets] == [("One", "visible"), ("Empty", "visible"), ("Hidden", "hidden")]
+    assert '<col min="1" max="1" width="40"/>' in xml and 'ht="30" customHeight="1"' in xml and '<c r="A3" s="7" t="inlineStr">' in xml and "frozen" in xml
+    # another sheet has a formula, so the second x leaves an empty row and nothing moves
+    assert {(c[3], c[4]): c[6] for c in cleaned.cells() if c[2] == "One" and c[5] != "BLANK"} == {(2, 1): "Name", (2, 2): "n", (3, 1): "x", (3, 2): "1", (6, 1): "y", (6, 2): "2"}
+    assert [c[8] for c in cleaned.cells() if c[5] == "FORMULA"] == ["=A1"]
+
+
+def test_removed_rows_move_up_where_no_address_is_bound():
+    rows = [["a", "b"], ["x", 1.5], ["x", 1.5], ["y", True], [], ["z", "< & >"]]
+    raw = xlsx.write_workbook({"S": rows})
+    got = xlsx.edit_workbook(raw, {"S": {(6, 1): "z & <t>\r"}}, {"S": {3}})
+    values = {(c[3], c[4]): c[6] for c in xlsx.Workbook(got).cells()}
+    assert values == {(1, 1): "a", (1, 2): "b", (2, 1): "x", (2, 2): "1.5", (3, 1): "y", (3, 2): "TRUE", (5, 1): "z & <t>\r", (5, 2): "< & >"}
+    assert xlsx.edit_workbook(got, {}, {}) == got
+    bound = xlsx.edit_workbook(xlsx.write_workbook({"S": rows}, {"S": ["A6:A7"]}), {}, {"S": {3}})
+    assert {c[3] for c in xlsx.Workbook(bound).cells() if c[5] != "BLANK"} == {1, 2, 4, 6}
+
+
+def test_removed_formulas():
+    raw = xlsx.write_workbook({"S": [["a"], ["=1+1"], ["=1+1"]]})
+    got = xlsx.edit_workbook(raw, {}, {"S": {3}})
+    assert [(c[3], c[8]) for c in xlsx.Workbook(got).cells() if c[5] == "FORMULA"] == [(2, "=1+1")]
+    assert P.kept_structure(raw, got, {"S": {3}}) and not P.kept_structure(raw, got, {})
+    shared = rewritten(raw, "xl/worksheets/sheet1.xml", ('<c r="A3"><f>', '<c r="A3"><f t="shared" ref="A3:A4" si="0">'))
+    with pytest.raises(EngineError, match="RISKY_WORKBOOK_FEATURE"):
+        xlsx.edit_workbook(shared, {}, {"S": {3}})
+
+
 def test_failed_publish_keeps_the_last_output(tmp_path):
     folder = tmp_path / "o"
     folder.mkdir()
