@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import ASCII_LOWER, Workspace
+from loomfield.llm.common import ASCII_LOWER, Workspace, released
 
 WORDS = 5
 PERCENT = 75
@@ -80,7 +80,7 @@ def class_table(df: DataFrame, text: str, key: str) -> DataFrame:
                 rid.append(set_id(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rid, pa.int64()), pa.array(n, pa.int64())], names=[key, "rid", "n"])
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, rid bigint, n bigint")
+    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), f"`{key}` {kind}, rid bigint, n bigint")
 
 
 PACKED = "part int, rids binary, ns binary, lens binary, grams binary, extra binary"
@@ -171,7 +171,7 @@ def fragment_rows(df: DataFrame, text: str, fragments: int) -> DataFrame:
 
         yield from _packed_batches(rows())
 
-    return df.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, PACKED)
+    return df.select(F.col(text).cast("string").alias("__text")).mapInArrow(released(run), PACKED)
 
 
 def shared_rows(fragments: DataFrame, buckets: int) -> DataFrame:
@@ -201,7 +201,7 @@ def shared_rows(fragments: DataFrame, buckets: int) -> DataFrame:
         run_of = run_of[order]
         yield from _packed_batches(_packed(bucket[order].astype(np.int64), rid[run_of], n[run_of], key[order], df_of[order]))
 
-    return fragments.mapInArrow(run, PACKED)
+    return fragments.mapInArrow(released(run), PACKED)
 
 
 SURVIVORS = "rid bigint, n bigint, s bigint, grams binary"
@@ -232,7 +232,7 @@ def survivors(shared: DataFrame) -> DataFrame:
             o = [owner[x] for x, _ in some]
             yield pa.RecordBatch.from_arrays([pa.array(who[o], pa.int64()), pa.array(size[o], pa.int64()), pa.array([int(y - x) for x, y in some], pa.int64()), pa.array([order_value[x:y].tobytes() for x, y in some], pa.binary())], names=["rid", "n", "s", "grams"])
 
-    return shared.mapInArrow(run, SURVIVORS)
+    return shared.mapInArrow(released(run), SURVIVORS)
 
 
 def prefixes(alive: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def prefixes(alive: DataFrame) -> DataFrame:
             if rids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, rids, ns)], names=["gram", "rid", "n"])
 
-    return alive.mapInArrow(run, "gram bigint, rid bigint, n bigint")
+    return alive.mapInArrow(released(run), "gram bigint, rid bigint, n bigint")
 
 
 def segments(alive: DataFrame, cuts: list[int]) -> DataFrame:
@@ -265,7 +265,7 @@ def segments(alive: DataFrame, cuts: list[int]) -> DataFrame:
                 rows += [(rid, n, f, g[a:b].tobytes()) for f, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["rid", "n", "fragment", "segment"])
 
-    return alive.mapInArrow(run, "rid bigint, n bigint, fragment int, segment binary")
+    return alive.mapInArrow(released(run), "rid bigint, n bigint, fragment int, segment binary")
 
 
 @F.pandas_udf(T.LongType())

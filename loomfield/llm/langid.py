@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfield.llm.common import released
+
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 200_000
 BUCKETS = 1 << 17
@@ -185,7 +187,7 @@ def identify(df: DataFrame, model: Mixture, text: str = "text", keep: list[str]
                 got = [m.infer(x.as_py()) for x in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(fields))), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([list(x[2].items()) for x in got], pa.map_(pa.string(), pa.float64()))], names=[*(f.name for f in fields), "lang_pred", "score", "proportions"])
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
