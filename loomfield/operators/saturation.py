@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 65_536
+#: Columns that a worksheet can have.
+MOST_PEOPLE = 16_384
 
 
 def first_mentions(observations: DataFrame) -> DataFrame:
@@ -27,11 +29,14 @@ def participants(observations: DataFrame) -> DataFrame:
 def matrix(observations: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """Every insight with every participant of `people`: (insight, participant_ord, participant, mark), ABSENT where not mentioned.
 
-    The grid is what is asked for: its size is insights x participants. `people` bounds it.
+    The grid is what is asked for: its size is insights x participants. More than MOST_PEOPLE
+    participants raise an error, so what is broadcast is bounded; `first_mentions` has the same
+    marks without the absent ones for any number.
     """
     marks = first_mentions(observations)
     people = participants(observations) if people is None else people
-    each = people.agg(F.array_sort(F.collect_set(F.struct("participant_ord", "participant"))).alias("people"))
+    each = people.limit(MOST_PEOPLE + 1).agg(F.array_sort(F.collect_set(F.struct("participant_ord", "participant"))).alias("people"))
+    each = each.select(F.when(F.size("people") > MOST_PEOPLE, F.raise_error(F.lit(f"more than {MOST_PEOPLE} participants"))).otherwise(F.col("people")).alias("people"))
     grid = marks.select("insight").distinct().join(F.broadcast(each)).select("insight", F.explode("people").alias("p")).select("insight", "p.participant_ord", "p.participant")
     return grid.join(marks.select("insight", "participant_ord", "mark"), ["insight", "participant_ord"], "left").withColumn("mark", F.coalesce("mark", F.lit("ABSENT")))
 

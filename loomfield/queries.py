@@ -48,12 +48,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("participant_ord"), F.col("user_id").cast("string").alias("participant"), F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("insight"))
 
 
-@query(f"WITH {OBS}, people AS (SELECT DISTINCT p FROM obs ORDER BY p LIMIT 20), few AS (SELECT * FROM obs WHERE p IN (SELECT p FROM people)), ff AS (SELECT i, min(p) AS f FROM few GROUP BY i) SELECT ff.i AS insight, people.p AS participant_ord, CASE WHEN s.p IS NULL THEN 'ABSENT' WHEN s.p = ff.f THEN 'NEW' ELSE 'REPEAT' END AS mark FROM ff CROSS JOIN people LEFT JOIN few s ON s.i = ff.i AND s.p = people.p")
+MENTIONS = "few AS (SELECT DISTINCT c_nationkey AS p, c_mktsegment || ':' || CAST(CAST(floor(c_acctbal / 500) AS INTEGER) AS VARCHAR) AS i FROM customer), ff AS (SELECT i, min(p) AS f FROM few GROUP BY i)"
+
+
+@query(f"WITH {MENTIONS}, people AS (SELECT DISTINCT p FROM few) SELECT ff.i AS insight, people.p AS participant_ord, CASE WHEN s.p IS NULL THEN 'ABSENT' WHEN s.p = ff.f THEN 'NEW' ELSE 'REPEAT' END AS mark FROM ff CROSS JOIN people LEFT JOIN few s ON s.i = ff.i AND s.p = people.p")
 def saturation_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid of the twenty lowest users: a display of that many columns is the feature."""
-    o = observations(spark, sf_dir)
-    people = S.participants(o).orderBy("participant_ord").limit(20)
-    return S.matrix(o.join(F.broadcast(people.select("participant_ord")), "participant_ord", "left_semi"), people).select("insight", "participant_ord", "mark")
+    """Nations stand in for participants, segments and balance bands for insights."""
+    band = F.floor(F.col("c_acctbal") / 500).cast("int").cast("string")
+    o = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("participant_ord"), F.col("c_nationkey").cast("string").alias("participant"), F.concat_ws(":", "c_mktsegment", band).alias("insight"))
+    return S.matrix(o).select("insight", "participant_ord", "mark")
 
 
 @query(f"WITH {OBS} SELECT o.p AS participant_ord, CAST(o.p AS VARCHAR) AS participant, count(*) FILTER (WHERE o.p = f.f) AS new_insights FROM obs o JOIN firsts f USING (i) GROUP BY o.p")
@@ -76,10 +79,14 @@ def saturation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.summary(observations(spark, sf_dir))
 
 
-@query(f"WITH {OBS}, a AS (SELECT DISTINCT i FROM obs WHERE p % 3 = 0), b AS (SELECT DISTINCT i FROM obs WHERE p % 3 = 1) SELECT coalesce(a.i, b.i) AS insight, a.i IS NOT NULL AS in_summary, b.i IS NOT NULL AS in_matrix FROM a FULL JOIN b ON a.i = b.i WHERE a.i IS NULL OR b.i IS NULL")
+KEYED = "SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || json_extract_string(props, '$.k') AS i FROM events WHERE event_type"
+
+
+@query(f"WITH a AS ({KEYED} = 'purchase'), b AS ({KEYED} = 'error') SELECT coalesce(a.i, b.i) AS insight, a.i IS NOT NULL AS in_summary, b.i IS NOT NULL AS in_matrix FROM a FULL JOIN b ON a.i = b.i WHERE a.i IS NULL OR b.i IS NULL")
 def summary_vs_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
-    return S.summary_mismatch(o.where("participant_ord % 3 = 0"), o.where("participant_ord % 3 = 1"))
+    """Users' keys of purchases stand in for the summary, those of errors for the matrix."""
+    e = load(spark, sf_dir, "events").withColumn("insight", F.concat_ws(":", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")))
+    return S.summary_mismatch(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"))
 
 
 # --- journey --------------------------------------------------------------------------------
@@ -305,9 +312,9 @@ def clock_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extensions: joins, windows, sets, streams ------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey BETWEEN 100 AND 400 AND l_linenumber BETWEEN 1 AND 3")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_linenumber BETWEEN 1 AND 3")
 def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").where("l_orderkey BETWEEN 100 AND 400 AND l_linenumber BETWEEN 1 AND 3").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return load(spark, sf_dir, "lineitem").where("l_quantity BETWEEN 10 AND 20 AND l_linenumber BETWEEN 1 AND 3").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
@@ -373,8 +380,8 @@ def intersect_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_nationkey").intersect(load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey")))
 
 
-@query("WITH r AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 3 AS hi FROM part WHERE p_partkey % 20 = 0) SELECT s_suppkey, p_partkey FROM supplier JOIN r ON s_acctbal BETWEEN lo AND hi")
+@query("WITH r AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 3 AS hi FROM part) SELECT s_suppkey, p_partkey FROM supplier JOIN r ON s_acctbal BETWEEN lo AND hi")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier balances within a price band; the bands are the query set."""
-    bands = load(spark, sf_dir, "part").where("p_partkey % 20 = 0").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 3).alias("hi"))
+    """Supplier balances within the price band of a part."""
+    bands = load(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 3).alias("hi"))
     return R.range_join(load(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 3.0).select("s_suppkey", "p_partkey")
