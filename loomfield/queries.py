@@ -19,6 +19,7 @@ from loomfield.operators import relational as R
 from loomfield.operators import saturation as S
 from loomfield.operators import scorecard as K
 from loomfield.plans import report as REP
+from loomfield.sources import markdown as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -385,3 +386,150 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier balances within the price band of a part."""
     bands = load(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 3).alias("hi"))
     return R.range_join(load(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 3.0).select("s_suppkey", "p_partkey")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INTEGER) AS g1, CAST(grouping(o_orderpriority) AS INTEGER) AS g2 FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    sets = o.groupingSets([[o.o_orderstatus], [o.o_orderpriority], []], o.o_orderstatus, o.o_orderpriority)
+    return sets.agg(F.count("*").alias("n"), F.grouping("o_orderstatus").cast("int").alias("g1"), F.grouping("o_orderpriority").cast("int").alias("g2"))
+
+
+@query("SELECT o_orderkey, count(*) OVER w AS orders_30d, round(sum(o_totalprice) OVER w, 2) AS spent_30d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) - DATE '1970-01-01' RANGE BETWEEN 30 PRECEDING AND CURRENT ROW)")
+def range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders of the last thirty days, by a frame over days rather than rows."""
+    w = Window.partitionBy("o_custkey").orderBy(F.unix_date(F.col("o_orderdate").cast("date"))).rangeBetween(-30, Window.currentRow)
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(w).alias("orders_30d"), F.round(F.sum("o_totalprice").over(w), 2).alias("spent_30d"))
+
+
+@query("SELECT coalesce(c.k, s.k) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1) s ON c.k = s.k")
+def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers in debt by nation, whichever side has any; both sides are aggregated before they meet."""
+    side = lambda t, k, b, n: load(spark, sf_dir, t).where(F.col(b) < 0).groupBy(F.col(k).alias("nation")).agg(F.count("*").alias(n))
+    both = side("customer", "c_nationkey", "c_acctbal", "customers").join(side("supplier", "s_nationkey", "s_acctbal", "suppliers"), "nation", "full_outer")
+    return both.select("nation", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("customers", "suppliers")))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersectAll(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT DISTINCT json_extract_string(props, '$.k') || ':' || CAST(user_id AS VARCHAR) AS insight FROM events WHERE event_type IN ('click', 'view')")
+def merge_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views stand in for two participants' lists, merged without repetitions."""
+    e = load(spark, sf_dir, "events").withColumn("insight", F.concat_ws(":", F.get_json_object("props", "$.k"), F.col("user_id").cast("string")))
+    return R.union_all([e.where(F.col("event_type") == x).select("insight") for x in ("click", "view")]).distinct()
+
+
+@query("SELECT lang, source, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 4) AS share FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)")
+def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return n.withColumn("share", T.percent(F.col("n"), F.sum("n").over(Window.partitionBy("lang"))))
+
+
+@query(f"WITH {VARIANTS}, {THEMED}, r AS (SELECT line_no, theme, phase_ord, phase FROM themed JOIN v ON lower(trim(theme)) = variant) SELECT line_no, theme, CAST(phase_ord AS INTEGER) AS phase_ord, phase, CAST(phase_ord AS VARCHAR) || '-' || regexp_replace(phase, '\\s+', '-', 'g') AS slug, line_no = min(line_no) OVER (PARTITION BY phase_ord) AS opens FROM r")
+def phase_files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases' files one after another, each in source order; `opens` marks a file's first row."""
+    routed = J.route(themed(spark, sf_dir), model.variants(spark, PRIORITIES))
+    first = routed.groupBy("phase").agg(F.min("line_no").alias("first_line"))
+    rows = routed.join(first, "phase").withColumn("opens", F.col("line_no") == F.col("first_line"))
+    return rows.select("line_no", "theme", "phase_ord", "phase", F.concat_ws("-", F.col("phase_ord").cast("string"), T.slug(F.col("phase"))).alias("slug"), "opens").orderBy("phase_ord", "line_no")
+
+
+# --- documents, cells and scalar functions -----------------------------------------------------
+
+
+def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small pipe table for each part: one good row with an escaped pipe, then a short row or a row of dashes."""
+    p = load(spark, sf_dir, "part")
+    last = F.when(F.col("p_partkey") % 3 == 0, "| short | row |").otherwise("| - | - | - |")
+    row = T.pipe_line(F.col("p_size"), F.col("p_name"), F.replace("p_brand", F.lit("#"), F.lit("|")))
+    docs = p.select(F.col("p_partkey").cast("string").alias("doc"), F.concat_ws("\n", F.lit("| Size | Name | Brand |"), F.lit("|---|:-:|---|"), row, last).alias("value"))
+    return M.tables(M.split_lines(docs))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc, 3 AS line_no, CAST(p_size AS VARCHAR) AS size, p_name AS name, replace(p_brand, '#', '|') AS brand FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 4, '-', '-', '-' FROM part WHERE p_partkey % 3 <> 0")
+def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.as_table(part_tables(spark, sf_dir), ["size", "name", "brand"]).drop("section")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc, 4 AS line_no, '| short | row |' AS raw, 'MALFORMED_ROW' AS reason FROM part WHERE p_partkey % 3 = 0")
+def markdown_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.malformed(part_tables(spark, sf_dir))
+
+
+def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one document a customer: two participants' insights and a summary."""
+    c = load(spark, sf_dir, "customer")
+    nation = F.col("c_nationkey").cast("string")
+    head = ("| # | Insight | Quotes |", "|---|---|---|")
+    value = F.concat_ws(
+        "\n",
+        F.concat(F.lit("# Insights — "), F.col("c_name")), *map(F.lit, head), F.concat(F.lit("| 1 | "), F.col("c_mktsegment"), F.lit(' | "yes" |')), F.concat(F.lit("| 2 | nation "), nation, F.lit(' | "no" |')),
+        F.lit(""), F.lit("# Insights — Zoe"), *map(F.lit, head), F.concat(F.lit("| 1 | nation "), nation, F.lit(' | "well" |')),
+        F.lit(""), F.lit("## Summary"), F.concat(F.lit("- **"), F.col("c_mktsegment"), F.lit("**: of nation "), nation),
+    )
+    return M.split_lines(c.select(F.col("c_custkey").cast("string").alias("doc"), value.alias("value")))
+
+
+@query("""SELECT 1 AS participant_ord, c_name AS participant, 1 AS insight_no, c_mktsegment AS insight, '"yes"' AS quote FROM customer UNION ALL SELECT 1, c_name, 2, 'nation ' || c_nationkey, '"no"' FROM customer UNION ALL SELECT 2, 'Zoe', 1, 'nation ' || c_nationkey, '"well"' FROM customer""")
+def insight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.insight_observations(interviews(spark, sf_dir))
+
+
+@query("SELECT c_mktsegment AS insight, 'of nation ' || c_nationkey AS summary FROM customer")
+def summary_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.summary_bullets(interviews(spark, sf_dir))
+
+
+def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each customer: some begin with a blank row, have equal names in the first row, or a number as a name."""
+    c = load(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    second = F.when(key % 4 == 1, F.col("c_mktsegment")).when(key % 4 == 2, "12").otherwise("Name")
+    cell = lambda row, col, kind, text: F.struct((row + F.when(key % 5 == 0, 1).otherwise(0)).alias("row_idx"), F.lit(col).alias("col_idx"), kind.alias("kind"), text.alias("text"))
+    text, number = F.lit("TEXT"), F.lit("NUMBER")
+    cells = F.array(cell(F.lit(1), 1, text, F.col("c_mktsegment")), cell(F.lit(1), 2, F.when(key % 4 == 2, number).otherwise(text), second), cell(F.lit(2), 1, number, F.col("c_nationkey").cast("string")), cell(F.lit(2), 2, text, F.col("c_name")))
+    return c.select(key.cast("string").alias("sheet"), F.explode(cells).alias("c")).select("sheet", "c.*")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS header_row, CASE WHEN c_custkey % 4 IN (1, 2) THEN 'UNCERTAIN_HEADER' ELSE 'CONFIRMED' END AS header_status FROM customer")
+def header_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.header_status(customer_cells(spark, sf_dir))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CAST(h + 1 AS INTEGER) AS row_idx, 1 AS col_idx, CAST(c_nationkey AS VARCHAR) AS text FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS h FROM customer) WHERE c_custkey % 4 NOT IN (1, 2) UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 2 END, 2, c_name FROM customer WHERE c_custkey % 4 NOT IN (1, 2)")
+def data_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = customer_cells(spark, sf_dir)
+    return C.data_region(cells, C.header_status(cells)).select("sheet", "row_idx", "col_idx", "text")
+
+
+@query("SELECT p_type AS category, p_name AS criterion, count(*) AS n, CAST(sum(n_solutions) AS BIGINT) AS n_solutions FROM (SELECT p_type, p_name, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS n_solutions FROM part WHERE p_size % 3 <> 0) GROUP BY ALL")
+def nested_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested scorecards, one a part; a third of them only say that nothing is needed."""
+    size = F.col("p_size")
+    solutions = F.when(size % 3 == 0, F.array(F.lit(K.NO_SOLUTION))).when(size % 2 == 0, F.array(F.lit("more"), F.lit(K.NO_SOLUTION))).otherwise(F.array(F.lit("more"), F.lit("less")))
+    score = F.struct(F.concat(size.cast("string"), F.lit("/50")).alias("score"), F.lit("as is").alias("analysis"), solutions.alias("solutions"))
+    cards = load(spark, sf_dir, "part").select(F.create_map("p_type", F.create_map("p_name", score)).cast(K.NESTED).alias("groups"))
+    return K.with_solutions(K.explode_scores(cards)).groupBy("category", "criterion").agg(F.count("*").alias("n"), F.sum("n_solutions").cast("bigint").alias("n_solutions"))
+
+
+@query(
+    "SELECT p_partkey, replace(p_name, ' ', '-') AS slug, p_name AS stem, '.md' AS extension, p_name AS fenced, p_name AS plain, p_size AS rating, p_size % 2 = 0 AS approved, p_size % 3 = 0 AS optional, "
+    "p_size AS r1, p_size % 26 + 1 AS c1, p_size + 7 AS r2, 26 + p_size % 26 + 1 AS c2, 'insight ' || p_size AS label, CASE p_size % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'REPEAT' WHEN 2 THEN 'ABSENT' END AS mark, p_name || '\n' || p_name || '\n' AS lines, regexp_extract(p_brand, '[0-9]+')::INTEGER AS num FROM part"
+)
+def artifact_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions on names, paths, fenced replies, approvals, addresses, marks and labels."""
+    name, size, text = F.col("p_name"), F.col("p_size"), F.col("p_size").cast("string")
+    letter = F.char(size % 26 + 65)
+    address = T.range_corners(F.concat(letter, text, F.lit(":A"), letter, (size + 7).cast("string")))
+    symbol = F.element_at(F.array(*(F.lit(x) for x in (*model.MARKS.values(), "?"))), size % 4 + 1)
+    path = F.concat(F.lit("Study.v2/Interview/"), name, F.lit(".MD"))
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", T.slug(F.initcap(name)).alias("slug"), T.path_stem(path).alias("stem"), T.path_extension(path).alias("extension"),
+        T.fenced_block(F.concat(F.lit("Here:\n```markdown\n"), name, F.lit("\n```\nDone"))).alias("fenced"), T.fenced_block(F.concat(F.lit("  "), name, F.lit(" "))).alias("plain"),
+        T.rating_of(F.concat(F.lit("I'd say "), text, F.lit(" of 50"))).alias("rating"), T.is_approval(F.when(size % 2 == 0, " Approved ").otherwise("later")).alias("approved"),
+        T.is_optional(F.when(size % 3 == 0, F.concat(name, F.lit(" (optional)"))).otherwise(name)).alias("optional"), *(address[c].alias(c) for c in ("r1", "c1", "r2", "c2")),
+        T.bare_label(F.concat(F.lit("🔵 **insight "), text, F.lit("**"))).alias("label"), T.mark_of(symbol).alias("mark"), T.line_endings(F.concat(name, F.lit("\r\n"), name, F.lit("\r"))).alias("lines"), T.score_num(F.concat(F.regexp_extract("p_brand", "[0-9]+", 0), F.lit("/25"))).alias("num"),
+    )
