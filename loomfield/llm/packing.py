@@ -12,7 +12,7 @@ bounded by a block and one document, and a lost task repeats its own split. A bl
 don't depend on other blocks; only its last rows can be loosely filled.
 
 Null and empty texts have no ids and no segment; `null` keys stay null in `doc_ids`. Ties in
-length go by input order, ties in room by the first row opened. Repeated rows are packed as
+length go by input order, ties in room to the row that came to that room last. Repeated rows are packed as
 often as they occur. An empty table gives an empty one. Only the named columns are read.
 """
 
