@@ -3,8 +3,13 @@
 Base kinds are found by pattern, leftmost and non-overlapping within a kind. What lies outside
 them is searched for long runs of token characters; a run is a secret when the model of random
 strings gives it a likelihood that exceeds the model of ordinary identifiers by `MIN_TOTAL`
-nats in all and `MIN_MEAN` a character. Both models are bigram tables with add-half smoothing
-over ASCII, trained by aggregation from labelled samples (`text`, `secret`); without samples of
+nats in all and `MIN_MEAN` a character. Where the whole run fails, as in NAME=value and in paths
+and prefixes, its parts are tried: the running sum of the ratio less `MIN_MEAN` a character
+begins again below zero, and a part ends where the sum has fallen by `MIN_GAIN` from its maximum;
+parts that rise by less are ordinary. Parts lose what lies beyond a separator in the `EDGE` characters
+at their ends, then grow to the `SEPARATORS` around them; parts that meet are one, and a secret
+has `MIN_TOTAL` nats and `MIN_RUN` characters. Both models are bigram tables with add-half
+smoothing over ASCII, trained by aggregation from labelled samples (`text`, `secret`); without samples of
 one's own, `labelled_samples` makes some by rule. Positions are code points, end exclusive.
 
 Everything is built-in functions on one row, with no shuffle; the model is a literal of 128 x
@@ -29,9 +34,13 @@ KINDS = (
 )
 RANDOM = "random"
 RUN = r"[A-Za-z0-9+/=_-]{20,}"
+MIN_RUN = 20
+SEPARATORS = "/=_-"
+EDGE = 4
 BASE = rf"(?:{KINDS[0][1]})|AKIA[A-Z0-9]{{16,}}|{KINDS[2][1]}"
 MIN_TOTAL = 16.0
 MIN_MEAN = 0.6
+MIN_GAIN = 8.0
 SAMPLES = 3000
 #: Ordinary parts of identifiers.
 PARTS = (
@@ -101,18 +110,65 @@ def _spans(text: Column, pattern: str, rank: int, least: int, group: int) -> Col
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
+def _high_parts(ratios: Column) -> Column:
+    """start, end, total of the parts in which the sum of the ratios less MIN_MEAN rises by MIN_GAIN, in characters of the run."""
+    closed = lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end"), (acc["max"] + (acc["end"] - acc["start"] - 1) * MIN_MEAN).alias("total"))
+    kept = lambda acc: F.concat(acc["out"], F.array(closed(acc)))
+
+    def state(at: Column, total: Column, most: Column, start: Column, end: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), total.alias("sum"), most.alias("max"), start.alias("start"), end.alias("end"), out.alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        at = acc["at"] + 1
+
+        def moved(total: Column) -> Column:
+            ends = (acc["max"] >= MIN_GAIN) & (total <= acc["max"] - MIN_GAIN)
+            again = state(at, F.lit(0.0), F.lit(0.0), at, at, F.when(ends, kept(acc)).otherwise(acc["out"]))
+            on = state(at, total, F.greatest(acc["max"], total), acc["start"], F.when(total > acc["max"], at + 1).otherwise(acc["end"]), acc["out"])
+            return F.when(ends | (total < 0), again).otherwise(on)
+
+        return let(acc["sum"] + r - MIN_MEAN, moved)
+
+    none = F.array().cast("array<struct<start:int,end:int,total:double>>")
+    begun = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), none)
+    return F.aggregate(ratios, begun, step, lambda acc: F.when(acc["max"] >= MIN_GAIN, kept(acc)).otherwise(acc["out"]))
+
+
+def _random_parts(run: Column, model: Column) -> Column:
+    """start, end, total of what the models call random in a run: all of it, or parts between separators."""
+    n = F.length(run)
+
+    def grown(x: Column, marked: Column, back: Column) -> Column:
+        """The part up to the separators around it, less what of a neighbour it has in EDGE characters at its ends."""
+        at = lambda where, i: F.call_function("locate", F.lit("/"), where, i + 1)  # noqa: E731  one-based, 0 without
+        cut = lambda where, i: let(at(where, i), lambda k: F.when((k > 0) & (k <= i + EDGE), k).otherwise(i))
+        out = lambda where, i: let(at(where, i), lambda k: F.when(k > 0, k - 1).otherwise(n))
+        start = n - out(back, n - cut(marked, x["start"]))
+        return F.struct(start.alias("start"), out(marked, n - cut(back, n - x["end"])).alias("end"), x["total"].alias("total"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["total"] + x["total"]).alias("total"))
+        return F.when(x["start"] <= last["end"] + 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    def parts(ratios: Column) -> Column:
+        marked = F.translate(run, SEPARATORS, "/" * len(SEPARATORS))
+        each = let(marked, lambda m: F.transform(_high_parts(ratios), lambda x: grown(x, m, F.reverse(m))))
+        met = F.aggregate(each, F.array().cast("array<struct<start:int,end:int,total:double>>"), joined)
+        return F.filter(met, lambda x: (x["total"] >= MIN_TOTAL) & (x["end"] - x["start"] >= MIN_RUN))
+
+    def of(ratios: Column) -> Column:
+        whole = lambda x: F.when((x >= MIN_TOTAL) & (x >= MIN_MEAN * n), F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), x.alias("total")))).otherwise(parts(ratios))
+        return let(F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x), whole)
+
+    return let(F.transform(pairs(codes(run)), lambda i: F.get(model, i)), of)
+
+
 def _random_spans(text: Column, base: Column, model: Column) -> Column:
-    """Runs outside the base matches that the models call random."""
+    """Runs outside the base matches, or parts of them, that the models call random."""
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     rank = len(KINDS)
 
-    def scored(run: Column) -> Column:
-        def ratio(c: Column) -> Column:
-            total = F.aggregate(pairs(c), F.lit(0.0), lambda a, i: a + F.get(model, i))
-            return let(total, lambda x: (x >= MIN_TOTAL) & (x >= MIN_MEAN * F.size(c)))
-
-        return let(codes(run), ratio)
-
     # gaps between base matches, with where they begin
     pieces = F.arrays_zip(F.split(text, BASE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(BASE), F.lit(0)).alias("m"))
 
@@ -126,8 +182,8 @@ def _random_spans(text: Column, base: Column, model: Column) -> Column:
     def inside(piece: Column) -> Column:
         runs = F.regexp_extract_all(piece["gap"], F.lit(RUN), F.lit(0))
         found = F.arrays_zip(_spans(piece["gap"], RUN, rank, 0, 0).alias("s"), runs.alias("r"))
-        kept = F.filter(found, lambda x: scored(x["r"]))
-        return F.transform(kept, lambda x: F.struct((x["s"]["start"] + piece["at"]).alias("start"), F.lit(rank).alias("rank"), (x["s"]["end"] + piece["at"]).alias("end")))
+        spans = lambda x, at: F.transform(_random_parts(x["r"], model), lambda p: F.struct((at + p["start"]).alias("start"), F.lit(rank).alias("rank"), (at + p["end"]).alias("end")))
+        return F.flatten(F.transform(found, lambda x: spans(x, piece["at"] + x["s"]["start"])))
 
     found = F.filter(F.flatten(F.transform(gaps, inside)), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.when(text.rlike(RUN), found).otherwise(none)

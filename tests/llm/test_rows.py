@@ -79,6 +79,31 @@ def test_redact(spark, docs):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secrets_that_touch_ordinary_text(spark):
+    a, b = "Zx8Qk3Lw9Vt2Rm7Yp4Nc6Hb1Js5Gd0Fe", "q7PfV2xKz9TbM4wLr8NsH3cYd6GjA1uE"
+    words = "user_session_token_manager_factory_instance"
+    want = {
+        0: (f"client_private_signing_key={a}", [a]),
+        1: (f"see github.com/user/project/settings/{a} there", [a]),
+        2: (f"production_service_account_{a}", [a]),
+        3: (f"export/build/database-connection-{a}/edit_file_settings_page", [a]),
+        4: (f"{words}/{a}/{words}/{b}/{words}", [a, b]),
+        5: (f"é日本 {words} key {words}={a}", [a]),
+        6: (f"{words}/{words}-{words}={words}", []),
+        7: (a, [a]),
+    }
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in want.items()], "doc_id int, text string")
+    for r in secrets.scan(rows).collect():
+        text, found = want[r["doc_id"]]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x]
+        assert [text[i:j] for i, j in spans] == found and r["n_random"] == len(found)
+    for r in secrets.redact(rows).collect():
+        text, found = want[r["doc_id"]]
+        for x in found:
+            text = text.replace(x, "[SECRET]")
+        assert r["text"] == text
+
+
 def rules_of(t):
     w = WORD.findall(t)
     lines = [x for x in t.split("\n") if WORD.search(x)]
