@@ -69,19 +69,41 @@ def by_logarithm(c: Column, bits: int = BITS) -> Column:
     return F.least(F.floor(F.log2(F.greatest(c, F.lit(1)))), F.lit((1 << bits) - 1)).cast("int")
 
 
+def cells(df: DataFrame, text: str, key: str, dims: tuple[str, ...], *more: Column) -> DataFrame:
+    """Per row: key, size, text_crc32, curve, and more columns of df's."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    size = F.octet_length(body).cast("bigint") + 1
+    hashed = [f"__d{i}" for i in range(len(dims))]
+    rows = df.select(F.col(key), size.alias("size"), F.crc32(body).alias("text_crc32"), *more, *(by_hash(F.col(d)).alias(h) for d, h in zip(dims, hashed)))
+    return rows.withColumn("curve", curve_index([*map(F.col, hashed), by_logarithm(F.col("size"))])).drop(*hashed)
+
+
 def hilbert_shards(df: DataFrame, text: str = "text", key: str = "doc_id", dims: tuple[str, ...] = ("lang", "source"), shards: int = SHARDS) -> DataFrame:
     """Per row: key, size, text_crc32, law, shard, slot, grown_shard, curve."""
     work = Workspace(df.sparkSession, "shards")
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    size = F.octet_length(body).cast("bigint") + 1
-    rows = df.select(F.col(key), size.alias("size"), F.crc32(body).alias("text_crc32"), *(by_hash(F.col(d)).alias(f"__d{i}") for i, d in enumerate(dims)))
-    cells = rows.select(key, "size", "text_crc32", curve_index([*(F.col(f"__d{i}") for i in range(len(dims))), by_logarithm(F.col("size"))]).alias("curve"))
-    placed = global_rank(work, cells, [F.col(c) for c in ("curve", "text_crc32", "size", key)], "placed")
+    placed = global_rank(work, cells(df, text, key, dims), [F.col(c) for c in ("curve", "text_crc32", "size", key)], "placed")
     shard = F.expr(f"position * {shards} div total")
     return placed.withColumn("shard", shard.cast("int")).select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.expr(f"position - (shard * total + {shards - 1}) div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes df's rows into one folder a shard, in slot order within each task's run of slots."""
-    rows = df.join(placed.select(key, "shard", "slot"), key)
-    rows.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id", text: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> None:
+    """Writes df's rows into one folder a shard, in slot order within each task's run of slots.
+
+    `placed` is of the same rows, with the same key, text and dims. Both are numbered by cell,
+    checksum, size and key, and joined on the number, so null and repeated keys keep their rows,
+    each once. A row that finds no place, or another row's, raises an error.
+    """
+    work = Workspace(df.sparkSession, "written")
+    order = ["curve", "text_crc32", "size", key]
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        # the last column lets range partitions part equal rows
+        apart = rows.withColumn("__apart", F.monotonically_increasing_id())
+        return global_rank(work, apart, [F.col(c) for c in (*order, "__apart")], name, "__at", "__rows").drop("__apart", "__rows")
+
+    rows = numbered(cells(df, text, key, dims, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")), "rows")
+    places = numbered(placed.select(*order, "shard", "slot"), "places")
+    same = F.struct(*(rows[c] for c in order)) == F.struct(*(places[c] for c in order))
+    found = rows.join(places, "__at", "full_outer").select("__row", F.when(F.coalesce(same, F.lit(False)), places["shard"]).otherwise(F.raise_error(F.lit("the placement is of other rows"))).alias("shard"), "slot").select("__row.*", "shard", "slot")
+    found.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    work.drop("rows", "places")

@@ -240,6 +240,20 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == named.count() and back.select("shard").distinct().count() == 16
 
 
+def test_written_shards_keep_null_and_repeated_ids(spark, docs, tmp_path):
+    rows = docs.drop("shard")
+    rows = rows.unionByName(rows.where("doc_id = 4").withColumn("lang", F.lit("fr"))).unionByName(rows.where("doc_id = 4").withColumn("text", F.lit("another text")))
+    placed = sharding.hilbert_shards(rows)
+    sharding.write_shards(rows, placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(map(tuple, back.select(rows.columns).collect())) == Counter(map(tuple, rows.collect()))
+    place = ("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    found = sharding.cells(back, "text", "doc_id", ("lang", "source"), F.col("shard"), F.col("slot")).select(*place)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, placed.select(*place).collect()))
+    with pytest.raises(Exception, match="other rows"):
+        sharding.write_shards(rows, placed.where("doc_id is not null"), str(tmp_path / "fewer"))
+
+
 def filled(sizes, weights, budget, cap):
     """Clamp, share the rest again, until none is above."""
     out, free = {}, dict(weights)
