@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`; each stage is written as Parquet and read again by the next.
 
 Language ID drops documents without a language; of each group of near copies the one with the
-smallest id stays; secrets are blanked out; sources are mixed to target weights, whereby a
+smallest id stays, rows with equal ids and without one being told apart by their texts; secrets are blanked out; sources are mixed to target weights, whereby a
 document can go or occur twice; what is left is encoded, decoded and digested.
 """
 
@@ -24,10 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose id is their component's; of rows that share such an id, one. Rows without an id stay, as they can't be told apart."""
-    found = jaccard.similar_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keeps one row of each component: the smallest by id (null last), digest of the text, and all columns. A text without words is a component for each id."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    found = jaccard.similar_components(docs.select(row.alias("__row"), "text"), key="__row")
+    kept = found.where("__row = component_id").select("__row").distinct()
+    rows = docs.groupBy(row.alias("__row")).agg(F.min(F.struct(*docs.columns)).alias("__all"))
+    return rows.join(kept, "__row", "left_semi").select("__all.*")
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,20 @@ def test_near_copies_stage(spark, docs, table):
     assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and {5, 6, 7} <= set(ids)
 
 
+def test_near_copies_stage_tells_rows_apart(spark):
+    words = [f"{w}{i}" for i in range(4) for w in "the quiet river runs past an old mill where nobody ever stops to rest".split()]
+    a, b, c, d = (" ".join(x + k for x in words) for k in ("a", "b", "c", "d"))
+    near = a + " and more"
+    rows = [(1, a, "x"), (2, b, "x"), (2, near, "x"), (2, c, "x"), (2, c, "y"), (None, a, "x"), (None, near, "x"), (None, d, "x"), (None, d, "x"), (None, d + " indeed", "x"), (None, "", "x"), (3, "", "x"), (4, "", "x")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    runs = [P.drop_near_copies(spark, table.repartition(n, "text"), DATA).collect() for n in (1, 5)]
+    assert Counter(map(tuple, runs[0])) == Counter(map(tuple, runs[1]))
+    got = Counter(map(tuple, runs[0]))
+    last = [r for r in got if r[0] is None and r[1]]
+    assert len(last) == 1 and last[0][1] in (d, d + " indeed")
+    assert got - Counter(last) == Counter([(1, a, "x"), (2, b, "x"), (2, c, "x"), (None, "", "x"), (3, "", "x"), (4, "", "x")])
+
+
 def test_secret_stage_changes_only_texts_with_secrets(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {r["doc_id"] for r in secrets.scan(rows).where("spans <> ''").collect()}
