@@ -52,12 +52,12 @@ def new_per_participant(observations: DataFrame) -> DataFrame:
 
 
 def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Running sum of `value` by a whole-number column, in two levels: within chunks of its range, and over the chunks' sums. No task sees all rows."""
+    """Running sum of `value` by a whole-number column, in two levels: within chunks of its range, and over the chunks' sums. No task sees all rows. A null order is last, as in the query's SQL."""
     cut = rows.withColumn("__chunk", F.floor(F.col(order) / CHUNK))
     sums = cut.groupBy("__chunk").agg(F.sum(value).alias("__sum"))
-    before = sums.select("__chunk", (F.sum("__sum").over(Window.orderBy("__chunk")) - F.col("__sum")).alias("__before"))
+    before = sums.select(F.col("__chunk").alias("__of"), (F.sum("__sum").over(Window.orderBy(F.asc_nulls_last("__chunk"))) - F.col("__sum")).alias("__before"))
     inside = F.sum(value).over(Window.partitionBy("__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(before, "__chunk").withColumn(name, inside + F.col("__before")).drop("__chunk", "__before")
+    return cut.join(before, F.col("__chunk").eqNullSafe(F.col("__of"))).withColumn(name, inside + F.col("__before")).drop("__chunk", "__of", "__before")
 
 
 def curve(observations: DataFrame) -> DataFrame:

@@ -99,6 +99,12 @@ def test_saturation(spark, tmp_path):
     assert S.new_per_participant(obs.withColumn("participant_ord", -F.col("participant_ord"))).agg(F.sum("new_insights")).first()[0] == 4
 
 
+def test_curve_keeps_a_null_participant(spark):
+    rows = [(1, "1", "a"), (2, "2", "b"), (70_000, "70000", "c"), (None, None, "a"), (None, None, "d")]
+    got = S.curve(spark.createDataFrame(rows, "participant_ord bigint, participant string, insight string")).collect()
+    assert {(r["participant_ord"], r["new_insights"], r["total_insights"]) for r in got} == {(1, 1, 1), (2, 1, 2), (70_000, 1, 3), (None, 0, 3)}
+
+
 def test_empty_saturation(spark):
     empty = spark.createDataFrame([], "participant_ord int, participant string, insight string")
     assert S.curve(empty).count() == 0
