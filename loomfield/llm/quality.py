@@ -7,6 +7,9 @@ Rules are ordered by rejections per cost, and become one CASE: a row that an ear
 rejects doesn't evaluate later ones. The order changes what a row costs, never its verdict;
 `rejected_by` names the first rule in that order that rejects it.
 
+Words are runs between ASCII white space, so `RULES` reject clean Chinese, Japanese and often Thai
+prose by its mean word length; `ANY_SCRIPT` doesn't.
+
 Everything is built-in functions on one row; there is no shuffle. Null and empty texts have
 zero counts and fail the base. Repeated rows stay; an empty table gives an empty one. Only the
 named columns are read.
@@ -84,7 +87,16 @@ def _share(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, ""))
 
 
-#: Thresholds are ours, wide enough for any natural prose.
+#: Letters of scripts written without blanks between words, and all other characters.
+BLANKLESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+
+
+def _blankless(text: Column) -> Column:
+    """Whether half of the letters or more are of such scripts, where runs between blanks aren't words."""
+    return _share(text, rf"[^{BLANKLESS}]+") * 2 >= _share(text, r"\P{L}+")
+
+
+#: Thresholds are ours and the SQL's, wide enough for natural prose in scripts that are written with blanks.
 RULES = (
     Rule("mean_word_length", lambda t, m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"])),
     Rule("symbols_per_word", lambda t, m: m["n_symbols"] * 10 > m["n_words"] * 3),
@@ -96,6 +108,10 @@ RULES = (
 )
 
 
+#: RULES, but the mean length of words has no upper bound in scripts without blanks; not what the SQL says.
+ANY_SCRIPT = (Rule("mean_word_length", lambda t, m: (m["word_chars"] < 2 * m["n_words"]) | ((m["word_chars"] > 25 * m["n_words"]) & ~_blankless(t))), *RULES[1:])
+
+
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule

@@ -138,6 +138,13 @@ def test_junk_goes_and_prose_stays(spark, sep):
     assert got[2] is False and got[3] is False and got[4] is False
 
 
+def test_scripts_without_blanks_stay(spark):
+    chinese, thai = "河水静静地流过古老的磨坊没有人在那里停下来休息因为道路很长而且天色已经很晚了", "แม่น้ำไหลผ่านโรงสีเก่าอย่างเงียบสงบและไม่มีใครหยุดพักที่นั่น"
+    rows = [(1, " ".join(chinese[i:] + chinese[:i] for i in range(12))), (2, " ".join(thai + chr(0x0E01 + i) for i in range(12))), (3, " ".join("abcdefghijklmnopqrstuvwxyzabcd" + x for x in "abcdefghijkl"))]
+    got = {r["doc_id"]: r["rejected_by"] for r in quality.cascade(spark.createDataFrame(rows, "doc_id bigint, text string"), order=list(quality.ANY_SCRIPT)).collect()}
+    assert got == {1: None, 2: None, 3: "mean_word_length"}
+
+
 def test_languages(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(d)
