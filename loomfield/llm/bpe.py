@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import released, tokenizer_path
+from loomfield.llm.common import released, tokenizer_path, unused
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 4096
@@ -136,4 +136,4 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
                     columns |= {"ids_sha256": pa.array(out["i"], pa.string()), "decoded_sha256": pa.array(out["d"], pa.string())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), schema)

@@ -28,6 +28,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores after it as make it none of `taken`."""
+    others = {x.lower() for x in taken}
+    while name.lower() in others:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

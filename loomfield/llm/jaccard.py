@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import ASCII_LOWER, Workspace, released
+from loomfield.llm.common import ASCII_LOWER, Workspace, released, unused
 
 WORDS = 5
 PERCENT = 75
@@ -80,7 +80,7 @@ def class_table(df: DataFrame, text: str, key: str) -> DataFrame:
                 rid.append(set_id(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rid, pa.int64()), pa.array(n, pa.int64())], names=[key, "rid", "n"])
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), f"`{key}` {kind}, rid bigint, n bigint")
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), f"`{key}` {kind}, rid bigint, n bigint")
 
 
 PACKED = "part int, rids binary, ns binary, lens binary, grams binary, extra binary"

@@ -6,7 +6,7 @@ finds the proportions from its words' likelihoods. The set of languages grows gr
 long as the log-likelihood gains more than a penalty of `penalty` * ln(words) per language.
 
 Training reads labelled rows only, at most `SAMPLE_PER_LANGUAGE` of each language (those with
-the least hash of their key; rows without a key, and texts over
+the least hash of key and text; rows without a key, and texts over
 `SAMPLE_CHARS` characters, teach nothing); these bounds are parameters. Prediction reads nothing but the
 text. Null texts and texts without a letter are `und` with score 0; with no labelled rows, so
 is every text. Words are maximal runs of letters, lower-cased; very long texts are worked
@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomfield.llm.common import released
+from loomfield.llm.common import released, unused
 
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 50_000
 BUCKETS = 1 << 17
 WEIGHTS = (0.1, 0.3, 0.6)
 PENALTY = 3.0
 ROUNDS = 25
 BLOCK_CHARS = 1 << 20
+RESULTS = ("lang_pred", "score", "proportions")
 
 _letters: np.ndarray | None = None
 
@@ -152,30 +153,33 @@ class Mixture:
 
 
 def sample(df: DataFrame, text: str, label: str, key: str, use: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most `per_language` labelled texts of each language, those with the least hash of their key. Texts aren't shuffled: keys are chosen first."""
+    """At most `per_language` labelled texts of each language: those with the least hash of key and text. Rows equal in both teach once.
+
+    The first pass tells how many hashes a language has and its least one; the second reads the rows
+    below a bound that lets through little more than is wanted, and always the least. No language
+    is lost, and no task ranks a whole one, however often a key or a text is repeated.
+    """
     rows = df.where(use & F.col(label).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    # a hash below this lets through little more than the bound, so that no task ranks a whole language
-    most = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, (1.25 * per_language + 50) / n) * (1 << 32)))))
-    order = Window.partitionBy("l").orderBy("h", "k")
-    hashed = rows.select(F.col(label).alias("l"), F.col(key).alias("k"), F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 32)).alias("h")).where(F.col("h") < most[F.col("l")])
-    ids = hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    by_language: dict[str, set] = {}
-    for r in ids.collect():
-        by_language.setdefault(r["l"], set()).add(r["k"])
-    keys = sorted({k for s in by_language.values() for k in s})
-    if not keys:
+    rows = rows.select(F.col(label).cast("string").alias("l"), F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("h"), F.col(text).cast("string").alias("t"))
+    found = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least")).collect()
+    if not found:
         return []
-    picked = rows.where(F.col(key).isin(keys)).select(F.col(text).alias("t"), F.col(label).alias("l"), F.col(key).alias("k")).collect()
-    return [(r["t"], r["l"]) for r in sorted(picked, key=lambda r: (r["l"], r["k"], r["t"]))][: per_language * len(by_language)]
+    # hashes run from -2**63; 1.25 covers the estimate's error
+    share = lambda n: min(1.0, (1.25 * per_language + 50) / max(1, n))
+    most = F.create_map(*(F.lit(x) for r in found for x in (r["l"], max(r["least"], min((1 << 63) - 1, int(share(r["n"]) * (1 << 64)) - (1 << 63))))))
+    once = rows.where(F.col("h") <= most[F.col("l")]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = Window.partitionBy("l").orderBy("h")
+    chosen = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    return [(r["t"], r["l"]) for r in sorted(chosen.select("l", "n", "t").collect(), key=lambda r: (r["l"], r["n"]))]
 
 
 def identify(df: DataFrame, model: Mixture, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` and lang_pred, score, proportions (map). No shuffle; the model goes out as one broadcast of a size fixed by BUCKETS and the number of languages."""
-    keep = list(df.columns if keep is None else keep)
-    fields = [f for f in df.select(*keep).schema.fields]
+    """The columns of `keep` (without those named like a result, which replaces them) and lang_pred, score, proportions (map).
+
+    No shuffle; the model goes out as one broadcast of a size fixed by BUCKETS and the number of languages.
+    """
+    keep = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c.lower() not in RESULTS]
+    fields = df.select(*keep).schema.fields
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, proportions map<string,double>"
 
@@ -185,9 +189,9 @@ def identify(df: DataFrame, model: Mixture, text: str = "text", keep: list[str]
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 got = [m.infer(x.as_py()) for x in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(fields))), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([list(x[2].items()) for x in got], pa.map_(pa.string(), pa.float64()))], names=[*(f.name for f in fields), "lang_pred", "score", "proportions"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(fields))), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([list(x[2].items()) for x in got], pa.map_(pa.string(), pa.float64()))], names=[*(f.name for f in fields), *RESULTS])
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)
+    return df.select(*keep, F.col(text).cast("string").alias(unused("text", [f.name for f in fields]))).mapInArrow(released(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import released
+from loomfield.llm.common import released, unused
 
 WIDTH = 64
 TILE = 32
@@ -195,7 +195,7 @@ def image_tiles(df: DataFrame, image: str = "image", key: str = "image_id", side
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[key, "height", "width", "channels", "tiles", "dhash", "error"])
 
-    return df.select(key, F.col(image).cast("binary").alias("__image")).mapInArrow(released(run), f"`{key}` {kind}, height int, width int, channels int, tiles array<binary>, dhash string, error string")
+    return df.select(key, F.col(image).cast("binary").alias(unused("image", [key]))).mapInArrow(released(run), f"`{key}` {kind}, height int, width int, channels int, tiles array<binary>, dhash string, error string")
 
 
 def text_media(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, with_tiles: bool = False) -> DataFrame:
@@ -225,4 +225,4 @@ def text_media(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
                 names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "media", "tiles"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names[: len(kinds) + 1])
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), schema)

@@ -5,15 +5,19 @@ than `max_epochs` times are clamped there, the rest is shared anew by weight, un
 above: the water level is found by rounds of one aggregation over the table of sources.
 
 A target of w + f times a source's size means w whole repetitions and a fraction f of the next:
-a seeded subset of its documents. Documents are ordered by a seeded hash; the subset is the
-longest run from the start that fits, then the longest run of documents that still fit into
-what is missing, and so on. Each run is given by a size limit and a last hash, found from sums
-over hash buckets and one bucket's rows, so no task sees a whole source.
+a seeded subset of its documents, or where f is over a half, all but a seeded subset. Documents
+are ordered by a seeded hash of key and text; the subset is the longest run from the start that
+fits, then the longest run of documents that still fit into what is missing, and so on, until
+less than `CLOSE` of the target is missing, at most `RUNS` times. Each run is given by a size
+limit and a last hash, found from sums over hash buckets and one bucket's rows, so no task sees
+a whole source.
 
 The default weights are 5, 2, 1, repeating over the sources by code point, null last. Null text
-has size 0 and is repeated as its source is, whole times only. Repeated rows share a hash and
-are taken or left together. An empty table gives an empty one. Other columns pass through;
-results are the columns named in `mix`.
+has size 0 and is repeated as its source is, whole times only. Rows equal in key and text share a
+hash and are taken or left together; rows without a key, or with another row's, are told apart
+by their texts. A very long text is one row like any other: if it doesn't fit into what is
+missing, it isn't in the subset. An empty table gives an empty one. Columns of any names pass through,
+as the fields of `row`.
 """
 
 from __future__ import annotations
@@ -56,14 +60,18 @@ def targets(work: Workspace, rows: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
 
 def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """df's columns and, as one struct `__mix`: size, source_size, target, copies."""
+    """row: df's columns; mix: size, source_size, target, copies."""
     work = Workspace(df.sparkSession, "mix")
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text).cast("string"))
     rows = work.save(df.select(F.col(source).cast("string").alias("source"), size_of(text).alias("size"), order.alias("u")), "rows")
     rows = rows.withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     plan = targets(work, rows, weights, percent, max_epochs).withColumn("whole", whole)
-    plan = plan.withColumns({"need": F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint"), "runs": F.array().cast("array<struct<most:bigint,bucket:int,u:bigint>>")})
+    part = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint")
+    plan = plan.withColumn("part", part).withColumn("left_out", F.col("part") * 2 > F.col("source_size"))
+    plan = plan.withColumn("part", F.when(F.col("left_out"), F.col("source_size") - F.col("part")).otherwise(F.col("part")))
+    plan = plan.withColumns({"need": F.col("part"), "runs": F.array().cast("array<struct<most:bigint,bucket:int,u:bigint>>")})
+    fixed = ("source", "source_size", "target", "whole", "left_out", "part")
     plan = work.save(plan, "plan-0")
     for k in range(1, RUNS + 1):
         left = plan.agg(F.max(F.when(F.col("target") > 0, F.col("need") / F.col("target")).otherwise(0))).first()[0]
@@ -82,15 +90,17 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
         # without an edge everything fits
         new = F.struct(F.col("need").alias("most"), F.coalesce("edge.bucket", F.lit(BUCKETS)).alias("bucket"), F.coalesce("u", F.lit(-(2**63))).alias("u"))
         planned = plan.join(e, F.col("source").eqNullSafe(F.col("se")), "left").join(z, F.col("source").eqNullSafe(F.col("sz")), "left").withColumn("runs", F.when(F.col("need") > 0, F.concat("runs", F.array(new))).otherwise(F.col("runs")))
-        planned = work.save(planned.select("source", "source_size", "target", "whole", "need", "runs"), f"planned-{k}")
+        planned = work.save(planned.select(*fixed, "need", "runs"), f"planned-{k}")
         got = rows.join(planned.select(F.col("source").alias("s"), "runs"), F.col("source").eqNullSafe(F.col("s"))).where(_taken("size", "bucket", "u")).groupBy("s").agg(F.sum("size").alias("got"))
-        left_over = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint") - F.coalesce("got", F.lit(0))
-        plan = work.save(planned.join(got, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("need", left_over).select("source", "source_size", "target", "whole", "need", "runs"), f"plan-{k}")
-    plan = plan.select(F.col("source").alias("__s"), F.struct("source_size", "target", "whole", "runs").alias("__p"))
-    named = df.withColumns({"__size": size_of(text), "__u": order}).withColumn("__b", F.pmod("__u", F.lit(BUCKETS)).cast("int"))
-    joined = named.join(plan, F.col(source).cast("string").eqNullSafe(F.col("__s")))
-    copies = F.col("__p.whole") + F.when(_taken("__size", "__b", "__u", "__p.runs") & (F.col("__size") > 0), 1).otherwise(0)
-    return joined.withColumn("__mix", F.struct(F.col("__size").alias("size"), F.col("__p.source_size"), F.col("__p.target"), copies.alias("copies"))).select(*(F.col(f"`{c}`") for c in df.columns), "__mix")
+        left_over = F.col("part") - F.coalesce("got", F.lit(0))
+        plan = work.save(planned.join(got, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("need", left_over).select(*fixed, "need", "runs"), f"plan-{k}")
+    work.drop("rows", *(f"{name}-{i}" for i in range(1, k + 1) for name in ("edge", "planned")), *(f"plan-{i}" for i in range(k - 1)))
+    plan = plan.select(F.col("source").alias("s"), F.struct("source_size", "target", "whole", "left_out", "runs").alias("plan"))
+    named = df.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), order.alias("u"))
+    joined = named.withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int")).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    once_more = (_taken("size", "bucket", "u", "plan.runs") != F.col("plan.left_out")) & (F.col("size") > 0)
+    copies = F.col("plan.whole") + F.when(once_more, 1).otherwise(0)
+    return joined.select("row", F.struct("size", "plan.source_size", "plan.target", copies.alias("copies")).alias("mix"))
 
 
 def _taken(size: str, bucket: str, u: str, runs: str = "runs") -> Column:
@@ -100,5 +110,5 @@ def _taken(size: str, bucket: str, u: str, runs: str = "runs") -> Column:
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it was taken."""
-    return mixed.where("__mix.copies > 0").withColumn("__k", F.explode(F.expr("sequence(1, __mix.copies)"))).drop("__mix", "__k")
+    """The mix itself: df's columns, each row as often as it was taken."""
+    return mixed.where("mix.copies > 0").select("row", F.explode(F.expr("sequence(1, mix.copies)"))).select("row.*")

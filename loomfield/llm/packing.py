@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.bpe import VOCABULARY, codec
-from loomfield.llm.common import released, tokenizer_path
+from loomfield.llm.common import released, tokenizer_path, unused
 
 LENGTH = 2048
 BLOCK_TOKENS = 1 << 21
@@ -128,4 +128,4 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = L
                     held = 0
         yield from flush(arrow_kind)
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), schema)

@@ -52,7 +52,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"))
+    return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import released, tokenizer_path
+from loomfield.llm.common import released, tokenizer_path, unused
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_CHARS = 32_768
@@ -135,4 +135,4 @@ def token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
                     n[i], widened[i] = splice(lib, texts[i], chunk_chars, overlap_chars)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n]), pa.array(widened, pa.int64())], names=[key, "n_bytes", "n_tokens", "over_limit", "n_widened"])
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_widened bigint")
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_widened bigint")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomfield.llm import langid, media, mixing, quality, secrets, sharding
 
+from .conftest import prose
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,9 +135,9 @@ def test_order_of_rules_changes_no_verdict(docs):
 
 @pytest.mark.parametrize("sep", ["\n", " "])
 def test_junk_goes_and_prose_stays(spark, sep):
-    rows = [(1, sep.join(f"The quiet river number {i} runs past a mill." for i in "abcdefghijklmnop")), (2, "WORDS SHOUTED AT EVERYONE WITHOUT ANY PAUSE OR REASON GIVEN TODAY FRIENDS"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (4, "buy### now$$$ cheap%%% deal&&& win*** free||| go<<< act>>> top### best$$$ last%%% one")]
+    rows = [(1, sep.join(prose(i, 12) for i in range(9))), (5, sep.join(f"The quiet river number {i} runs past a mill." for i in "abcdefghijklmnop")), (2, "WORDS SHOUTED AT EVERYONE WITHOUT ANY PAUSE OR REASON GIVEN TODAY FRIENDS"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (4, "buy### now$$$ cheap%%% deal&&& win*** free||| go<<< act>>> top### best$$$ last%%% one")]
     got = {r["doc_id"]: r["kept"] for r in quality.cascade(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[2] is False and got[3] is False and got[4] is False
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False}  # 5 repeats five words over and over
 
 
 def test_scripts_without_blanks_stay(spark):
@@ -160,6 +162,45 @@ def test_languages(spark, docs, none):
     assert langid.sample(d.where(langid.held_out()), "text", "lang", "doc_id", ~langid.held_out()) == []
 
 
+def test_sample_keeps_every_language(spark):
+    rows = [(1, f"der kleine Hund {i % 50} läuft schnell", "de") for i in range(10_000)] + [(i, f"the small dog {i} runs", "en") for i in range(100, 200)]
+    rows += [(3, "le petit chien court", "fr")] * 3000
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = langid.sample(d, "text", "lang", "doc_id", F.lit(True))
+    assert Counter(lang for _, lang in got) == {"de": 50, "en": 100, "fr": 1}
+    few = langid.sample(d, "text", "lang", "doc_id", F.lit(True), 10)
+    assert Counter(lang for _, lang in few) == {"de": 10, "en": 10, "fr": 1} and few == langid.sample(d.repartition(7), "text", "lang", "doc_id", F.lit(True), 10)
+
+
+def test_results_replace_kept_columns_of_their_names(spark, docs):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    clashing = docs.selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS __text")
+    got = langid.identify(clashing, model)
+    assert got.columns == [*docs.columns, "__text", *langid.RESULTS] and {r["__text"] for r in got.collect()} == {3}
+
+
+def test_expectation_maximisation(spark):
+    """Proportions against a plain version of the same steps, in whole floats."""
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    r = np.random.default_rng(4)
+    words = r.normal(-20, 4, (300, 3))
+    p = np.exp(words - words.max(axis=1, keepdims=True))
+    got, value = model._proportions(p, float(words.max(axis=1).sum()))
+    share = [1 / 3] * 3
+    for _ in range(langid.ROUNDS):
+        new = [0.0] * 3
+        for row in p:
+            total = sum(a * b for a, b in zip(row, share))
+            new = [n + a * b / total / len(p) for n, a, b in zip(new, row, share)]
+        done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+        share = new
+        if done:
+            break
+    assert np.allclose(got, share, atol=1e-6)
+    want = sum(np.log(sum(s * np.exp(w) for s, w in zip(share, row))) for row in words)
+    assert abs(value - want) < 1e-5 * abs(want)
+
+
 def test_mixture_finds_two_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = d.where("lang IN ('en', 'fr') AND n_chars > 2000").select("text", "lang").collect()
@@ -277,7 +318,7 @@ def filled(sizes, weights, budget, cap):
 
 def test_mix_targets(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mix(d).select("doc_id", "source", "text", "__mix.*").collect()
+    rows = mixing.mix(d).select("row.doc_id", "row.source", "row.text", "mix.*").collect()
     sizes: Counter = Counter()
     for r in rows:
         assert r["size"] == len(WORD.findall(r["text"])) and 0 <= r["copies"] <= 2
@@ -289,13 +330,47 @@ def test_mix_targets(spark):
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
         taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 1 for s in names)
-    again = {r["doc_id"]: r["copies"] for r in mixing.mix(d.repartition(5)).select("doc_id", "__mix.copies").collect()}
+    again = {r["doc_id"]: r["copies"] for r in mixing.mix(d.repartition(5)).select("row.doc_id", "mix.copies").collect()}
     assert again == {r["doc_id"]: r["copies"] for r in rows}
 
 
 def test_mix_of_odd_rows(docs, none):
-    rows = mixing.mix(docs).select("doc_id", "source", F.col("__mix.size").alias("words"), "__mix.copies").collect()
+    rows = mixing.mix(docs).select("row.doc_id", "row.source", F.col("mix.size").alias("words"), "mix.copies").collect()
     assert len(rows) == docs.count() and {r["source"] for r in rows} == {"a", "b", None}
     assert all(r["copies"] <= 2 for r in rows)
-    assert mixing.repeat(mixing.mix(docs)).columns == docs.columns
     assert mixing.mix(none).count() == 0
+    clashing = docs.selectExpr("*", "1 AS __size", "2 AS __u", "3 AS __b", "4 AS mix", "5 AS row", "6 AS plan", "7 AS bucket", "8 AS u")
+    some = mixing.repeat(mixing.mix(clashing))
+    assert some.columns == clashing.columns
+    assert {tuple(r)[-8:] for r in some.collect()} == {tuple(range(1, 9))}
+
+
+def test_mix_reaches_targets_without_keys(spark):
+    rows = [(None, prose(i, 20 + i % 60), s) for s, n in (("a", 300), ("b", 300), ("c", 300)) for i in range(n)]
+    rows += [(7, prose(9000 + i, 40), "d") for i in range(300)]  # one id, many texts
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    taken, target = Counter(), {}
+    for r in mixing.mix(d).select("row.source", "mix.*").collect():
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items()) and len(target) == 4
+
+
+def test_mix_takes_the_first_of_the_seeded_order(spark):
+    """The first run of a fraction, or of what it leaves out, against a plain version: documents by hash, as long as they fit."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    order = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), "text")
+    rows = mixing.mix(d).select("row.*", "mix.*").withColumn("u", order).collect()
+    for s in {r["source"] for r in rows}:
+        own = sorted((r for r in rows if r["source"] == s and r["size"] > 0), key=lambda r: (r["u"] % mixing.BUCKETS, r["u"]))
+        whole = int(own[0]["target"] // own[0]["source_size"])
+        need = round(own[0]["target"] - whole * own[0]["source_size"])
+        left_out = 2 * need > own[0]["source_size"]
+        need = own[0]["source_size"] - need if left_out else need
+        fits, at = [r for r in own if r["size"] <= need], 0
+        for r in fits:
+            at += r["size"]
+            if at > need:
+                break
+            assert r["copies"] == whole + (not left_out)
+        assert sum(r["size"] for r in own if (r["copies"] > whole) != left_out) <= need
