@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model, keep=docs.columns)
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model, keep=["row"]).where("lang_pred <> 'und'")
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
