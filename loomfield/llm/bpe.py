@@ -3,9 +3,9 @@
 The monoid's elements are (text, ids); its product is the encoding of the joined text.
 A text is halved down to leaves, each leaf is encoded by itself, and neighbours are joined
 by encoding a window around the cut again. The window grows to both sides until it ends at
-*hard boundaries*: places where a visible ASCII character precedes a blank. No alternative of
-the splitting pattern has a blank after another character, and the pattern never looks back,
-so every match ends there in any context: tokens outside the window can't change.
+*hard boundaries*: the places of `common.PLACE`, where every match of the splitting pattern ends
+in any context, so tokens outside the window can't change. A stretch without such a place is a
+leaf, however long. The proof is of one pattern; with another, a text is one leaf.
 Decoding concatenates the leaves' bytes up the same tree.
 
 Nulls and empty texts give no ids. Very long texts need memory in proportion to one text.
@@ -17,20 +17,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import released, tokenizer_path, unused
+from loomfield.llm.common import BYTE_PATTERN, PLACE, released, tokenizer_path, unused
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 4096
 WINDOW_CHARS = 32
-#: A visible ASCII character, then a blank: the match that holds the first ends before the second.
-HARD = re.compile(r"[!-~](?=[ \t\n\r])")
 
 _codecs: dict[tuple[str, int, int], "TreeCodec"] = {}
 
@@ -44,6 +41,7 @@ class TreeCodec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.leaf_chars, self.window_chars = max(1, leaf_chars), max(1, window_chars)
+        self.proven = public_tokenizers.PATTERN == BYTE_PATTERN
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.decimal_of = {i: str(i) for i in self.bytes_of}
 
@@ -54,7 +52,7 @@ class TreeCodec:
         return self._encode(text, 0, len(text)) if text else []
 
     def _encode(self, text: str, lo: int, hi: int) -> list[int]:
-        if hi - lo <= self.leaf_chars:
+        if hi - lo <= self.leaf_chars or not self.proven or not PLACE.search(text, lo, hi):
             return self.leaf(text[lo:hi])
         mid = (lo + hi) // 2
         return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
@@ -73,7 +71,7 @@ class TreeCodec:
         width = self.window_chars
         while True:
             start, last = max(lo, mid - width), None
-            for m in HARD.finditer(text, start, mid):
+            for m in PLACE.finditer(text, start, mid):
                 last = m.end()
             if last is not None:
                 return last
@@ -86,7 +84,7 @@ class TreeCodec:
         width = self.window_chars
         while True:
             end = min(hi, mid + width)
-            if m := HARD.search(text, mid, end):
+            if m := PLACE.search(text, mid, end):
                 return m.end()
             if end == hi:
                 return hi

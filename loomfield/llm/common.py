@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Splitting patterns whose matches end at every place of `PLACE`.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The character before a stable place: any but white space before an ASCII blank, or an ideograph, kana or
+#: Hangul syllable before full-width punctuation. In both patterns no match holds white space after
+#: another character, nor a letter and then punctuation; neither looks back, and only runs of white
+#: space look ahead. So matches on either side don't depend on each other, in any script.
+PLACE = re.compile("\\S(?=[ \t\n\r])|[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3](?=[。、，！？；：])")
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; PUBLIC_TOKENIZERS may name another folder."""

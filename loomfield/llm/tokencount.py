@@ -2,11 +2,13 @@
 
 Documents of up to `chunk_chars` go to the library whole. A longer one is cut into chunks that
 overlap; each chunk is encoded with offsets. Neighbours are spliced at a place in their overlap
-that both encodings share and that is proven stable: an ASCII blank between visible ASCII
-characters. White space there ends every pre-token, no normaliser step reaches over it, and no
-special token holds one, so the tokens on either side don't depend on each other. The tokens
-from that place to the next such place must also agree in both chunks; if there is no such
-place, or they don't agree, the overlap doubles, at most to the document's end.
+that both encodings share and that is proven stable: one of `common.PLACE`, in any script. Every
+pre-token ends there, no normaliser step reaches over it, and no special token holds one, so the
+tokens on either side don't depend on each other. The tokens from that place to the next such
+place must also agree in both chunks; if there is no such place, or they don't agree, the
+overlap doubles, at most to the document's end. The proof is of the file's normaliser,
+pre-tokenizer and added tokens, which are looked at when it is loaded; with others, and with
+sentencepiece, whose pieces may hold blanks, every document goes to the library whole.
 
 Nulls and empty texts have 0 tokens and 0 bytes. Repeated rows stay; an empty table gives an
 empty one; only the named columns are read, so other columns may have any names. One document
@@ -15,8 +17,8 @@ must fit in a worker's memory; its encodings are held for one chunk at a time.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import released, tokenizer_path, unused
+from loomfield.llm.common import PLACE, WORD_PATTERN, released, tokenizer_path, unused
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 128
 LIMIT = 2048
-ANCHOR = re.compile(r"(?<=[!-~])[ \t\n\r](?=[!-~])")
+NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
 
 _counters: dict[str, "TokenizerLibrary | PieceLibrary"] = {}
 
@@ -45,6 +47,8 @@ class TokenizerLibrary:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.spliced = proven(json.load(f))
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,7 +60,7 @@ class TokenizerLibrary:
 
 
 class PieceLibrary:
-    """sentencepiece: .model files. Its pieces may hold blanks, so only whole texts are counted."""
+    """sentencepiece: .model files, whole texts only."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -66,7 +70,23 @@ class PieceLibrary:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.t.encode(texts, num_threads=1)]
 
-    tokens = None
+    spliced = False
+
+
+def proven(spec: dict) -> bool:
+    """Do tokens never depend on what is beyond a place of `common.PLACE`?
+
+    None of NORMALIZERS composes, reorders or changes a character by one beyond white space or full-width punctuation.
+    """
+    steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    normal, pre = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    words = [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}]
+    own = [x for x in pre if x["type"] != "ByteLevel"]
+    level = [x for x in pre if x["type"] == "ByteLevel"]
+    plain = not any(x.get("add_prefix_space") for x in level)
+    splits = own == words and not any(x.get("use_regex", True) for x in level) or not own and len(level) == 1 and level[0].get("use_regex", True)
+    added = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or not a["content"].isascii() or any(c.isspace() for c in a["content"]) for a in spec.get("added_tokens") or ())
+    return plain and splits and added and all(n in NORMALIZERS for n in normal)
 
 
 def library(path: str):
@@ -105,8 +125,10 @@ def splice(lib, text: str, chunk_chars: int, overlap_chars: int) -> tuple[int, i
 def _common(text: str, begin: int, right: int, end: int, ids: list[int], starts: list[int], more: list[int], offsets: list[int]) -> int | None:
     """The first proven place in the overlap from which to the next one both chunks have the same tokens."""
     last = None
-    for m in ANCHOR.finditer(text, right, end):
-        p = m.start()
+    for m in PLACE.finditer(text, right, end):
+        p = m.end()
+        if p == end:
+            break
         if last is not None:
             a, b = bisect_left(starts, last - begin), bisect_left(starts, p - begin)
             c, d = bisect_left(offsets, last - right), bisect_left(offsets, p - right)
@@ -127,7 +149,7 @@ def token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                whole = [i for i, t in enumerate(texts) if len(t) <= chunk_chars or lib.tokens is None]
+                whole = [i for i, t in enumerate(texts) if len(t) <= chunk_chars or not lib.spliced]
                 n, widened = [0] * len(texts), [0] * len(texts)
                 for i, c in zip(whole, lib.counts([texts[i] for i in whole])):
                     n[i] = c

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from loomfield.llm import bpe, packing, tokencount
 from loomfield.llm.common import tokenizer_path
 
-ODD = ["a", "'", "'re", "ll", " ", "  ", "\n", "\t", "é", "é", "1", "२", "!", " ", "　", "日本", "the", "\r\n", "x" * 9, "İ", "Σ", "<|endoftext|>", "́"]
+ODD = ["a", "'", "'re", "ll", " ", "  ", "\n", "\t", "é", "é", "1", "२", "!", " ", "　", "日本", "the", "\r\n", "x" * 9, "İ", "Σ", "<|endoftext|>", "́", "слово", "。", "，", "か", "\u3099", "한", "\u11a8", "Ⅷ", "²", "\x1c", "\u2028", "\u2000", "t|"]
 TEXTS = st.lists(st.sampled_from(ODD), max_size=60).map("".join)
 
 
@@ -31,11 +32,38 @@ def test_tree_equals_library(small_leaves, text):
     assert small_leaves.decode(ids) == text.encode()
 
 
-@settings(max_examples=150, deadline=None)
-@given(TEXTS, st.integers(2, 40), st.integers(2, 9))
-def test_splice_equals_library(text, chunk, overlap):
+@pytest.mark.parametrize("vocabulary", [tokencount.VOCABULARY, "byte_bpe_50k.json"])
+@settings(max_examples=300, deadline=None)
+@given(text=TEXTS, chunk=st.integers(2, 40), overlap=st.integers(2, 9))
+def test_splice_equals_library(vocabulary, text, chunk, overlap):
+    lib = tokencount.library(tokenizer_path(vocabulary))
+    assert lib.spliced and tokencount.splice(lib, text, chunk, overlap)[0] == lib.counts([text])[0]
+
+
+def test_other_tokenizers_are_used_whole(tmp_path):
+    with open(tokenizer_path(tokencount.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokencount.proven(spec)
+    for change in ({"normalizer": {"type": "NFD"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Metaspace"}}, {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]}):
+        assert not tokencount.proven(spec | change)
+
+
+def test_long_texts_of_any_script_need_no_widening():
+    """Work in proportion to the text: no overlap grows, and windows of the tree stay small."""
     lib = tokencount.library(tokenizer_path(tokencount.VOCABULARY))
-    assert tokencount.splice(lib, text, chunk, overlap)[0] == lib.counts([text])[0]
+    c = bpe.codec(tokenizer_path(bpe.VOCABULARY))
+    encoded = []
+    r = random.Random(2)
+    cyrillic = " ".join("".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.randint(2, 9))) for _ in range(30_000))
+    chinese = "".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randint(2, 20))) + r.choice("，。") for _ in range(8_000))
+    for text in (cyrillic, chinese):
+        n, widened = tokencount.splice(lib, text, tokencount.CHUNK_CHARS, tokencount.OVERLAP_CHARS)
+        assert n == lib.counts([text])[0] and widened == 0
+        tree = bpe.TreeCodec(tokenizer_path(bpe.VOCABULARY))
+        whole = tree.leaf
+        encoded.clear()
+        tree.leaf = lambda t: encoded.append(len(t)) or whole(t)  # noqa: B023
+        assert tree.encode(text) == c.leaf(text) and sum(encoded) < 1.2 * len(text)
 
 
 def test_overlap_is_widened_where_nothing_aligns():
