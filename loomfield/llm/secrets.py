@@ -1,25 +1,30 @@
 """Secret scans: fixed patterns, and two character Markov models compared by likelihood ratio.
 
 Base kinds are found by pattern, leftmost and non-overlapping within a kind. What lies outside
-them is searched for long runs of token characters; a run is a secret when the model of random
-strings gives it a likelihood that exceeds the model of ordinary identifiers by `MIN_TOTAL`
+them is searched for runs of token characters; a run is a secret when the model of random
+strings gives it a likelihood that exceeds the model of ordinary text by `MIN_TOTAL`
 nats in all and `MIN_MEAN` a character. Where the whole run fails, as in NAME=value and in paths
 and prefixes, its parts are tried: the running sum of the ratio less `MIN_MEAN` a character
 begins again below zero, and a part ends where the sum has fallen by `MIN_GAIN` from its maximum;
 parts that rise by less are ordinary. Parts lose what lies beyond a separator in the `EDGE` characters
 at their ends, then grow to the `SEPARATORS` around them; parts that meet are one, and a secret
-has `MIN_TOTAL` nats and `MIN_RUN` characters. Both models are bigram tables with add-half
-smoothing over ASCII, trained by aggregation from labelled samples (`text`, `secret`); without samples of
-one's own, `labelled_samples` makes some by rule. Positions are code points, end exclusive.
-
-Everything is built-in functions on one row, with no shuffle; the model is a literal of 128 x
-128 numbers. Null text is empty. Repeated rows stay; an empty table gives an empty one. Only the
-named columns are read.
+has `MIN_TOTAL` nats. Runs and parts have `MIN_RUN` characters or more: a shorter string can't reach
+`MIN_TOTAL` but by a few rare pairs. Both models are bigram tables with add-half
+smoothing over ASCII, trained by aggregation from labelled samples (`text`, `secret`): some made by
+rule (`labelled_samples`), and tokens of a bounded, hashed sample of the table's own documents, the
+matches of the fixed patterns as secrets and shorter runs of token characters, which are words, as ordinary
+(`document_samples`). No set weighs more than `SET_PAIRS` pairs. Positions are code points, end exclusive.
+
+Everything is built-in functions on one row, with no shuffle but that of the samples; the model is
+a literal of 128 x 128 numbers. Work grows in proportion to a text's length, however many matches
+it has. Null text is empty. Repeated rows stay; an empty table gives an empty one and adds nothing to the
+samples. Columns of any names pass through `redact`; `scan` reads the named ones only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +38,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 24, 0),
 )
 RANDOM = "random"
-RUN = r"[A-Za-z0-9+/=_-]{20,}"
-MIN_RUN = 20
+MIN_RUN = 14
+RUN = rf"[A-Za-z0-9+/=_-]{{{MIN_RUN},}}"
 SEPARATORS = "/=_-"
 EDGE = 4
 BASE = rf"(?:{KINDS[0][1]})|AKIA[A-Z0-9]{{16,}}|{KINDS[2][1]}"
@@ -42,6 +47,13 @@ MIN_TOTAL = 16.0
 MIN_MEAN = 0.6
 MIN_GAIN = 8.0
 SAMPLES = 3000
+#: Bounds of the sample of documents: rows, and characters of each that teach.
+SAMPLE_DOCUMENTS = 2000
+SAMPLE_CHARS = 20_000
+#: A set of samples counts as so many pairs in each class at most.
+SET_PAIRS = 100_000.0
+#: Items of a chunk of `running`.
+CHUNK = 256
 #: Ordinary parts of identifiers.
 PARTS = (
     "account address array average base batch block buffer build byte cache call channel child class client close code column config connection content "
@@ -79,11 +91,33 @@ def pairs(c: Column) -> Column:
     return F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: a * 128 + b)
 
 
-def train(samples: DataFrame) -> list[float]:
-    """ln(P(next | character, random) / P(next | character, ordinary)), at code * 128 + next code. The counts, at most 2 x 128 x 128, come to the driver."""
-    ascii_only = samples.where(F.col("text").rlike(r"^[\x21-\x7E]{2,}$"))
-    each = ascii_only.select("secret", F.explode(let(codes(F.col("text")), pairs)).alias("pair"))
-    counts = {(r["secret"], r["pair"]): r["n"] for r in each.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()}
+def document_samples(df: DataFrame, text: str = "text", rows: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """text, secret: tokens of about `rows` distinct texts, those with the least hashes.
+
+    Matches of the fixed patterns are secrets where they are long enough to be random. Other runs teach what is
+    ordinary where they are too short to be looked at, so that a secret in the sample teaches nothing.
+    """
+    hashed = df.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.lit(5), F.col(text).cast("string")).alias("h")).where("t IS NOT NULL")
+    n = df.count()
+    some = hashed.where(F.col("h") <= F.lit(min((1 << 63) - 1, int(rows / max(1, n) * (1 << 64)) - (1 << 63)))).groupBy("h").agg(F.min("t").alias("t"))
+    found = lambda pattern, group: F.regexp_extract_all("t", F.lit(pattern), F.lit(group))
+    long = F.filter(F.flatten(F.array(*(found(p, g) for _, p, _, g in KINDS))), lambda x: F.length(x) >= MIN_RUN)
+    plain = F.filter(F.regexp_extract_all(F.regexp_replace("t", BASE, " "), F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0)), lambda x: F.length(x) < MIN_RUN)
+    return some.select(F.inline(F.concat(F.transform(long, lambda x: F.struct(x.alias("text"), F.lit(True).alias("secret"))), F.transform(plain, lambda x: F.struct(x.alias("text"), F.lit(False).alias("secret"))))))
+
+
+def train(*sets: DataFrame) -> list[float]:
+    """ln(P(next | character, random) / P(next | character, ordinary)), at code * 128 + next code. The counts, at most 2 x 128 x 128 a set, come to the driver."""
+    counts: dict[tuple[bool, int], float] = {}
+    for samples in sets:
+        ascii_only = samples.where(F.col("text").rlike(r"^[\x21-\x7E]{2,}$"))
+        each = ascii_only.select("secret", F.explode(let(codes(F.col("text")), pairs)).alias("pair"))
+        found = each.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()
+        for secret in (True, False):
+            total = sum(r["n"] for r in found if r["secret"] == secret)
+            for r in found:
+                if r["secret"] == secret:
+                    counts[secret, r["pair"]] = counts.get((secret, r["pair"]), 0.0) + r["n"] * min(1.0, SET_PAIRS / total)
     seen = range(33, 127)
     out = [0.0] * (128 * 128)
     for a in seen:
@@ -93,21 +127,45 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def default_model(df: DataFrame, text: str = "text") -> list[float]:
+    """Trained from samples made by rule and from the table's own documents."""
+    return train(labelled_samples(df.sparkSession), document_samples(df, text))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """combine over each item and all before it; combine is associative, zero its neutral element.
+
+    An accumulator that grows costs its square, so items go in chunks that begin with the running
+    results of the chunks' totals.
+    """
+
+    def scan(items: Column, first: Column) -> Column:
+        """`first`, then the running results."""
+        return F.aggregate(items, F.array(first), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def of(parts: Column) -> Column:
+        starts = scan(F.transform(parts, lambda c: F.aggregate(c, zero, combine)), zero)
+        return let(starts, lambda s: F.flatten(F.transform(parts, lambda c, k: F.slice(scan(c, F.get(s, k)), 2, CHUNK))))
+
+    return let(values, lambda v: let(F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK))), of))
+
+
+NONE = "array<struct<start:int,rank:int,end:int>>"
+
+
 def _spans(text: Column, pattern: str, rank: int, least: int, group: int) -> Column:
     """start, rank, end of the matches of a pattern, from what it splits the text into and what it extracts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    # the piece after the last match has none
     lengths = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("n"), F.transform(value, F.length).alias("v"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["n"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["v"], F.lit(-1)) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def of(zipped: Column) -> Column:
+        ends = running(F.transform(zipped, lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))), lambda a, b: a + b, F.lit(0))
+        spans = F.zip_with(zipped, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["v"].alias("v")))
+        return F.transform(F.filter(spans, lambda x: F.coalesce(x["v"], F.lit(-1)) >= least), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
 
-    walked = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), let(lengths, of)).otherwise(F.array().cast(NONE))
 
 
 def _high_parts(ratios: Column) -> Column:
@@ -164,29 +222,42 @@ def _random_parts(run: Column, model: Column) -> Column:
     return let(F.transform(pairs(codes(run)), lambda i: F.get(model, i)), of)
 
 
-def _random_spans(text: Column, base: Column, model: Column) -> Column:
-    """Runs outside the base matches, or parts of them, that the models call random."""
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    rank = len(KINDS)
+def _gaps(text: Column) -> Column:
+    """at, gap: what lies between base matches, where it has a run."""
+    pieces = F.arrays_zip(F.split(text, BASE, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(BASE), F.lit(0)), F.length).alias("n"))
+
+    def of(zipped: Column) -> Column:
+        ends = running(F.transform(zipped, lambda x: F.length(x["gap"]) + F.coalesce(x["n"], F.lit(0))), lambda a, b: a + b, F.lit(0))
+        at = F.zip_with(zipped, ends, lambda x, end: F.struct((end - F.coalesce(x["n"], F.lit(0)) - F.length(x["gap"])).alias("at"), x["gap"].alias("gap")))
+        return F.filter(at, lambda x: x["gap"].rlike(RUN))
+
+    return F.when(text.rlike(RUN), let(pieces, of)).otherwise(F.array().cast("array<struct<at:int,gap:string>>"))
+
+
+def _runs(gaps: Column) -> Column:
+    """at, run: the runs of the gaps."""
+    each = lambda g: F.zip_with(_spans(g["gap"], RUN, 0, 0, 0), F.regexp_extract_all(g["gap"], F.lit(RUN), F.lit(0)), lambda s, r: F.struct((g["at"] + s["start"]).alias("at"), r.alias("run")))
+    return F.flatten(F.transform(gaps, each))
 
-    # gaps between base matches, with where they begin
-    pieces = F.arrays_zip(F.split(text, BASE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(BASE), F.lit(0)).alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
-        after = acc["at"] + F.length(x["gap"])
-        piece = F.struct(acc["at"].alias("at"), x["gap"].alias("gap"))
-        return F.struct((after + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["gap"].rlike(RUN), F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+def _random_spans(runs: Column, model: Column) -> Column:
+    """What of the runs the models call random."""
+    spans = lambda x: F.transform(_random_parts(x["run"], model), lambda p: F.struct((x["at"] + p["start"]).alias("start"), F.lit(len(KINDS)).alias("rank"), (x["at"] + p["end"]).alias("end")))
+    return F.flatten(F.transform(runs, spans))
 
-    gaps = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,gap:string>>").alias("out")), step, lambda acc: acc["out"])
 
-    def inside(piece: Column) -> Column:
-        runs = F.regexp_extract_all(piece["gap"], F.lit(RUN), F.lit(0))
-        found = F.arrays_zip(_spans(piece["gap"], RUN, rank, 0, 0).alias("s"), runs.alias("r"))
-        spans = lambda x, at: F.transform(_random_parts(x["r"], model), lambda p: F.struct((at + p["start"]).alias("start"), F.lit(rank).alias("rank"), (at + p["end"]).alias("end")))
-        return F.flatten(F.transform(found, lambda x: spans(x, piece["at"] + x["s"]["start"])))
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of `base`: in one order by place, no base span that begins before a span's end reaches over its start."""
+    event = lambda at, kind, reach, start, end: F.struct(at.alias("at"), kind.alias("kind"), reach.alias("reach"), start.alias("start"), end.alias("end"))
+    bases = F.transform(base, lambda b: event(b["start"], F.lit(1), b["end"], b["start"], b["end"]))
+    own = F.transform(spans, lambda x: event(x["end"], F.lit(0), F.lit(-1), x["start"], x["end"]))
 
-    found = F.filter(F.flatten(F.transform(gaps, inside)), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.when(text.rlike(RUN), found).otherwise(none)
+    def of(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b), F.lit(-1))
+        kept = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e["kind"].alias("kind"), (r <= e["start"]).alias("free"), e["start"].alias("start"), e["end"].alias("end"))), lambda x: (x["kind"] == 0) & x["free"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end")))
+
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(let(F.array_sort(F.concat(bases, own)), of))
 
 
 def model_literal(model: list[float]) -> Column:
@@ -194,12 +265,13 @@ def model_literal(model: list[float]) -> Column:
 
 
 def with_spans(df: DataFrame, text: str = "text", model: list[float] | None = None) -> DataFrame:
-    """df with __text, __base and __all: arrays of (start, rank, end), by start and rank."""
-    model = train(labelled_samples(df.sparkSession)) if model is None else model
-    t = F.col("__text")
-    base = F.array_sort(F.concat(*(_spans(t, p, i, least, group) for i, (_, p, least, group) in enumerate(KINDS))))
-    named = df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__base", base)
-    return named.withColumn("__all", F.array_sort(F.concat("__base", _random_spans(t, F.col("__base"), model_literal(model)))))
+    """row: df's columns; body: the text, empty for null; base and spans: arrays of (start, rank, end), by start and rank."""
+    model = default_model(df, text) if model is None else model
+    named = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    base = F.array_sort(F.concat(*(_spans(F.col("body"), p, i, least, group) for i, (_, p, least, group) in enumerate(KINDS))))
+    found = named.withColumn("base", base).withColumn("gaps", _gaps(F.col("body"))).withColumn("runs", _runs(F.col("gaps")))
+    found = found.withColumn("random", _random_spans(F.col("runs"), model_literal(model))).withColumn("random", _apart(F.col("random"), F.col("base")))
+    return found.select("row", "body", "base", F.array_sort(F.concat("base", "random")).alias("spans"))
 
 
 def told(spans: Column) -> Column:
@@ -210,20 +282,43 @@ def told(spans: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: list[float] | None = None) -> DataFrame:
     """Per row: key, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    of = lambda rank: F.size(F.filter("__all", lambda s: s["rank"] == rank)).cast("bigint")
-    return with_spans(df.select(key, text), text, model).select(key, *(of(i).alias(f"n_{k}") for i, (k, *_) in enumerate(KINDS)), F.sha2(told(F.col("__base")).cast("binary"), 256).alias("base_sha256"), told(F.col("__all")).alias("spans"), of(len(KINDS)).alias("n_random"))
+    of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint")
+    found = with_spans(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", model)
+    return found.select(F.col("row.key").alias(key), *(of(i).alias(f"n_{k}") for i, (k, *_) in enumerate(KINDS)), F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), of(len(KINDS)).alias("n_random"))
+
+
+def _pieces(body: Column, intervals: Column, sizes: tuple[int, ...] = (CHUNK * CHUNK, CHUNK)) -> Column:
+    """The characters of each interval (a, z), which are in order. A substring walks from its string's beginning, so neighbours are taken out of a common piece."""
+    if not sizes:
+        return F.transform(intervals, lambda x: body.substr(x["a"] + 1, x["z"] - x["a"]))
+    n = sizes[0]
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(intervals) - 1) / n).cast("int")), lambda k: F.slice(intervals, k * n + 1, F.lit(n)))
+
+    def of(g: Column) -> Column:
+        first, last = F.get(g, F.lit(0))["a"], F.element_at(g, -1)["z"]
+        moved = F.transform(g, lambda x: F.struct((x["a"] - first).alias("a"), (x["z"] - first).alias("z")))
+        return let(F.struct(body.substr(first + 1, last - first).alias("body"), moved.alias("moved")), lambda x: _pieces(x["body"], x["moved"], sizes[1:]))
+
+    return F.when(F.size(intervals) <= n, _pieces(body, intervals, sizes[1:])).otherwise(F.flatten(F.transform(groups, of)))
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", model: list[float] | None = None) -> DataFrame:
-    """df with every secret of `text` replaced by a mark; overlapping spans by one. Null text stays null."""
-    t = F.col("__text")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.expr("substring(__text, 1, 0)"), t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__all", begun, step, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr(acc["at"] + 1, F.length(t))))
-    done = with_spans(df, text, model).withColumn(text, F.when(F.size("__all") > 0, clean).otherwise(F.col(text)))
-    return done.select(*(F.col(f"`{c}`") for c in df.columns))
+    """df with every secret of `text` replaced by a mark; spans that overlap or meet by one. Null text stays null."""
+    found = with_spans(df, text, model)
+
+    def clean(spans: Column) -> Column:
+        # a marked place begins where no earlier span reaches, and ends with the next such place's reach so far
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(-1))
+        before = F.concat(F.array(F.lit(-1)), F.slice(reach, 1, F.size(reach) - 1))
+        each = F.arrays_zip(spans.alias("s"), before.alias("b"), reach.alias("r"))
+        first = F.filter(each, lambda x: x["s"]["start"] > x["b"])
+        ends = lambda f: F.transform(f, lambda x, i: F.struct(x["s"]["start"].alias("a"), F.coalesce(F.get(f, i + 1)["b"], F.array_max(reach)).alias("z")))
+        return let(first, ends)
+
+    def ordinary(places: Column) -> Column:
+        """The intervals outside the places, in order."""
+        return F.transform(F.concat(F.array(F.lit(0)), places["z"]), lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(places, i)["a"], F.length("body")).alias("z")))
+
+    redacted = let(let(F.col("spans"), clean), lambda places: F.array_join(let(ordinary(places), lambda x: _pieces(F.col("body"), x)), mark))
+    changed = F.when(F.size("spans") > 0, redacted).otherwise(F.col(f"row.`{text}`"))
+    return found.select(*(changed.alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns))
