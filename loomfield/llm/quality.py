@@ -1,18 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-A rule names a condition for rejecting and what evaluating it costs: nanoseconds for each
-character or word that it looks at. On a bounded sample the mean numbers of characters and
-words give each rule's cost a row, and the share of rows that it rejects its selectivity.
-Rules are ordered by rejections per cost, and become one CASE: a row that an earlier rule
-rejects doesn't evaluate later ones. The order changes what a row costs, never its verdict;
-`rejected_by` names the first rule in that order that rejects it.
+A rule names a condition for rejecting. On a bounded, hashed sample, kept as a table, each rule is
+evaluated on every row between two readings of the JVM's clock: the median is its cost a row, and
+the share of rows that it rejects its selectivity. Rules are ordered by rejections per cost, and
+become one CASE: a row that an earlier rule rejects doesn't evaluate later ones. The order
+changes what a row costs, never its verdict; `rejected_by` names the first rule in that order
+that rejects it, so pass `order` where it must not vary between runs.
 
 Words are runs between ASCII white space, so `RULES` reject clean Chinese, Japanese and often Thai
 prose by its mean word length; `ANY_SCRIPT` doesn't.
 
 Everything is built-in functions on one row; there is no shuffle. Null and empty texts have
-zero counts and fail the base. Repeated rows stay; an empty table gives an empty one. Only the
-named columns are read.
+zero counts and fail the base. A very long text is one row's work, in proportion to its length but for
+the sorting of its 5-word windows' hashes. Repeated rows stay; an empty table gives an empty
+one. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import WORD
+from loomfield.llm.common import WORD, Workspace
 
-SAMPLE_ROWS = 256
-SAMPLE_CHARS = 100_000
+#: Distinct texts that the estimates are made of, about.
+SAMPLE_ROWS = 1000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -78,9 +79,6 @@ def measures(text: Column) -> Column:
 class Rule:
     name: str
     reject: Callable[[Column, Column], Column]  # of the text and its measures
-    per_char: float = 0.0
-    per_word: float = 0.0
-    fixed: float = 20.0
 
 
 def _share(text: Column, drop: str) -> Column:
@@ -100,11 +98,11 @@ def _blankless(text: Column) -> Column:
 RULES = (
     Rule("mean_word_length", lambda t, m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"])),
     Rule("symbols_per_word", lambda t, m: m["n_symbols"] * 10 > m["n_words"] * 3),
-    Rule("duplicate_lines", lambda t, m: m["n_dup_lines"] * 2 > F.size(F.split(t, "\n")), per_char=1.0),
-    Rule("few_letters", lambda t, m: _share(t, r"\P{L}+") * 2 < m["word_chars"], per_char=8.0),
-    Rule("shouting", lambda t, m: _share(t, r"\P{Lu}+") * 10 > m["word_chars"] * 6, per_char=6.0),
-    Rule("bullet_lines", lambda t, m: (F.regexp_count(t, F.lit(r"(?m)^[\x20\t]*[-*•]\x20")) * 10 > F.size(F.split(t, "\n")) * 9) & (F.size(F.split(t, "\n")) > 3), per_char=12.0),
-    Rule("words_without_letters", lambda t, m: F.regexp_count(t, F.lit(r"(?:^|(?<=[\x20\x09-\x0D]))[^\x20\x09-\x0D\p{L}]+(?=[\x20\x09-\x0D]|$)")) * 2 > m["n_words"], per_char=25.0),
+    Rule("duplicate_lines", lambda t, m: m["n_dup_lines"] * 2 > F.size(F.split(t, "\n"))),
+    Rule("few_letters", lambda t, m: _share(t, r"\P{L}+") * 2 < m["word_chars"]),
+    Rule("shouting", lambda t, m: _share(t, r"\P{Lu}+") * 10 > m["word_chars"] * 6),
+    Rule("bullet_lines", lambda t, m: (F.regexp_count(t, F.lit(r"(?m)^[\x20\t]*[-*•]\x20")) * 10 > F.size(F.split(t, "\n")) * 9) & (F.size(F.split(t, "\n")) > 3)),
+    Rule("words_without_letters", lambda t, m: F.regexp_count(t, F.lit(r"(?:^|(?<=[\x20\x09-\x0D]))[^\x20\x09-\x0D\p{L}]+(?=[\x20\x09-\x0D]|$)")) * 2 > m["n_words"]),
 )
 
 
@@ -115,7 +113,7 @@ ANY_SCRIPT = (Rule("mean_word_length", lambda t, m: (m["word_chars"] < 2 * m["n_
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
-    cost: float
+    cost: float  # nanoseconds a row
     selectivity: float
 
     @property
@@ -123,23 +121,37 @@ class Estimate:
         return self.selectivity / self.cost
 
 
+def sample(df: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """t: about `rows` distinct texts, whole, those with the least hashes."""
+    n = df.count()
+    hashed = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64(F.lit(3), "t"))
+    return hashed.where(F.col("h") <= F.lit(min((1 << 63) - 1, int(rows / max(1, n) * (1 << 64)) - (1 << 63)))).groupBy("h").agg(F.min("t").alias("t")).select("t")
+
+
 def estimate(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost a row and share of rejections of each rule, over at most `rows` rows of at most `SAMPLE_CHARS` characters, best rejection per cost first; ties keep the given order."""
-    # take() reads as few partitions as it needs; a limit below an aggregation would gather some rows of each in one task
-    texts = [r["t"] for r in df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS).take(rows)]
-    some = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, texts)).cast("array<string>")).alias("t")).withColumn("m", measures(F.col("t")))
-    s = some.agg(F.count("*").alias("n"), F.avg(F.length("t")).alias("chars"), F.avg("m.n_words").alias("words"), *(F.avg(F.when(F.coalesce(r.reject(F.col("t"), F.col("m")), F.lit(False)), 1.0).otherwise(0.0)).alias(f"r{i}") for i, r in enumerate(rules))).first()
-    found = [Estimate(r, r.fixed + r.per_char * (s["chars"] or 0) + r.per_word * (s["words"] or 0), s[f"r{i}"] or 0.0) for i, r in enumerate(rules)]
+    """Cost a row and share of rejections of each rule on a sample, best rejection per cost first; ties keep the given order."""
+    work = Workspace(df.sparkSession, "quality")
+    some = work.save(sample(df, text, rows).withColumn("m", measures(F.col("t"))), "sample")
+    clock = lambda: F.expr("reflect('java.lang.System', 'nanoTime')").cast("bigint")  # noqa: E731  read once a row, in place
+    rejects = lambda r: F.coalesce(r.reject(F.col("t"), F.col("m")), F.lit(False))
+    steps = [clock().alias("c0")]
+    for i, r in enumerate(rules, 1):
+        steps += [rejects(r).alias(f"r{i}"), clock().alias(f"c{i}")]
+    timed = some.select(*steps)
+    each = [x for i in range(1, len(rules) + 1) for x in (F.percentile_approx(F.col(f"c{i}") - F.col(f"c{i - 1}"), 0.5).alias(f"cost{i}"), F.avg(F.col(f"r{i}").cast("int")).alias(f"share{i}"))]
+    s = timed.agg(*each).first()
+    work.drop("sample")
+    found = [Estimate(r, float(s[f"cost{i}"] or 1), s[f"share{i}"] or 0.0) for i, r in enumerate(rules, 1)]
     return sorted(found, key=lambda e: -e.rate)
 
 
 def cascade(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None) -> DataFrame:
     """Per row: key, the measures, base_failed, kept, rejected_by (null where kept)."""
     order = [e.rule for e in estimate(df, text, rules)] if order is None else order
-    t, m = F.col("__text"), F.col("__m")
+    t, m = F.col("body"), F.col("measured")
     base = (m["n_words"] < 10) | (m["n_repeat_words"] * 100 > m["n_words"] * 20)
     verdict = F.when(base, F.lit("base"))
     for r in order:
         verdict = verdict.when(r.reject(t, m), F.lit(r.name))
-    rows = df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).withColumn("__m", measures(F.col("__text")))
-    return rows.select(key, "__m.*", base.alias("base_failed"), verdict.alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).withColumn("measured", measures(t))
+    return rows.select(F.col("key").alias(key), "measured.*", base.alias("base_failed"), verdict.alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())

@@ -17,6 +17,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfield.llm import langid, media, mixing, quality, secrets, sharding
+from loomfield.llm.common import Workspace
+from loomfield.llm.ranking import global_rank
 
 from .conftest import prose
 
@@ -341,19 +343,69 @@ def test_written_shards(spark, docs, tmp_path):
 
 
 def test_written_shards_keep_null_and_repeated_ids(spark, docs, tmp_path):
-    rows = docs.drop("shard")
+    rows = docs.drop("shard").selectExpr("*", "1 AS curve", "2 AS row", "3 AS key", "4 AS d0", "5 AS at")
     rows = rows.unionByName(rows.where("doc_id = 4").withColumn("lang", F.lit("fr"))).unionByName(rows.where("doc_id = 4").withColumn("text", F.lit("another text")))
     placed = sharding.hilbert_shards(rows)
     sharding.write_shards(rows, placed, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert Counter(map(tuple, back.select(rows.columns).collect())) == Counter(map(tuple, rows.collect()))
     place = ("doc_id", "size", "text_crc32", "curve", "shard", "slot")
-    found = sharding.cells(back, "text", "doc_id", ("lang", "source"), F.col("shard"), F.col("slot")).select(*place)
+    found = sharding.cells(back.drop("curve"), "text", "doc_id", ("lang", "source"), Workspace(spark, "t"), F.col("shard"), F.col("slot")).select(*place)
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, placed.select(*place).collect()))
     with pytest.raises(Exception, match="other rows"):
         sharding.write_shards(rows, placed.where("doc_id is not null"), str(tmp_path / "fewer"))
 
 
+def test_cuts_keep_order_and_spread_rows(spark):
+    work = Workspace(spark, "t")
+    r = random.Random(3)
+    values = [None] * 40 + [f"v{i:03d}" for i in range(100)] + ["v050"] * 400 + [f"v{r.randrange(100):03d}" for _ in range(460)]
+    rows = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "a string, b int").repartition(5)
+    at = sharding.cuts(work, rows, "a", 4)
+    assert at == sorted(at) and len(at) < 16
+    placed = rows.select("a", sharding.coordinate(F.col("a"), at, 4).alias("x")).collect()
+    by = sorted(((p["a"] or "", p["x"]) for p in placed))
+    assert [x for _, x in by] == sorted(x for _, x in by)
+    cells = Counter(p["x"] for p in placed if p["a"] != "v050")
+    assert max(cells.values()) <= 3 * len(values) / 16  # but the hot value, no cell is far above its share
+    few = sharding.cuts(work, rows, "b", 4)
+    assert few == [1, 2, 3, 4, 5, 6]
+    # by position, with weights
+    ranked = global_rank(work, rows.groupBy("b").agg(F.count("*").alias("n")), [F.col("b")], "w", weight="n").orderBy("b").collect()
+    assert [x["position"] for x in ranked] == [sum(y["n"] for y in ranked[:i]) for i in range(7)] and {x["total"] for x in ranked} == {len(values)}
+
+
+def test_files_pruned(spark, tmp_path):
+    """Files that filters skip by their footers' least and greatest values, against rows dealt out by hash."""
+    import pyarrow.parquet as pq
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("bytes", F.octet_length("text").cast("bigint"))
+    sharding.write_shards(d, sharding.hilbert_shards(d), str(tmp_path / "hilbert"))
+    d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).repartition("shard").write.partitionBy("shard").parquet(str(tmp_path / "hash"))
+    langs = [r["lang"] for r in d.select("lang").distinct().collect()]
+    sources = [r["source"] for r in d.select("source").distinct().collect()]
+    sizes = sorted(r["bytes"] for r in d.select("bytes").collect())
+    ranges = [(c, v, v) for c, some in (("lang", langs), ("source", sources)) for v in some] + [("bytes", sizes[i * 100], sizes[i * 100 + 99]) for i in range(10)]
+
+    def skipped(folder: str) -> dict:
+        files = defaultdict(list)
+        for f in (tmp_path / folder).rglob("*.parquet"):
+            meta = pq.read_metadata(f)
+            for g in range(meta.num_row_groups):
+                for k in range(meta.num_columns):
+                    c = meta.row_group(g).column(k)
+                    if c.path_in_schema in ("lang", "source", "bytes") and c.statistics and c.statistics.has_min_max:
+                        files[c.path_in_schema].append((c.statistics.min, c.statistics.max))
+        share = defaultdict(list)
+        for c, lo, hi in ranges:
+            share[c].append(sum(b < lo or hi < a for a, b in files[c]) / len(files[c]))
+        return {c: sum(x) / len(x) for c, x in share.items()}
+
+    curve, plain = skipped("hilbert"), skipped("hash")
+    print("skipped by the curve", curve, "by hash", plain)
+    assert all(curve[c] > plain[c] + 0.25 for c in curve), (curve, plain)
+
+
 def filled(sizes, weights, budget, cap):
     """Clamp, share the rest again, until none is above."""
     out, free = {}, dict(weights)
