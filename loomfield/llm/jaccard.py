@@ -1,37 +1,47 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
 1. Sets. A document is the set of its distinct 5-word shingles, as 64-bit hashes. Documents
-   with equal sets form a class at once (key: a hash of the set, `rid`).
+   with equal sets form a class at once (key: a hash of the set, `rid`; sets that another 64 bits
+   tell apart get keys of their own).
 2. First vertical cut: hash space is cut into fragments. Each task sends every fragment one
    packed row of the classes it saw first; a fragment counts in how many classes each of its
-   shingles occurs and returns those in two or more, by class. A class whose shared shingles
+   shingles occurs and returns those in two or more, by class. Shingles that a bounded sample of
+   classes shows to be very common are known to be shared: their occurrences go straight to
+   their classes, so no fragment gathers them. A class whose shared shingles
    are fewer than 0.75 of its set can't have a partner and is done.
-3. Global order of the shared shingles: rarest first, then by hash. Two linked sets share one
-   of the first n - ceil(0.75 n) + 1 shingles each (those in one class only come before all).
+3. Global order of the shared shingles: rarest first (by steps of a third of a doubling), then by hash. Two linked sets share one
+   of the first n - ceil(0.75 n) + 1 shingles each (those in one class only come before all), and
+   the smaller set has it in its first n - ceil(6/7 n) + 1.
 4. Pairs. Classes that share such a shingle form a bucket. First every member is paired with
    two pivots of its bucket only, in `PIVOT_ROUNDS` rounds; components come of the links found.
    Then, in buckets that still hold several components, all pairs between different components
    are compared, block by block: no link is lost, and a large group of near copies costs rows
-   in proportion to its size, not to its square.
+   in proportion to its size, not to its square. Blocks hold sets of like sizes; two of them meet only in a
+   bucket where sizes, prefixes and what follows the shingle leave room for a link.
 5. Second vertical cut: the global order is cut at quantiles into fragments. For each pair the
    partial overlap of each fragment is counted separately, and summed per pair.
 
 Components come from rounds of hooking to the least neighbour and relabelling, all distributed.
+Joins whose keys can be hot (a shingle, a component, a set) are salted: by the shingle's own
+frequency, or `SALTS` ways.
 
-Documents without words, and null texts, have no shingles and no links. Repeated rows are
+Documents without words, and null texts, have no shingles and no links. Very long texts are one
+row's work; blocks with long sets hold fewer. Repeated rows are
 equal sets. Rows without a key take part; a component's id is its smallest non-null key, null
-if it has none. Within the join a shingle is its document
-frequency and 48 bits of its hash, of which two sets of a thousand shingles confuse any two with a
-probability below 1e-8; a set is known by 64 bits.
+if it has none. An empty table gives an empty one; only the named columns are read. Shingles are told apart by 64 bits when they are counted (59 and more
+where there are 8 fragments, more with more) and by 56 afterwards: any two of two sets of a thousand
+shingles are confused with a probability below 2e-11. Sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +55,18 @@ BLOCK_SHINGLES = 1 << 21
 CUTS = 4
 PIVOT_ROUNDS = 2
 BLOCK_DOCUMENTS = 192
-LOW_BITS = 40
-MAX_DF = (1 << 15) - 1
+#: Shingles of a block's documents, about.
+BLOCK_LENGTHS = 1 << 19
+#: Bits of a shingle's hash below its frequency class in the global order.
+HASH_BITS = 56
+#: Work is cut into so many fragments that one has about this many shingles, if shuffle partitions are fewer.
+FRAGMENT_SHINGLES = 1 << 22
+#: Classes, about, that tell which shingles are very common, and in how many of them one is.
+HOT_SAMPLE = 8192
+HOT_COUNT = 32
+#: Ways to part the rows of one key, and the entries of a shingle that go together.
+SALTS = 8
+TOGETHER = 4096
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -63,24 +83,85 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def set_id(h: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))
+def set_ids(h: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit hashes of a set; of the first, `bits` bits."""
+    x = xxhash.xxh3_128_intdigest(h.tobytes())
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return signed(x >> 64 & (1 << bits) - 1), signed(x & (1 << 64) - 1)
 
 
-def class_table(df: DataFrame, text: str, key: str) -> DataFrame:
-    """key, rid (null without shingles), n."""
+def class_table(df: DataFrame, text: str, key: str, rate: int = 1, bits: int = 64) -> DataFrame:
+    """key, rid and check (null without shingles), n; and rows that have a `sample`, the set itself, one for each task and class of which check mod `rate` is 0."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            rid, n = [], []
+            ids, n, sampled = [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py())
                 n.append(len(h))
-                rid.append(set_id(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rid, pa.int64()), pa.array(n, pa.int64())], names=[key, "rid", "n"])
+                ids.append(set_ids(h, bits) if len(h) else (None, None))
+                check = ids[-1][1]
+                if len(h) > 2 and check % rate == 0 and check not in sent:
+                    sent.add(check)
+                    sampled.append((check, h.tobytes()))
+            names = [key, "rid", "check", "n", "sample"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in ([r for r, _ in ids], [c for _, c in ids], n)), pa.nulls(len(n), pa.binary())], names=names)
+            for x in sampled:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.array([x[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([x[1]], pa.binary())], names=names)
 
-    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), f"`{key}` {kind}, rid bigint, n bigint")
+    return df.select(key, F.col(text).cast("string").alias(unused("text", [key]))).mapInArrow(released(run), f"`{key}` {kind}, rid bigint, check bigint, n bigint, sample binary")
+
+
+def common_shingles(sampled: DataFrame, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of very common shingles, ascending, and their frequency classes. At most the sample's shingles over HOT_COUNT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                grams, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    once = sampled.dropDuplicates(["check"]).select("sample")
+    found = once.mapInArrow(released(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).collect()
+    grams = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], frequency_class(np.array([r["n"] for r in found], np.int64)[order] * rate)
+
+
+def frequency_class(n: np.ndarray) -> np.ndarray:
+    """Steps of a third of a doubling, at most 127."""
+    return np.minimum(127, np.floor(3 * np.log2(np.maximum(n, 1)) + 1e-9)).astype(np.uint64)
+
+
+def twins(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """New keys for sets that share a key with another: by (rid, check). With 64 bits there is about one in every 2 ** 65 pairs of sets."""
+    several = classes.groupBy("rid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("rid")
+    found = classes.join(several, "rid").select("rid", "check").distinct().collect()
+    least: dict[int, int] = {}
+    for r in found:
+        least[r["rid"]] = min(r["check"], least.get(r["rid"], r["check"]))
+    new = lambda r: int(np.uint64(xxhash.xxh64_intdigest(f"{r['rid']}:{r['check']}")).astype(np.int64))
+    return {(r["rid"], r["check"]): new(r) for r in found if r["check"] != least[r["rid"]]}
+
+
+def pieces_of(gram: Column) -> Column:
+    """Into how many pieces the entries of a shingle are parted: its frequency, to a third of a doubling, over TOGETHER."""
+    doublings = F.floor(F.shiftright(gram, HASH_BITS) / 3).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), doublings - (TOGETHER.bit_length() - 1)))
+
+
+def by_gram(left: DataFrame, right: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """Joined on `gram`; the left rows of one shingle are parted by `spread`, and the right ones, few for each shingle, go to all parts."""
+    parted = left.withColumn("piece", F.pmod(F.xxhash64(spread), pieces_of(F.col("gram"))))
+    return parted.join(right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces_of(F.col("gram")) - 1))), ["gram", "piece"], how).drop("piece")
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Joined on `on`, of which the left side may have many rows for one key, parted by `spread`, and the right side one."""
+    parted = left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return parted.join(right.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), [*on, "salt"], how).drop("salt")
 
 
 PACKED = "part int, rids binary, ns binary, lens binary, grams binary, extra binary"
@@ -116,22 +197,29 @@ def _packed_batches(rows: Iterator[tuple], at_once: int = 64) -> Iterator[pa.Rec
         yield out()
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], gram_kind: str, extra_kind: str) -> tuple[np.ndarray, ...] | None:
-    """Of all rows: part, rid and n of each run; run of each occurrence; grams; extra."""
+def _unpacked(batches: Iterator[pa.RecordBatch], gram_kind: str) -> tuple[np.ndarray, ...] | None:
+    """Of all rows: part, rid and n of each run; run of each occurrence; grams; bytes of extra."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     for batch in batches:
         for i in range(batch.num_rows):
-            rids = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
-            for c, x in zip(cols, (np.full(len(rids), batch.column(0)[i].as_py(), np.int64), rids, np.frombuffer(batch.column(2)[i].as_py(), np.uint32), np.frombuffer(batch.column(3)[i].as_py(), np.uint32), np.frombuffer(batch.column(4)[i].as_py(), gram_kind), np.frombuffer(batch.column(5)[i].as_py(), extra_kind))):
+            part, *raw = (batch.column(k)[i].as_py() for k in range(6))
+            rids = np.frombuffer(raw[0], np.int64)
+            for c, x in zip(cols, (np.full(len(rids), part, np.int64), rids, *(np.frombuffer(x, k) for x, k in zip(raw[1:], ("u4", "u4", gram_kind, "u1"))))):
                 c.append(x)
     if not cols[0]:
         return None
     part, rid, n, lens, grams, extra = (np.concatenate(c) for c in cols)
-    return part, rid, n, np.repeat(np.arange(len(rid)), lens), grams, extra
+    return part, rid, n, np.repeat(np.arange(len(rid), dtype=np.int32), lens), grams, extra
+
 
+def fragment_rows(df: DataFrame, text: str, fragments: int, common: tuple[np.ndarray, np.ndarray], renamed: dict[tuple[int, int], int], bits: int = 64) -> DataFrame:
+    """First vertical cut: packed rows by fragment, each class once a task. grams: low 32 bits; extra: the next 24.
 
-def fragment_rows(df: DataFrame, text: str, fragments: int) -> DataFrame:
-    """First vertical cut: packed rows by fragment, each class once a task. grams: low 32 bits; extra: the next 8."""
+    Common shingles are packed by a bucket of their class instead: grams are places in the global order, extra is empty.
+    """
+    hot, hot_class = common
+    hot_low = np.zeros(1 << 20, bool)
+    hot_low[(hot & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -142,10 +230,27 @@ def fragment_rows(df: DataFrame, text: str, fragments: int) -> DataFrame:
         def flush() -> Iterator[tuple]:
             h = np.concatenate(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.uint16 if fragments <= 65536 else np.uint32)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+            rid = np.array(ids, np.int64)
+            is_hot = np.zeros(len(h), bool)
+            maybe = np.flatnonzero(hot_low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(hot, h[maybe]), len(hot) - 1)
+                sure = hot[at] == h[maybe]
+                maybe, at = maybe[sure], at[sure]
+                is_hot[maybe] = True
+                value = hot_class[at] << np.uint64(HASH_BITS) | h[maybe] & np.uint64((1 << HASH_BITS) - 1)
+                who = owner[maybe]
+                bucket = (rid.view(np.uint64) % np.uint64(fragments)).astype(np.int64)[who]
+                order = np.lexsort((who, bucket))
+                yield from _packed(bucket[order], rid[who[order]], size[who[order]], value[order], np.zeros((len(order), 0), np.uint8))
+                h, owner = h[~is_hot], owner[~is_hot]
+            part = ((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            part = part.astype(np.uint16 if fragments <= 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
-            h = h[order]
-            yield from _packed(part[order].astype(np.int64), np.repeat(np.array(ids, np.int64), size)[order], np.repeat(size, size)[order], h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8))
+            h, owner = h[order], owner[order]
+            middle = (h >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            yield from _packed(part[order].astype(np.int64), rid[owner], size[owner], h.astype(np.uint32), middle)
 
         def rows() -> Iterator[tuple]:
             nonlocal held
@@ -154,7 +259,8 @@ def fragment_rows(df: DataFrame, text: str, fragments: int) -> DataFrame:
                     h = shingles(t.as_py())
                     if len(h) < 3:  # links of smaller sets are equalities
                         continue
-                    rid = set_id(h)
+                    ids_of = set_ids(h, bits)
+                    rid = renamed.get(ids_of, ids_of[0]) if renamed else ids_of[0]
                     if rid in seen:
                         continue
                     seen.add(rid)
@@ -171,35 +277,47 @@ def fragment_rows(df: DataFrame, text: str, fragments: int) -> DataFrame:
 
         yield from _packed_batches(rows())
 
-    return df.select(F.col(text).cast("string").alias("__text")).mapInArrow(released(run), PACKED)
+    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(released(run), PACKED)
 
 
 def shared_rows(fragments: DataFrame, buckets: int) -> DataFrame:
-    """Of each fragment: shingles in two or more classes, packed by a bucket of the class. extra: the number of classes, at most MAX_DF."""
+    """Of each fragment: shingles in two or more classes, as places in the global order, packed by a bucket of the class. Rows of common shingles pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _unpacked(batches, "u4", "u1") if batches else None
+        counted = []
+        for batch in batches:
+            is_common = pc.equal(pc.binary_length(batch.column(5)), 0)
+            if is_common.true_count:
+                yield batch.filter(is_common)
+            counted.append(batch.filter(pc.invert(is_common)))
+        got = _unpacked(counted, "u4")
         if got is None:
             return
-        part, rid, n, run_of, low, high = got
+        counted.clear()
+        part, rid, n, run_of, low, middle = got
         # a class that several tasks sent counts once
         order = np.lexsort((rid, part))
         again = np.zeros(len(rid), bool)
         again[order[1:]] = (rid[order[1:]] == rid[order[:-1]]) & (part[order[1:]] == part[order[:-1]])
         keep = ~again[run_of]
-        run_of, key = run_of[keep], (part[run_of[keep]].astype(np.uint64) << np.uint64(LOW_BITS)) | (high[keep].astype(np.uint64) << np.uint64(32)) | low[keep].astype(np.uint64)
-        del low, high, keep, got
-        order = np.argsort(key)
-        key, run_of = key[order], run_of[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        middle = middle.reshape(-1, 3)
+        key = low.astype(np.uint64)
+        for i in range(3):
+            key |= middle[:, i].astype(np.uint64) << np.uint64(32 + 8 * i)
+        run_of, key = run_of[keep], key[keep]
+        del low, middle, keep, got
+        where = part[run_of]
+        order = np.argsort(key) if len(part) and (part == part[0]).all() else np.lexsort((key, where))
+        key, run_of, where = key[order], run_of[order], where[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (where[1:] != where[:-1])]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(key)])
-        df_of = np.repeat(count, count)
-        shared = df_of >= 2
-        key, run_of, df_of = key[shared], run_of[shared], np.minimum(df_of[shared], MAX_DF).astype(np.uint16)
+        shared = np.repeat(count >= 2, count)
+        classes = np.repeat(frequency_class(count), count)[shared]
+        key, run_of = classes << np.uint64(HASH_BITS) | key[shared], run_of[shared]
         bucket = rid[run_of].view(np.uint64) % np.uint64(buckets)
         order = np.lexsort((run_of, bucket))
         run_of = run_of[order]
-        yield from _packed_batches(_packed(bucket[order].astype(np.int64), rid[run_of], n[run_of], key[order], df_of[order]))
+        yield from _packed_batches(_packed(bucket[order].astype(np.int64), rid[run_of], n[run_of], key[order], np.zeros((len(order), 0), np.uint8)))
 
     return fragments.mapInArrow(released(run), PACKED)
 
@@ -208,48 +326,54 @@ SURVIVORS = "rid bigint, n bigint, s bigint, grams binary"
 
 
 def survivors(shared: DataFrame) -> DataFrame:
-    """Classes with enough shared shingles. grams: these, as uint64 in global order (document frequency, then hash), ascending."""
+    """Classes with enough shared shingles. grams: these, as uint64 in global order (frequency class, then hash), ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _unpacked(batches, "u8", "u2")
+        got = _unpacked(batches, "u8")
         if got is None:
             return
-        _, rid, n, run_of, key, df_of = got
+        _, rid, n, run_of, value, _ = got
         who, at = np.unique(rid, return_inverse=True)
         size = np.zeros(len(who), np.int64)
         size[at] = n
         owner = at[run_of]
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        # several tasks send the common shingles of one class
+        once = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])] if len(owner) else np.zeros(0, bool)
+        owner, value = owner[once], value[once]
         s = np.bincount(owner, minlength=len(who))
-        alive = 100 * s >= PERCENT * size
-        keep = alive[owner]
-        owner, order_value = owner[keep], (df_of[keep].astype(np.uint64) << np.uint64(48)) | (key[keep] & np.uint64((1 << 48) - 1))
-        order = np.lexsort((order_value, owner))
-        owner, order_value = owner[order], order_value[order]
+        keep = (100 * s >= PERCENT * size)[owner]
+        owner, value = owner[keep], value[keep]
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
         ends = np.r_[starts[1:], len(owner)].astype(np.int64)
         for a in range(0, len(starts), 512):
             some = list(zip(starts[a : a + 512], ends[a : a + 512]))
             o = [owner[x] for x, _ in some]
-            yield pa.RecordBatch.from_arrays([pa.array(who[o], pa.int64()), pa.array(size[o], pa.int64()), pa.array([int(y - x) for x, y in some], pa.int64()), pa.array([order_value[x:y].tobytes() for x, y in some], pa.binary())], names=["rid", "n", "s", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(who[o], pa.int64()), pa.array(size[o], pa.int64()), pa.array([int(y - x) for x, y in some], pa.int64()), pa.array([value[x:y].tobytes() for x, y in some], pa.binary())], names=["rid", "n", "s", "grams"])
 
     return shared.mapInArrow(released(run), SURVIVORS)
 
 
 def prefixes(alive: DataFrame) -> DataFrame:
-    """gram, rid, n: the shared shingles within each class's prefix of the global order."""
+    """gram, rid, n, rest, low: the shared shingles within each class's prefix of the global order.
+
+    rest: shared shingles from this one on; low: is it in the prefix that a set has as the smaller of a pair?
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, ns, grams = [], [], []
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for rid, n, s, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 p = s - -(-PERCENT * n // 100) + 1
-                grams.append(np.frombuffer(raw, np.int64)[:p])
-                rids.append(np.full(p, rid, np.int64))
-                ns.append(np.full(p, n, np.int64))
-            if rids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, rids, ns)], names=["gram", "rid", "n"])
+                smaller = s - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+                at = np.arange(p)
+                for o, x in zip(out, (np.frombuffer(raw, np.int64)[:p], np.full(p, rid, np.int64), np.full(p, n, np.int64), s - at, at < smaller)):
+                    o.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", "rid", "n", "rest", "low"])
 
-    return alive.mapInArrow(released(run), "gram bigint, rid bigint, n bigint")
+    return alive.mapInArrow(released(run), "gram bigint, rid bigint, n bigint, rest bigint, low boolean")
 
 
 def segments(alive: DataFrame, cuts: list[int]) -> DataFrame:
@@ -283,10 +407,10 @@ def links(pairs: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(labelled: DataFrame, seed: int) -> DataFrame:
-    """x, y: every member of a bucket with the two members of least and greatest seeded hash, unless it shares their component. Rows grow with the buckets' sizes."""
-    who = F.struct("rid", "n", "comp")
-    pivots = labelled.groupBy("gram").agg(F.min_by(who, F.xxhash64("rid", F.lit(seed))).alias("p"), F.max_by(who, F.xxhash64("rid", F.lit(seed))).alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    met = labelled.join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where("p.comp <> comp").where(_close("n", "p.n"))
+    """x, y: every member of a bucket with the two members of least and greatest seeded hash, unless it shares their component or can't be linked by this shingle. Rows grow with the buckets' sizes."""
+    who = F.struct("rid", "n", "comp", "rest", "low")
+    pivots = labelled.groupBy("gram").agg(F.min_by(who, F.xxhash64("rid", F.lit(seed))).alias("p"), F.max_by(who, F.xxhash64("rid", F.lit(seed))).alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("low").alias("any")).where("lo <> hi AND any")
+    met = by_gram(labelled, pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "rid").where("p.comp <> comp").where(_close("n", "p.n") & _room("rest", "n", "p.rest", "p.n")).where("(n <= p.n AND low) OR (p.n <= n AND p.low)")
     return met.select(F.least("rid", "p.rid").alias("x"), F.greatest("rid", "p.rid").alias("y")).distinct()
 
 
@@ -294,24 +418,33 @@ def _close(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _room(rest_a: str, a: str, rest_b: str, b: str) -> Column:
+    """Can the overlap be enough if it begins here? A linked pair's first common shingle leaves room."""
+    return F.least(rest_a, rest_b) * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT
+
+
 def block_links(work: Workspace, labelled: DataFrame, segs: DataFrame) -> DataFrame:
     """x, y: labels of different components with a link between them, found among all pairs that share a bucket.
 
     Documents of open buckets (those with several components) are put into blocks of about
     `BLOCK_DOCUMENTS`: each large component makes its own blocks, other documents go by their
-    most common open shingle. Blocks that meet in a bucket are compared as a whole: a row is
+    most common open shingle, and both by size where there are many. Blocks that meet in a bucket are compared as a whole: a row is
     a pair of blocks and a fragment, its result a matrix of partial overlaps; the matrices of a
-    pair of blocks are summed. Only pairs of blocks of one and the same component are left out.
+    pair of blocks are summed. Left out are pairs of blocks of one and the same component, and those
+    whose members can't be linked by this bucket's shingle, by size, prefix or what follows it.
     """
-    mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("gram", "m")
-    met = work.save(labelled.join(mixed, "gram"), "open")
+    mixed = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.max("low").alias("any")).where("lo <> hi AND any").select("gram", "m")
+    met = work.save(by_gram(labelled, mixed, "rid"), "open")
     docs = met.groupBy("rid", "n", "comp").agg(F.max(F.struct("m", "gram"))["gram"].alias("gram"))
     of_comp = docs.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK_DOCUMENTS // 4)
-    docs = docs.join(of_comp.select("comp", F.lit(True).alias("pure")), "comp", "left").withColumn("pure", F.coalesce("pure", F.lit(False)))
-    docs = docs.withColumn("place", F.when(F.col("pure"), F.col("comp")).otherwise(F.col("gram"))).select("rid", "n", "comp", "pure", "place")
-    docs = work.save(docs, "open-documents")
-    pieces = docs.groupBy("pure", "place").agg(F.ceil(F.count("*") / BLOCK_DOCUMENTS).alias("pieces"))
-    blocks = docs.join(pieces, ["pure", "place"]).withColumn("block", F.xxhash64("pure", "place", F.pmod(F.xxhash64("rid"), "pieces")))
+    docs = salted(docs, of_comp.select("comp", F.lit(True).alias("pure")), ["comp"], "rid", "left").withColumn("pure", F.coalesce("pure", F.lit(False)))
+    docs = docs.withColumn("place", F.when(F.col("pure"), F.col("comp")).otherwise(F.col("gram")))
+    docs = work.save(docs.select("rid", "n", "comp", "pure", "place", F.floor(F.log("n") / math.log(100 / PERCENT)).alias("like")), "open-documents")
+    by_size = docs.groupBy("pure", "place", "like").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = by_size.groupBy("pure", "place").agg(F.sum("m").alias("all_m"), F.sum("n").alias("all_n")).where((F.col("all_m") > BLOCK_DOCUMENTS) | (F.col("all_n") > BLOCK_LENGTHS)).select("pure", "place")
+    pieces = by_size.join(large, ["pure", "place"]).select("pure", "place", "like", F.ceil(F.greatest(F.col("m") / BLOCK_DOCUMENTS, F.col("n") / BLOCK_LENGTHS)).alias("pieces"))
+    parted = F.when(F.col("pieces").isNull(), F.xxhash64("pure", "place")).otherwise(F.xxhash64("pure", "place", "like", F.pmod(F.xxhash64("rid"), "pieces")))
+    blocks = salted(docs, pieces, ["pure", "place", "like"], "rid", "left").withColumn("block", parted)
     blocks = blocks.groupBy("block", "pure").agg(F.sort_array(F.collect_list(F.struct("rid", "n", "comp"))).alias("members"))
     blocks = work.save(blocks, "blocks")
     inside = blocks.select("block", F.when(F.col("pure"), F.col("members")[0]["comp"]).alias("only"), F.size("members").alias("size"), F.posexplode("members").alias("i", "m"))
@@ -319,12 +452,13 @@ def block_links(work: Workspace, labelled: DataFrame, segs: DataFrame) -> DataFr
     packed = inside.join(segs, "rid").groupBy("block", "fragment").agg(F.collect_list(F.struct("i", "segment")).alias("sets"))
     packed = work.save(packed, "packed")
 
-    at = met.select("gram", "rid").join(inside, "rid").select("gram", "block", "only", "size").distinct()
-    a, b = (at.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "only", "size"))) for s in "ab")
+    at = met.select("gram", "rid", "n", "rest", "low").join(inside, "rid").groupBy("gram", "block", "only", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max("low").alias("low"))
+    a, b = (at.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "only", "size", "least", "most", "rest", "low"))) for s in "ab")
     first = F.struct("size_a", "block_a") <= F.struct("size_b", "block_b")
     same = F.coalesce(F.col("only_a") == F.col("only_b"), F.lit(False))
+    like = (F.col("most_a") * 100 >= F.col("least_b") * PERCENT) & (F.col("most_b") * 100 >= F.col("least_a") * PERCENT)
     # the smaller block travels to the larger
-    pairs = a.join(b, "gram").where(first & ~same).select("block_a", "size_a", "block_b", "size_b").distinct()
+    pairs = by_gram(a, b, "block_a").where(first & ~same & like & (F.col("low_a") | F.col("low_b")) & _room("rest_a", "least_a", "rest_b", "least_b")).select("block_a", "size_a", "block_b", "size_b").distinct()
     pairs = work.save(pairs, "block-pairs")
     left = pairs.join(packed.select(F.col("block").alias("block_a"), "fragment", F.col("sets").alias("sets_a")), "block_a")
     both = left.join(packed.select(F.col("block").alias("block_b"), "fragment", F.col("sets").alias("sets_b")), ["block_b", "fragment"])
@@ -378,25 +512,34 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
         hook = work.save(both.groupBy("e.x").agg(F.least(F.min("e.y"), F.first("e.x")).alias("to")), f"{name}-hook-{k}")
         # follow two hooks at once
-        far = hook.alias("a").join(hook.alias("b"), F.col("a.to") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.to").alias("to"))
+        far = salted(hook.select("x", F.col("to").alias("via")), hook.select(F.col("x").alias("via"), "to"), ["via"], "x").select("x", "to")
         far = work.save(far, f"{name}-far-{k}")
-        next_labels = labels.join(far, labels.comp == far.x, "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        # at first every node is its own label
+        next_labels = far.select(F.col("x").alias("node"), F.col("to").alias("comp")) if k == 1 else salted(labels, far.withColumnRenamed("x", "comp"), ["comp"], "node", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         labels = work.save(next_labels, f"{name}-labels-{k}")
-        a, b = far.select(F.col("x").alias("a"), F.col("to").alias("ta")), far.select(F.col("x").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(a, edges.x == a.a).join(b, edges.y == b.b).select(F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")).where("x <> y").distinct()
+        begun = salted(edges, far.select("x", F.col("to").alias("tx")), ["x"], "y")
+        moved = salted(begun, far.select(F.col("x").alias("y"), F.col("to").alias("ty")), ["y"], "x").select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).where("x <> y").distinct()
         edges = work.save(moved, f"{name}-edges-{k}")
         work.drop(f"{name}-edges-{k - 1}", f"{name}-labels-{k - 1}", f"{name}-hook-{k}", f"{name}-far-{k}")
     return labels
 
 
-def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", pivot_rounds: int = PIVOT_ROUNDS, set_bits: int = 64) -> DataFrame:
     """Per row of df: key, n_shingles, component_id."""
     spark = df.sparkSession
     work = Workspace(spark, "jaccard")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = work.save(class_table(df, text, key), "classes")
-
-    packed = fragment_rows(df, text, parts).repartitionById(parts, "part")
+    rate = max(1, df.count() // HOT_SAMPLE)
+    read = work.save(class_table(df, text, key, rate, set_bits), "classes")
+    classes = read.where("sample IS NULL").drop("sample")
+    common = common_shingles(read.where("sample IS NOT NULL").select("check", "sample"), rate)
+    renamed = twins(classes.where("rid IS NOT NULL"))
+    if renamed:
+        names = F.create_map(*(F.lit(x) for (r, c), new in renamed.items() for x in (f"{r}:{c}", new)))
+        classes = classes.withColumn("rid", F.coalesce(F.try_element_at(names, F.concat_ws(":", "rid", "check")), F.col("rid")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
+
+    packed = fragment_rows(df, text, parts, common, renamed, set_bits).repartitionById(parts, "part")
     shared = shared_rows(packed, parts).repartitionById(parts, "part")
     alive = work.save(survivors(shared), "alive")
 
@@ -421,10 +564,14 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     work.drop("segments", "entries", "open", "open-documents", "inside", "packed", "block-pairs", "blocks")
     comps = components(work, found.unionByName(more), "all")
 
-    least = classes.where("rid is not null").groupBy("rid").agg(F.min(key).alias("least"))
-    joined = least.join(comps, least.rid == comps.node, "left").withColumn("comp", F.coalesce("comp", "rid"))
-    least = joined.join(joined.groupBy("comp").agg(F.min("least").alias("root")), "comp").select("rid", F.col("root").alias("least"))
-    return classes.join(least, "rid", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))
+    least = work.save(classes.where("rid IS NOT NULL").groupBy("rid").agg(F.min(key).alias("least")), "least")
+    linked = comps.select(F.col("node").alias("rid"), "comp").join(least, "rid")
+    roots = linked.groupBy("comp").agg(F.min("least").alias("root"))
+    found_roots = salted(linked, roots, ["comp"], "rid").select("rid", "root")
+    named = work.save(least.join(found_roots, "rid", "left").select("rid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root")).alias("least")), "named")
+    # a set may have very many copies; its rows are parted by their keys
+    told = salted(classes.where("rid IS NOT NULL"), named, ["rid"], key).select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return told.unionByName(classes.where("rid IS NULL").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

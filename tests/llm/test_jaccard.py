@@ -87,6 +87,52 @@ def test_blocks_of_many_documents(spark, monkeypatch):
     same(spark, rows)
 
 
+def test_sets_that_share_a_key(spark):
+    """With 3 bits of the first hash, sets collide everywhere; the second tells them apart."""
+    r = random.Random(6)
+    rows = [(i, prose(700 + i // 3, 30) + (" more" if i % 3 == 2 else "")) for i in range(90)]
+    r.shuffle(rows)
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), set_bits=3)
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+
+
+def test_common_shingles_and_salted_joins(spark, monkeypatch):
+    """Every shared shingle in two classes or more is common, every join parted: the same result."""
+    monkeypatch.setattr(jaccard, "HOT_COUNT", 2)
+    monkeypatch.setattr(jaccard, "TOGETHER", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCUMENTS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_LENGTHS", 200)
+    r = random.Random(4)
+    rows, passage = [], prose(31, 50)
+    for g in range(5):
+        base = prose(40 + g, r.randint(20, 60)).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"w{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + (f" {passage}" if r.random() < 0.5 else "")))
+    same(spark, rows)
+
+
+def test_a_long_chain(spark):
+    """Each document is linked with its neighbours only; the component has them all."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(1000 - i, " ".join(words[3 * i : 3 * i + 40])) for i in range(100)]
+    same(spark, rows)
+
+
+def test_templates_with_many_near_misses(spark, monkeypatch):
+    """Forms filled from a few words each: nearly all shingles are shared, hardly any pair is linked."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCUMENTS", 8)
+    r = random.Random(10)
+    fixed = prose(55, 60).split()
+    rows = []
+    for i in range(400):
+        w = [f"{x} {r.choice('abcdefgh')}{k % 4}" if k % 4 == 0 else x for k, x in enumerate(fixed)]
+        rows.append((i, " ".join(w)))
+    same(spark, rows)
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
