@@ -47,9 +47,11 @@ def unused(name: str, taken: list[str]) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only a local master, as in tests, may leave it unset; then it is a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/loomfield"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -72,11 +74,20 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class Workspace:
-    """Tables written once to the shared folder and read back, which cuts lineage and survives lost executors."""
+    """Tables written once to the shared folder and read back, which cuts lineage and survives lost executors.
+
+    `drop` deletes what no later step reads. What a result still reads stays until the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, files = self._file(self.root)
+        files.deleteOnExit(path)
+
+    def _file(self, place: str):  # noqa: ANN202
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -84,8 +95,6 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._file(f"{self.root}/{name}")
+            files.delete(path, True)
