@@ -30,6 +30,9 @@ def main(args: list[str]) -> int:
     except EngineError as e:
         print(json.dumps(e.envelope(), ensure_ascii=False))
         return 1
+    except Exception as e:
+        print(json.dumps(EngineError("INTERNAL_ERROR", f"{type(e).__name__}: {e}"[:500]).envelope(), ensure_ascii=False))
+        return 1
     print(json.dumps(result, ensure_ascii=False, default=str))
     return 0
 

@@ -10,28 +10,35 @@ from loomfield.functions import text as T
 
 
 def clean_headers(headers: DataFrame) -> DataFrame:
-    """headers(sheet, col_idx, text) with `clean`: normalised unless that would make it empty or not unique in its sheet; `status` tells which."""
+    """headers(workbook where there are several, sheet, col_idx, text) with `clean`: normalised unless that would make it empty or not unique in its sheet; `status` tells which."""
     norm = T.header_name(F.col("text"))
-    same = F.count("*").over(Window.partitionBy("sheet", "norm"))
+    same = F.count("*").over(Window.partitionBy(*sheet_key(headers), "norm"))
     rows = headers.withColumn("norm", norm).withColumn("same", same)
     status = F.when(F.coalesce(F.col("norm"), F.lit("")) == "", "EMPTY").when(F.col("same") > 1, "DUPLICATE").when(F.col("norm") == F.col("text"), "SAME").otherwise("RENAMED")
     return rows.withColumn("status", status).withColumn("clean", F.when(F.col("status") == "RENAMED", F.col("norm")).otherwise(F.col("text"))).drop("norm", "same")
 
 
+def sheet_key(rows: DataFrame) -> list[str]:
+    """What tells sheets apart: the workbook, where the rows have it, and the name."""
+    return [c for c in ("workbook", "sheet") if c in rows.columns]
+
+
 def header_status(cells: DataFrame) -> DataFrame:
     """Per sheet: its first row with a value and whether that is a header (over half of it text, two cells or more, no blank inside the used width, names unique)."""
     filled = cells.where("kind <> 'BLANK'")
-    first = filled.groupBy("sheet").agg(F.min("row_idx").alias("header_row"), F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi"))
-    row = filled.join(first, "sheet").where("row_idx = header_row")
-    s = row.groupBy("sheet", "header_row", "lo", "hi").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "TEXT", 1)).alias("n_text"), F.count_distinct(T.header_name(F.col("text"))).alias("names"))
+    by = sheet_key(cells)
+    first = filled.groupBy(*by).agg(F.min("row_idx").alias("header_row"), F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi"))
+    row = filled.join(first, by).where("row_idx = header_row")
+    s = row.groupBy(*by, "header_row", "lo", "hi").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "TEXT", 1)).alias("n_text"), F.count_distinct(T.header_name(F.col("text"))).alias("names"))
     good = (F.col("n_text") * 2 > F.col("n")) & (F.col("n") >= 2) & (F.col("n") == F.col("hi") - F.col("lo") + 1) & (F.col("names") == F.col("n"))
-    return s.select("sheet", "header_row", F.when(good, "CONFIRMED").otherwise("UNCERTAIN_HEADER").alias("header_status"))
+    return s.select(*by, "header_row", F.when(good, "CONFIRMED").otherwise("UNCERTAIN_HEADER").alias("header_status"))
 
 
 def data_region(cells: DataFrame, status: DataFrame, risky: DataFrame | None = None) -> DataFrame:
     """Cells below a confirmed header; sheets of `risky` are left out."""
-    rows = cells.join(status.where("header_status = 'CONFIRMED'"), "sheet").where("row_idx > header_row").drop("header_status")
-    return rows if risky is None else rows.join(risky.select("sheet").distinct(), "sheet", "left_anti")
+    by = sheet_key(cells)
+    rows = cells.join(status.where("header_status = 'CONFIRMED'"), by).where("row_idx > header_row").drop("header_status")
+    return rows if risky is None else rows.join(risky.select(*by).distinct(), by, "left_anti")
 
 
 def clean_cells(cells: DataFrame) -> DataFrame:
@@ -72,9 +79,9 @@ def clean(rows: DataFrame, columns: list[str], order: str = "row_idx") -> DataFr
 
 
 def cell_row_keys(cells: DataFrame) -> DataFrame:
-    """(sheet, row_idx, row_key) of sheet rows; kind is part of the key, blanks are not."""
+    """(workbook, sheet, row_idx, row_key) of sheet rows; kind is part of the key, blanks are not."""
     one = F.struct("col_idx", "kind", F.coalesce("formula", "text").alias("v"))
-    return cells.where("kind <> 'BLANK'").groupBy("sheet", "row_idx").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(one))), 256).alias("row_key"))
+    return cells.where("kind <> 'BLANK'").groupBy(*sheet_key(cells), "row_idx").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(one))), 256).alias("row_key"))
 
 
 def changed(before: Column, after: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as T
+from loomfield.operators.clean import sheet_key
 
 IQR_FENCE = 1.5
 IQR_LEAST = 4
@@ -61,7 +62,7 @@ def numeric_candidates(kind_counts: DataFrame, least: int = IQR_LEAST) -> DataFr
 
 def sheet_counts(cells: DataFrame) -> DataFrame:
     """Rows, columns, populated cells, formulas and merged cells of each sheet."""
-    return cells.groupBy("sheet").agg(F.max("row_idx").alias("n_rows"), F.max("col_idx").alias("n_cols"), F.count(F.when(F.col("kind") != "BLANK", 1)).alias("populated"), F.count(F.when(F.col("kind") == "FORMULA", 1)).alias("formulas"), F.count(F.when(F.col("in_merge"), 1)).alias("merged_cells"))
+    return cells.groupBy(*sheet_key(cells)).agg(F.max("row_idx").alias("n_rows"), F.max("col_idx").alias("n_cols"), F.count(F.when(F.col("kind") != "BLANK", 1)).alias("populated"), F.count(F.when(F.col("kind") == "FORMULA", 1)).alias("formulas"), F.count(F.when(F.col("in_merge"), 1)).alias("merged_cells"))
 
 
 def before_after(rows: DataFrame, cleaned: DataFrame, columns: list[str], order: str = "row_idx") -> DataFrame:

@@ -56,8 +56,10 @@ def approval_token(recipients: list[str], body: str) -> str:
 def routed(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """(routed rows with phase and the original line, rejects) of mapped transcripts."""
     found = M.tables(M.lines(spark, *paths))
-    header = M.header_of(found)
-    rows = J.canonical(M.as_table(found, header))
+    columns: dict[str, list[str]] = {}
+    for name in M.names_of(found):
+        columns.setdefault(model.ALIASES.get(name, name), []).append(name)
+    rows = M.named_rows(found, columns)
     v = model.variants(spark)
     lost = J.rejects(rows, v).select("doc", "line_no", "reason").join(found.select("doc", "line_no", F.col("line").alias("raw")), ["doc", "line_no"]).select("doc", "line_no", "raw", "reason")
     return J.route(rows, v), M.malformed(found).unionByName(lost)

@@ -253,10 +253,14 @@ def except_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing_artifacts(load(spark, sf_dir, "nation").select("n_nationkey"), load(spark, sf_dir, "customer").where("c_acctbal > 9950").select(F.col("c_nationkey").alias("n_nationkey")).distinct())
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right")
+@query(f"WITH {DIRTY_SQL}, {TIDY}, k AS (SELECT c_custkey, row_number() OVER (PARTITION BY segment, ident, mixed, name ORDER BY row_idx) AS n FROM tidy) SELECT CAST(c_custkey % 100 AS INTEGER) AS part, count(*) AS cleaned, count(*) AS cleaned_twice, CAST(0 AS BIGINT) AS differ FROM k WHERE n = 1 GROUP BY 1")
 def idempotence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after cleaning once and twice, and rows that only either has."""
     once = C.clean(dirty(spark, sf_dir), TEXTS)
-    return R.same_rows(once, C.clean(once, TEXTS))
+    twice = C.clean(once, TEXTS)
+    part = (F.col("c_custkey") % 100).cast("int").alias("part")
+    n = lambda rows, name: rows.groupBy(part).agg(F.count("*").alias(name))
+    return n(once, "cleaned").join(n(twice, "cleaned_twice"), "part", "full").join(n(R.set_difference(once, twice), "differ"), "part", "left").withColumn("differ", F.coalesce("differ", F.lit(0)).cast("bigint"))
 
 
 @query("SELECT sha256(text) AS sha256, doc_id FROM documents")
@@ -473,12 +477,12 @@ def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.split_lines(c.select(F.col("c_custkey").cast("string").alias("doc"), value.alias("value")))
 
 
-@query("""SELECT 1 AS participant_ord, c_name AS participant, 1 AS insight_no, c_mktsegment AS insight, '"yes"' AS quote FROM customer UNION ALL SELECT 1, c_name, 2, 'nation ' || c_nationkey, '"no"' FROM customer UNION ALL SELECT 2, 'Zoe', 1, 'nation ' || c_nationkey, '"well"' FROM customer""")
+@query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS doc, * FROM customer) SELECT doc, 1 AS participant_ord, c_name AS participant, 1 AS insight_no, c_mktsegment AS insight, '"yes"' AS quote FROM c UNION ALL SELECT doc, 1, c_name, 2, 'nation ' || c_nationkey, '"no"' FROM c UNION ALL SELECT doc, 2, 'Zoe', 1, 'nation ' || c_nationkey, '"well"' FROM c""")
 def insight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.insight_observations(interviews(spark, sf_dir))
 
 
-@query("SELECT c_mktsegment AS insight, 'of nation ' || c_nationkey AS summary FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc, c_mktsegment AS insight, 'of nation ' || c_nationkey AS summary FROM customer")
 def summary_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summary_bullets(interviews(spark, sf_dir))
 

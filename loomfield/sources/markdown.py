@@ -20,7 +20,7 @@ def split_lines(docs: DataFrame, text: str = "value") -> DataFrame:
 
 
 def tables(numbered: DataFrame) -> DataFrame:
-    """doc, section, table_idx, line_no, place (0 header, 1 separator, from 2 rows), cells, n_header: every line of every pipe table."""
+    """doc, section, table_idx, line_no, place (0 header, 1 separator, from 2 rows), cells, header (its table's), n_header: every line of every pipe table."""
     w = Window.partitionBy("doc").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     pipe = F.trim("line").startswith("|")
@@ -28,7 +28,7 @@ def tables(numbered: DataFrame) -> DataFrame:
     rows = rows.withColumn("begins", F.col("pipe") & ~F.coalesce(F.lag("pipe").over(w), F.lit(False)))
     rows = rows.withColumn("table_idx", F.sum(F.col("begins").cast("int")).over(upto)).where("pipe").withColumn("cells", T.pipe_cells(F.col("line")))
     t = Window.partitionBy("doc", "table_idx").orderBy("line_no")
-    return rows.withColumn("place", F.row_number().over(t) - 1).withColumn("n_header", F.first(F.size("cells")).over(t)).select("doc", "section", "table_idx", "line_no", "place", "cells", "n_header", "line")
+    return rows.withColumn("place", F.row_number().over(t) - 1).withColumn("header", F.first("cells").over(t)).select("doc", "section", "table_idx", "line_no", "place", "cells", "header", F.size("header").alias("n_header"), "line")
 
 
 def table_rows(found: DataFrame) -> DataFrame:
@@ -42,25 +42,32 @@ def malformed(found: DataFrame) -> DataFrame:
 
 
 def as_table(found: DataFrame, header: list[str]) -> DataFrame:
-    """Good rows as named columns, with doc, section and line_no."""
+    """Good rows as columns by place, named so, with doc, section and line_no."""
     good = table_rows(found).where("size(cells) = n_header")
     return good.select("doc", "section", "line_no", *(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(header)))
 
 
-def header_of(found: DataFrame) -> list[str]:
-    """The first table's header; one row comes to the driver."""
-    row = found.where("place = 0").orderBy("doc", "table_idx").select("cells").first()
-    return list(row["cells"]) if row else []
+def named_rows(found: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """Good rows with doc, section, line_no and the columns given by their names in headers: each table's cells go by its own header, wherever it has a name; null where it has none."""
+    good = table_rows(found).where("size(cells) = n_header")
+    place = lambda names: F.array_max(F.array(*(F.array_position("header", n) for n in names)))  # noqa: E731  0 without
+    return good.select("doc", "section", "line_no", *(F.when(place(names) > 0, F.get("cells", (place(names) - 1).cast("int"))).alias(c) for c, names in columns.items()))
+
+
+def names_of(found: DataFrame) -> list[str]:
+    """All names that headers have, in order of the tables; as many rows as there are different names come to the driver."""
+    names = found.where("place = 0").select("doc", "table_idx", F.posexplode("cells").alias("i", "name")).groupBy("name").agg(F.min(F.struct("doc", "table_idx", "i")).alias("at"))
+    return [r["name"] for r in names.orderBy("at").collect()]
 
 
 def insight_observations(numbered: DataFrame) -> DataFrame:
-    """participant_ord, participant, insight_no, insight, quote of sections "Insights — name", participants in order of appearance."""
+    """doc, participant_ord, participant, insight_no, insight, quote of sections "Insights — name", participants in order of appearance in their document."""
     rows = table_rows(tables(numbered)).withColumn("participant", T.participant_of(F.col("section"))).where("participant IS NOT NULL and size(cells) = n_header")
     first = rows.groupBy("doc", "participant").agg(F.min("line_no").alias("first_line"))
     order = first.withColumn("participant_ord", F.row_number().over(Window.partitionBy("doc").orderBy("first_line")))
-    return rows.join(order, ["doc", "participant"]).select("participant_ord", "participant", F.get("cells", F.lit(0)).try_cast("int").alias("insight_no"), F.get("cells", F.lit(1)).alias("insight"), F.get("cells", F.lit(2)).alias("quote"))
+    return rows.join(order, ["doc", "participant"]).select("doc", "participant_ord", "participant", F.get("cells", F.lit(0)).try_cast("int").alias("insight_no"), F.get("cells", F.lit(1)).alias("insight"), F.get("cells", F.lit(2)).alias("quote"))
 
 
 def summary_bullets(numbered: DataFrame) -> DataFrame:
-    """insight, summary of bullets "**name**: text"."""
-    return numbered.select(T.bullet_name(F.col("line")).alias("insight"), T.bullet_text(F.col("line")).alias("summary")).where("insight IS NOT NULL")
+    """doc, insight, summary of bullets "**name**: text"."""
+    return numbered.select("doc", T.bullet_name(F.col("line")).alias("insight"), T.bullet_text(F.col("line")).alias("summary")).where("insight IS NOT NULL")

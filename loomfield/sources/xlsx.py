@@ -26,6 +26,32 @@ REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
+#: What of a formula isn't a reference: texts, names of sheets in quotes, names of tables' columns.
+FIXED_PARTS = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|\[[^\]]*\])""")
+REFERENCE = re.compile(r"(?<![\w.$])(?:(\$?)([A-Za-z]{1,3})(\$?)(\d{1,7})(?![\w.(!])|(\$?)([A-Za-z]{1,3}):(\$?)([A-Za-z]{1,3})(?![\w.(!])|(\$?)(\d{1,7}):(\$?)(\d{1,7})(?![\w.(!]))")
+
+
+def moved_formula(formula: str, rows: int, columns: int) -> str:
+    """A formula as it reads in a cell so many rows and columns away: relative references move, absolute ones stay, and one that leaves the sheet is #REF!."""
+
+    def column(fixed: str, name: str) -> str | None:
+        n = corner(f"{name}1")[1] + (0 if fixed else columns)
+        return fixed + column_name(n) if 1 <= n <= 16_384 else None
+
+    def row(fixed: str, digits: str) -> str | None:
+        n = int(digits) + (0 if fixed else rows)
+        return f"{fixed}{n}" if 1 <= n <= 1_048_576 else None
+
+    def one(m: re.Match) -> str:
+        if m[2]:
+            parts = [column(m[1], m[2]), row(m[3], m[4])]
+            return "#REF!" if None in parts else "".join(parts)
+        parts = [column(m[5], m[6]), column(m[7], m[8])] if m[6] else [row(m[9], m[10]), row(m[11], m[12])]
+        return "#REF!" if None in parts else ":".join(parts)
+
+    return "".join(x if i % 2 else REFERENCE.sub(one, x) for i, x in enumerate(FIXED_PARTS.split(formula)))
+
+
 def check_extension(path: str) -> None:
     if not path:
         raise EngineError("INPUT_PATH_REQUIRED")
@@ -50,26 +76,27 @@ def corner(address: str) -> tuple[int, int]:
     return int(digits), n
 
 
+def sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str, str]]:
+    """(name, state, part) of the sheets, in their order."""
+    rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    part = lambda target: target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return [(s.get("name"), s.get("state", "visible"), part(rels[s.get(f"{REL}id")])) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+
+
 class Workbook:
     def __init__(self, raw: bytes, name: str = ""):
         if raw[:4] == b"\xd0\xcf\x11\xe0":
             raise EngineError("ENCRYPTED_OR_PROTECTED_WORKBOOK", source=name)
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(raw))
-            book = self._xml("xl/workbook.xml")
-            rels = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
+            self.sheets = sheet_parts(self.zip)
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
             raise EngineError("INVALID_XLSX", str(e), name) from e
         self.name = name
-        self.sheets = [(s.get("name"), s.get("state", "visible"), self._part(rels[s.get(f"{REL}id")])) for s in book.iter(f"{MAIN}sheet")]
         names = set(self.zip.namelist())
         self.shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in self._xml("xl/sharedStrings.xml").iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
         self.dates = self._date_styles() if "xl/styles.xml" in names else set()
 
-    @staticmethod
-    def _part(target: str) -> str:
-        return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-
     def _xml(self, part: str) -> ElementTree.Element:
         return ElementTree.fromstring(self.zip.read(part))
 
@@ -85,14 +112,25 @@ class Workbook:
     def cells(self) -> Iterator[tuple]:
         for k, (sheet, _, part) in enumerate(self.sheets):
             boxes = [tuple(corner(x) for x in (m.split(":") * 2)[:2]) for m in self.merges(part)]
-            for c in self._xml(part).iter(f"{MAIN}c"):
-                row, col = corner(c.get("r"))
-                kind, text, num, formula = self._value(c)
+            found = [(corner(c.get("r")), c) for c in self._sheet(part).iter(f"{MAIN}c")]
+            shared = {f.get("si"): (place, f.text) for place, c in found if (f := c.find(f"{MAIN}f")) is not None and f.get("t") == "shared" and f.text}
+            for (row, col), c in found:
+                kind, text, num, formula = self._value(c, (row, col), shared)
                 merged = any(a[0] <= row <= b[0] and a[1] <= col <= b[1] for a, b in boxes)
                 yield self.name, k, sheet, row, col, kind, text, num, formula, merged
 
-    def _value(self, c: ElementTree.Element) -> tuple:
+    def _sheet(self, part: str) -> ElementTree.Element:
+        root = self._xml(part)
+        if root.tag != f"{MAIN}worksheet":
+            raise EngineError("UNSUPPORTED_WORKBOOK_FEATURE", f"{part} isn't a table of cells", self.name)
+        return root
+
+    def _value(self, c: ElementTree.Element, place: tuple[int, int], shared: dict[str, tuple[tuple[int, int], str]]) -> tuple:
+        """kind, text, number, formula. A formula that a cell shares is the first cell's, moved to its place."""
         f, v, t = c.find(f"{MAIN}f"), c.findtext(f"{MAIN}v"), c.get("t", "n")
+        if f is not None and f.get("t") == "shared" and not f.text and f.get("si") in shared:
+            (row, col), master = shared[f.get("si")]
+            return "FORMULA", None, None, f"={moved_formula(master, place[0] - row, place[1] - col)}"
         if f is not None:
             return "FORMULA", None, None, f"={f.text or ''}"
         if t == "s" and v is not None:
@@ -213,14 +251,15 @@ def edit_workbook(raw: bytes, texts: dict[str, dict[tuple[int, int], str]], gone
     otherwise it stays as an empty row, so that no reference changes its meaning. A row with a
     formula that others share can't go.
     """
-    book = Workbook(raw)
-    files = {n: book.zip.read(n) for n in book.zip.namelist()}
-    sources = {part: files[part].decode("utf-8-sig") for _, _, part in book.sheets if files[part].lstrip()[:1] in (b"<", b"\xef")}
-    if len(sources) < len(book.sheets):
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    files = {n: book.read(n) for n in book.namelist()}
+    sheets = sheet_parts(book)
+    sources = {part: files[part].decode("utf-8-sig") for _, _, part in sheets if files[part].lstrip()[:1] in (b"<", b"\xef")}
+    if len(sources) < len(sheets):
         raise EngineError("RISKY_WORKBOOK_FEATURE", "a sheet isn't UTF-8")
     fixed = b"<definedName" in files["xl/workbook.xml"] or any(FORMULA.search(x) for x in sources.values())
     lost_formula = False
-    for sheet, _, part in book.sheets:
+    for sheet, _, part in sheets:
         if not texts.get(sheet) and not gone.get(sheet):
             continue
         xml, lost = _edited(sources[part], texts.get(sheet, {}), gone.get(sheet, set()), not fixed and not BOUND.search(sources[part]))

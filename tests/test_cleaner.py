@@ -50,7 +50,7 @@ def test_values(frames):
     assert (v[1, 1], v[1, 2]) == ("Full Name", "A B")
     assert (v[2, 1], v[2, 2], v[2, 3]) == ("x", "a\nb", "00123")
     assert v[6, 3] == "12345678901234567890" and v[7, 1] == "=A1+B1"
-    assert [tuple(r) for r in gone.collect()] == [("Data", 4, 3)]  # equal after normalisation; "Y" stays
+    assert [(r["sheet"], r["row_idx"], r["retained"]) for r in gone.collect()] == [("Data", 4, 3)]  # equal after normalisation; "Y" stays
     assert {r["sheet"]: r["header_status"] for r in status.collect()} == {"Data": "CONFIRMED", "Numbers": "CONFIRMED", "Numeric head": "UNCERTAIN_HEADER", "Same names": "UNCERTAIN_HEADER", "Merged": "CONFIRMED"}
     assert after.where("sheet = 'Merged' and text = ' keep '").count() == 4
 
@@ -155,6 +155,86 @@ def test_removed_formulas():
         xlsx.edit_workbook(shared, {}, {"S": {3}})
 
 
+def test_moved_formulas():
+    for formula, rows, columns, want in (
+        ("A1+$B$2*C$3-$D4", 2, 1, "B3+$B$2*D$3-$D6"),
+        ("SUM(A1:B2)", 1, 0, "SUM(A2:B3)"),
+        ("LOG10(A1)&\"A1\"&'Sheet A1'!B2&Other!C3", 1, 1, "LOG10(B2)&\"A1\"&'Sheet A1'!C3&Other!D4"),
+        ("SUM(A:B)+SUM($A:B)+SUM(1:2)+SUM($1:2)", 3, 2, "SUM(C:D)+SUM($A:D)+SUM(4:5)+SUM($1:5)"),
+        ("Table1[A1]+rate_A1+A1B+TRUE", 5, 5, "Table1[A1]+rate_A1+A1B+TRUE"),
+        ("A1", -1, 0, "#REF!"),
+        ("XFD1", 0, 1, "#REF!"),
+    ):
+        assert xlsx.moved_formula(formula, rows, columns) == want
+
+
+def test_shared_formulas(spark, tmp_path):
+    """Filled-down formulas differ row by row, so no row is another's copy; one that reads alike everywhere is."""
+    rows = [["name", "sum", "fixed"], *[["x", f"=A{i}", "=$A$1"] for i in range(2, 5)]]
+    raw = xlsx.write_workbook({"S": rows})
+    first, rest = ('<c r="B2"><f>A2</f>', '<c r="B2"><f t="shared" ref="B2:B4" si="0">A2</f>'), [(f'<c r="B{i}"><f>A{i}</f>', f'<c r="B{i}"><f t="shared" si="0"/>') for i in (3, 4)]
+    shared = rewritten(raw, "xl/worksheets/sheet1.xml", first, *rest)
+    assert [c[8] for c in xlsx.Workbook(shared).cells() if c[4] == 2 and c[3] > 1] == ["=A2", "=A3", "=A4"]
+    (tmp_path / "s.xlsx").write_bytes(shared)
+    cells, sheets = xlsx.read_cells(spark, str(tmp_path / "s.xlsx")), xlsx.read_sheets(spark, str(tmp_path / "s.xlsx"))
+    assert R.cleaned_cells(cells, sheets)[2].count() == 0
+    without = [[r[0], r[2]] for r in rows]
+    (tmp_path / "t.xlsx").write_bytes(xlsx.write_workbook({"S": without}))
+    cells, sheets = xlsx.read_cells(spark, str(tmp_path / "t.xlsx")), xlsx.read_sheets(spark, str(tmp_path / "t.xlsx"))
+    assert R.cleaned_cells(cells, sheets)[2].count() == 2
+
+
+def test_workbooks_of_a_folder_stay_apart(spark, tmp_path):
+    """Sheets of one name in two workbooks: headers, copies and counts are each workbook's own."""
+    (tmp_path / "a.xlsx").write_bytes(xlsx.write_workbook({"S": [["n", "m"], ["x", 1], ["y", 1]]}))
+    (tmp_path / "b.xlsx").write_bytes(xlsx.write_workbook({"S": [[], ["n", "m"], ["x", 1], ["x", 1]]}))
+    cells, sheets = xlsx.read_cells(spark, str(tmp_path)), xlsx.read_sheets(spark, str(tmp_path))
+    _, status, gone = R.cleaned_cells(cells, sheets)
+    name = lambda r: os.path.basename(r["workbook"])
+    assert {name(r): r["header_row"] for r in status.collect()} == {"a.xlsx": 1, "b.xlsx": 2}
+    assert [(name(r), r["row_idx"], r["retained"]) for r in gone.collect()] == [("b.xlsx", 4, 3)]
+    frames = R.report(cells, sheets)
+    assert [(name(r), r["duplicates_removed"], r["n_rows"]) for r in frames["Sheet Statistics"].collect()] == [("a.xlsx", 0, 3), ("b.xlsx", 1, 4)]
+    assert frames["Missing Values"].count() == 4
+
+
+def test_replay_script_needs_nothing_else(spark, book, tmp_path):
+    import subprocess
+    import sys
+
+    out = P.clean_workbook(spark, book, str(tmp_path / "Study"))
+    os.remove(out["cleaned_xlsx_path"])
+    done = subprocess.run([sys.executable, "-I", out["replay_script_path"]], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert json.loads(done.stdout)["cleaned_sha256"] == out["cleaned_sha256"] == P.file_hash(out["cleaned_xlsx_path"])
+    with open(out["raw_xlsx_path"], "ab") as f:
+        f.write(b" ")
+    bad = subprocess.run([sys.executable, "-I", out["replay_script_path"]], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert bad.returncode == 1 and "RAW_ARCHIVE_HASH_MISMATCH" in bad.stderr
+
+
+def test_codes_of_failing_steps(spark, book, tmp_path, monkeypatch):
+    for target, name, code in ((P.shutil, "copyfile", "RAW_ARCHIVE_COPY_FAILED"), (P, "report_workbook", "REPORT_GENERATION_FAILED"), (P.json, "dump", "LOG_GENERATION_FAILED")):
+        with monkeypatch.context() as m:
+            m.setattr(target, name, lambda *a, **k: 1 / 0)
+            with pytest.raises(EngineError, match=code):
+                P.clean_workbook(spark, book, str(tmp_path / "o"))
+        assert os.listdir(tmp_path) == []
+    raw = xlsx.write_workbook({"S": [["a"]]})
+    chart = rewritten(raw, "xl/worksheets/sheet1.xml", ("<worksheet", "<chartsheet"), ("</worksheet", "</chartsheet"))
+    with pytest.raises(EngineError, match="UNSUPPORTED_WORKBOOK_FEATURE"):
+        list(xlsx.Workbook(chart).cells())
+
+
+@pytest.mark.parametrize("swaps", [True, False])
+def test_publish_over_a_last_output(tmp_path, monkeypatch, swaps):
+    if not swaps:
+        monkeypatch.setattr(P, "exchange", lambda a, b: False)
+    folder = tmp_path / "o"
+    for text in ("1", "2"):
+        P.publish(str(folder), lambda s, t=text: open(os.path.join(s, "f"), "w").write(t), lambda s: True)  # noqa: SIM115
+        assert (folder / "f").read_text() == text and os.listdir(tmp_path) == ["o"]
+
+
 def test_failed_publish_keeps_the_last_output(tmp_path):
     folder = tmp_path / "o"
     folder.mkdir()

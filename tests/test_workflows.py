@@ -62,6 +62,22 @@ def test_phases(spark, mapped, tmp_path):
     assert {r["phase"] for r in again.collect()} == {p.replace(" ", "-") for p in model.PHASES}
 
 
+def test_tables_with_columns_in_another_order(spark, tmp_path):
+    (tmp_path / "mapped-transcript-1.md").write_text("| # | Theme | Question | Response |\n|---|---|---|---|\n| 1 | Usage | q1 | r1 |\n", encoding="utf-8")
+    (tmp_path / "mapped-transcript-2.md").write_text("| Question | Theme |\n|---|---|\n| q2 | 1. Awareness |\n\n| STT | Giai đoạn | Ann |\n|---|---|---|\n| 3 | Advocacy | r3 |\n| 4 | Nowhere | r4 |\n", encoding="utf-8")
+    rows, rejects = W.routed(spark, str(tmp_path / "mapped-transcript*.md"))
+    got = {(r["phase"], r["question_no"], r["question"], r["response"], r["Ann"]) for r in rows.collect()}
+    assert got == {("usage", "1", "q1", "r1", None), ("awareness", None, "q2", None, None), ("advocacy", "3", None, None, "r3")}
+    assert [(r["raw"], r["reason"]) for r in rejects.collect()] == [("| 4 | Nowhere | r4 |", "UNKNOWN_THEME")]
+
+
+def test_insights_of_several_documents(spark, tmp_path):
+    for name, people in (("a", "Ann Bob"), ("b", "Bob Cid")):
+        (tmp_path / f"{name}.md").write_text("\n".join(f"# Insights — {p}\n| # | Insight | Quotes |\n|---|---|---|\n| 1 | of {p} | q |\n" for p in people.split()), encoding="utf-8")
+    rows = M.insight_observations(M.lines(spark, str(tmp_path / "*.md"))).collect()
+    assert sorted((os.path.basename(r["doc"]), r["participant_ord"], r["participant"]) for r in rows) == [("a.md", 1, "Ann"), ("a.md", 2, "Bob"), ("b.md", 1, "Bob"), ("b.md", 2, "Cid")]
+
+
 def test_counts_keep_empty_phases(spark, mapped):
     rows, _ = W.routed(spark, mapped)
     counts = J.counts(rows.where("phase <> 'usage'"), model.phases(spark)).collect()
