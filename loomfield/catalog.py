@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Formats by the end of a path's name.
+FORMATS = {"parquet": "parquet", "orc": "orc", "json": "json", "jsonl": "json", "csv": "csv", "tsv": "csv", "avro": "avro", "txt": "text"}
+
+
+def read(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None, **options: str) -> DataFrame:
+    """A table by Spark's own sources; the kind goes by the path's end where it isn't given. CSV has a header, and tabs where it ends so. JDBC and others: kind and options as Spark names them."""
+    end = path.rstrip("/").rpartition(".")[2].lower()
+    kind = kind or FORMATS.get(end, "parquet")
+    given = ({"header": "true", "sep": "\t" if end == "tsv" else ",", "multiLine": "true", "escape": '"'} if kind == "csv" else {}) | options
+    reader = spark.read.format(kind).options(**given)
+    reader = reader if schema is None else reader.schema(schema)
+    return reader.load() if kind == "jdbc" else reader.load(path)
+
+
+def write(rows: DataFrame, path: str, kind: str | None = None, mode: str = "errorifexists", by: tuple[str, ...] = (), **options: str) -> None:
+    """The same formats as `read`."""
+    end = path.rstrip("/").rpartition(".")[2].lower()
+    kind = kind or FORMATS.get(end, "parquet")
+    given = ({"header": "true", "sep": "\t" if end == "tsv" else ",", "escape": '"'} if kind == "csv" else {}) | options
+    rows.write.format(kind).options(**given).mode(mode).partitionBy(*by).save(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

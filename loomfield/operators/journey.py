@@ -40,8 +40,8 @@ def counts(routed: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def complete_grid(a: DataFrame, b: DataFrame, filled: DataFrame, on: list[str], value: str, default: Column) -> DataFrame:
-    """Every pair of two small lookups, with a value or its default. Both lookups are constants of the model."""
-    return a.crossJoin(F.broadcast(b)).join(filled, on, "left").withColumn(value, F.coalesce(value, default))
+    """Every pair of two lookups, with a value or its default. The grid is what is asked for; Spark broadcasts a side only below its own size limit."""
+    return a.crossJoin(b).join(filled, on, "left").withColumn(value, F.coalesce(value, default))
 
 
 def journey_map(interpretations: DataFrame, phases: DataFrame, dimensions: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def journey_map(interpretations: DataFrame, phases: DataFrame, dimensions: DataF
 
 def check_interpretations(interpretations: DataFrame, phases: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Findings: a phase without a dimension, an unknown name, an emotion that isn't 1 to 5."""
-    grid = phases.crossJoin(F.broadcast(dimensions)).select("phase", "dimension")
+    grid = phases.crossJoin(dimensions).select("phase", "dimension")
     missing = grid.join(interpretations, ["phase", "dimension"], "left_anti").withColumn("finding", F.lit("missing"))
     unknown = interpretations.join(F.broadcast(grid), ["phase", "dimension"], "left_anti").select("phase", "dimension").withColumn("finding", F.lit("unknown"))
     level = T.rating_of(F.col("value"))

@@ -46,15 +46,15 @@ SEED_WORDS = 6
 def evidence(texts: DataFrame, quotes: DataFrame, text: str, quote: str, text_key: str, quote_key: str) -> DataFrame:
     """(text_key, quote_key) where the text contains the quote verbatim.
 
-    An equi-join on the quote's first words finds the candidates, so no text meets every quote;
+    An equi-join on a hash of the quote's first words finds the candidates, so no text meets every quote;
     `contains` decides. A quote of fewer than SEED_WORDS + 2 blanks-separated pieces has no seed
     that its neighbours can't alter and goes to every text; such quotes must be few, as they are
     broadcast by Spark only below its size limit.
     """
     parts = F.split(F.col(quote), " ")
     # the first piece may continue a word of the text, so the seed begins at the second
-    seeded = quotes.withColumn("__n", F.size(parts)).withColumn("__seed", F.when(F.col("__n") >= SEED_WORDS + 2, F.array_join(F.slice(parts, 2, SEED_WORDS), " ")))
-    windows = T.let(F.split(F.col(text), " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SEED_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SEED_WORDS), " ")))
+    seeded = quotes.withColumn("__n", F.size(parts)).withColumn("__seed", F.when(F.col("__n") >= SEED_WORDS + 2, F.xxhash64(F.slice(parts, 2, SEED_WORDS))))
+    windows = T.let(F.split(F.col(text), " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SEED_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SEED_WORDS))))
     seeds = texts.select(text_key, F.explode(F.array_distinct(windows)).alias("__seed"))
     hits = seeds.join(seeded.where("__seed IS NOT NULL").select(quote_key, quote, "__seed"), "__seed").select(text_key, quote_key, quote).distinct()
     long = hits.join(texts.select(text_key, text), text_key).where(F.contains(F.col(text), F.col(quote))).select(text_key, quote_key)

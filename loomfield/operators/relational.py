@@ -51,11 +51,21 @@ def top_per_group(rows: DataFrame, by: list[str], order: list, k: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:
-    """Points within [lo, hi] of a range, by equi-join on cells of `width` rather than by all pairs."""
+def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points within [lo, hi] of a range, and equal in `by`, by equi-join on cells of `width` rather than by all pairs."""
     cell = lambda c: F.floor(F.col(c) / width).cast("bigint")
     spread = ranges.withColumn("__cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    return points.withColumn("__cell", cell(at)).join(spread, "__cell").where(F.col(at).between(F.col(lo), F.col(hi))).drop("__cell")
+    return points.withColumn("__cell", cell(at)).join(spread, [*by, "__cell"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__cell")
+
+
+def preview(rows: DataFrame, order: list[str], n_rows: int = 32, n_cols: int = 4) -> DataFrame:
+    """The first rows by `order`, and the first columns: for people to look at."""
+    return rows.orderBy(*order).limit(n_rows).select(*rows.columns[:n_cols])
+
+
+def top(rows: DataFrame, order: list, k: int) -> DataFrame:
+    """The first k rows of all: each task keeps k, so no task sorts the table."""
+    return rows.orderBy(*order).limit(k)
 
 
 def with_retry(step, times: int = 2, codes: tuple[str, ...] = ("API_ERROR", "TIMEOUT")):  # noqa: ANN001, ANN201

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 65_536
-#: Columns that a worksheet can have.
-MOST_PEOPLE = 16_384
+#: Participants of a block of the grid, and parts of the insights that a block goes to.
+PEOPLE_BLOCK = 4096
+GRID_PARTS = 16
 
 
 def first_mentions(observations: DataFrame) -> DataFrame:
@@ -29,15 +30,19 @@ def participants(observations: DataFrame) -> DataFrame:
 def matrix(observations: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """Every insight with every participant of `people`: (insight, participant_ord, participant, mark), ABSENT where not mentioned.
 
-    The grid is what is asked for: its size is insights x participants. More than MOST_PEOPLE
-    participants raise an error, so what is broadcast is bounded; `first_mentions` has the same
-    marks without the absent ones for any number.
+    The grid is what is asked for: its size is insights x participants. Participants go in blocks of
+    about PEOPLE_BLOCK, each block to GRID_PARTS parts of the insights, and meet them by an equi-join
+    on block and part, so no task has a whole side; the number of participants is counted first.
     """
     marks = first_mentions(observations)
-    people = participants(observations) if people is None else people
-    each = people.limit(MOST_PEOPLE + 1).agg(F.array_sort(F.collect_set(F.struct("participant_ord", "participant"))).alias("people"))
-    each = each.select(F.when(F.size("people") > MOST_PEOPLE, F.raise_error(F.lit(f"more than {MOST_PEOPLE} participants"))).otherwise(F.col("people")).alias("people"))
-    grid = marks.select("insight").distinct().join(F.broadcast(each)).select("insight", F.explode("people").alias("p")).select("insight", "p.participant_ord", "p.participant")
+    people = (participants(observations) if people is None else people.select("participant_ord", "participant")).distinct()
+    blocks = 1 + people.count() // PEOPLE_BLOCK
+    block = F.pmod(F.xxhash64("participant_ord", "participant"), F.lit(blocks)).alias("__block")
+    packed = people.groupBy(block).agg(F.collect_list(F.struct("participant_ord", "participant")).alias("__people"))
+    packed = packed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))))
+    insights = marks.select("insight").distinct().withColumn("__part", F.pmod(F.xxhash64("insight"), F.lit(GRID_PARTS)).cast("int"))
+    insights = insights.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    grid = insights.join(packed, ["__block", "__part"]).select("insight", F.explode("__people").alias("p")).select("insight", "p.participant_ord", "p.participant")
     return grid.join(marks.select("insight", "participant_ord", "mark"), ["insight", "participant_ord"], "left").withColumn("mark", F.coalesce("mark", F.lit("ABSENT")))
 
 

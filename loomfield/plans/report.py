@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield import model
@@ -61,7 +61,7 @@ def report(cells: DataFrame, sheets: DataFrame) -> dict[str, DataFrame]:
     types = types.withColumn("mixed", F.size("kinds") > 1).withColumn("action", F.lit("not_converted")).orderBy(*by, "col_idx")
     outliers = P.outliers(region.where("kind = 'NUMBER'"), [*by, "col_idx"], "num").orderBy(*by, "col_idx")
     merges = sheets.select(*by, F.explode("merges").alias("range"), F.lit("preserved").alias("status"))
-    joins = spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in by), F.lit(None).cast("string").alias("range"), F.lit("join_analysis=not_applicable; reason=no_explicit_key_contract; joins_performed=0").alias("status"))
+    joins = no_joins(spark, by)
     counts = n_changed.select(F.lit(model.RULES[0]).alias("rule"), *by, F.col("headers_normalized").alias("n")).unionByName(n_changed.select(F.lit(model.RULES[1]).alias("rule"), *by, F.col("text_normalized").alias("n"))).unionByName(n_gone.select(F.lit(model.RULES[4]).alias("rule"), *by, F.col("duplicates_removed").alias("n")))
     actions = actions_with_zeros(model.rules(spark), counts.where("n > 0"))
     w = lambda code, severity, frame, where, text: frame.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), *by, where.alias("location"), F.lit(text).alias("message"), F.lit("review").alias("action"))
@@ -85,6 +85,11 @@ def report(cells: DataFrame, sheets: DataFrame) -> dict[str, DataFrame]:
     return dict(zip(model.REPORT_SHEETS, frames))
 
 
+def no_joins(spark: SparkSession, by: list[str]) -> DataFrame:
+    """The record that sheets are never joined, as no key is agreed on."""
+    return spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in by), F.lit(None).cast("string").alias("range"), F.lit("join_analysis=not_applicable; reason=no_explicit_key_contract; joins_performed=0").alias("status"))
+
+
 def actions_with_zeros(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """Every rule in order, with its count per sheet or 0."""
     return rules.join(counts, "rule", "left").select("rule_ord", "rule", *C.sheet_key(counts), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("rule_ord", *C.sheet_key(counts))

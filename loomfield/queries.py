@@ -60,6 +60,13 @@ def saturation_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix(o).select("insight", "participant_ord", "mark")
 
 
+@query(f"WITH {MENTIONS} SELECT ff.i AS insight, " + ", ".join(f"CASE max(CASE WHEN s.p = {k} THEN CASE WHEN s.p = ff.f THEN 2 ELSE 1 END ELSE 0 END) WHEN 2 THEN 'NEW' WHEN 1 THEN 'REPEAT' ELSE 'ABSENT' END AS n{k}" for k in range(5)) + " FROM ff JOIN few s USING (i) GROUP BY ff.i")
+def saturation_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for display, with a column for each of five nations."""
+    long = saturation_matrix_long(spark, sf_dir).withColumn("participant", F.concat(F.lit("n"), F.col("participant_ord").cast("string")))
+    return S.matrix_wide(long, [f"n{k}" for k in range(5)])
+
+
 @query(f"WITH {OBS} SELECT o.p AS participant_ord, CAST(o.p AS VARCHAR) AS participant, count(*) FILTER (WHERE o.p = f.f) AS new_insights FROM obs o JOIN firsts f USING (i) GROUP BY o.p")
 def saturation_new_per_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.new_per_participant(observations(spark, sf_dir))
@@ -537,3 +544,179 @@ def artifact_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.is_optional(F.when(size % 3 == 0, F.concat(name, F.lit(" (optional)"))).otherwise(name)).alias("optional"), *(address[c].alias(c) for c in ("r1", "c1", "r2", "c2")),
         T.bare_label(F.concat(F.lit("🔵 **insight "), text, F.lit("**"))).alias("label"), T.mark_of(symbol).alias("mark"), T.line_endings(F.concat(name, F.lit("\r\n"), name, F.lit("\r"))).alias("lines"), T.score_num(F.concat(F.regexp_extract("p_brand", "[0-9]+", 0), F.lit("/25"))).alias("num"),
     )
+
+
+# --- what only workflows use, on tables --------------------------------------------------------
+
+
+def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' cells; some sheets have a formula, some a merged first column."""
+    key = F.col("sheet").cast("bigint")
+    rows = customer_cells(spark, sf_dir)
+    formula = (key % 6 == 0) & (F.col("col_idx") == 2) & (F.col("text") == F.concat(F.lit("Customer#"), F.lpad("sheet", 9, "0")))
+    return rows.withColumns({"kind": F.when(formula, "FORMULA").otherwise(F.col("kind")), "in_merge": (key % 7 == 0) & (F.col("col_idx") == 1)})
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 2 END AS n_rows, 2 AS n_cols, CAST(4 AS BIGINT) AS populated, CAST(CASE WHEN c_custkey % 6 = 0 AND c_name = 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') THEN 1 ELSE 0 END AS BIGINT) AS formulas, CAST(CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT) AS merged_cells FROM customer")
+def sheet_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sheet_counts(marked_cells(spark, sf_dir))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 2 END AS row_idx, CAST(c_nationkey AS VARCHAR) AS text FROM customer WHERE c_custkey % 4 NOT IN (1, 2) AND c_custkey % 7 <> 0")
+def structural_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First columns of the data of sheets that no merged range puts under review."""
+    cells = marked_cells(spark, sf_dir)
+    return C.data_region(cells, C.header_status(cells), cells.where("in_merge")).where("col_idx = 1").select("sheet", "row_idx", "text")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, 2 AS row_idx, 2 AS col_idx, CASE WHEN c_custkey % 5 <> 0 THEN c_name WHEN c_custkey % 4 = 1 THEN c_mktsegment WHEN c_custkey % 4 = 2 THEN '12' ELSE 'Name' END AS text FROM customer")
+def sub_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.sources.xlsx import used_range
+
+    return used_range(customer_cells(spark, sf_dir), "B2:D2").select("sheet", "row_idx", "col_idx", "text")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CAST(k AS INTEGER) AS place, CAST((k - 1) // 2 + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS row_idx, CAST((k - 1) % 2 + 1 AS INTEGER) AS col_idx FROM customer CROSS JOIN range(1, 5) t(k)")
+def stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells numbered in the order of a report: sheet, row, column, then text."""
+    w = Window.partitionBy("sheet").orderBy("row_idx", "col_idx", "text")
+    return customer_cells(spark, sf_dir).select("sheet", F.row_number().over(w).alias("place"), "row_idx", "col_idx")
+
+
+@query(f"WITH {DIRTY_SQL}, k AS (" + _each("SELECT '{0}' AS \"column\", " + KIND + " AS kind FROM dirty", TEXTS) + ") SELECT \"column\" FROM k WHERE kind = 'NUMBER' GROUP BY 1 HAVING count(*) >= 4")
+def numeric_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.numeric_candidates(P.kinds(dirty(spark, sf_dir), TEXTS))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS sheet, CAST(NULL AS VARCHAR) AS \"range\", 'join_analysis=not_applicable; reason=no_explicit_key_contract; joins_performed=0' AS status")
+def cross_sheet_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return REP.no_joins(spark, ["sheet"])
+
+
+@query("SELECT c_custkey AS question_no, c_name AS question, o_orderkey AS answer_no FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+def answers_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand in for questions, their pending orders for answers; those without stay."""
+    questions = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_no"), F.col("c_name").alias("question"))
+    return Q.answers(questions, load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("question_no"), F.col("o_orderkey").alias("answer_no")))
+
+
+@query("SELECT c_custkey, theme, CASE theme " + " ".join(f"WHEN '{t}' THEN '{colour}'" for t, colour in model.THEME_COLOURS.items()) + " END AS colour FROM (SELECT c_custkey, CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(model.THEMES)) + " ELSE 'none' END AS theme FROM customer)")
+def theme_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    theme = F.coalesce(F.get(F.array(*map(F.lit, model.THEMES)), (F.col("c_custkey") % 7).cast("int")), F.lit("none"))
+    return load(spark, sf_dir, "customer").select("c_custkey", theme.alias("theme")).withColumn("colour", T.theme_colour(F.col("theme")))
+
+
+@query(f"WITH {VARIANTS}, {THEMED} SELECT line_no, phase FROM themed JOIN v ON lower(trim(theme)) = variant")
+def phases_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases' rows, taken apart and put one after another again."""
+    routed = J.route(themed(spark, sf_dir), model.variants(spark, PRIORITIES)).select("line_no", "phase")
+    return R.union_all([routed.where(F.col("phase") == p) for p in PRIORITIES])
+
+
+# --- extensions: streams in batch, joins, aggregates, functions ---------------------------------
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * k) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events CROSS JOIN range(0, 2) t(k) GROUP BY ALL")
+def sliding_half_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that begin every twelve hours."""
+    from loomfield.streaming.events import tumbling
+
+    return tumbling(load(spark, sf_dir, "events"), "1 day", "12 hours").withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 4)})
+
+
+@query("WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.streaming.events import session_counts
+
+    return session_counts(load(spark, sf_dir, "events")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("SELECT event_type, min(ts) AS first_ts FROM events GROUP BY 1")
+def first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("first_ts"))
+
+
+@query("SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a lower region with a higher number: no equality to join by. A lookup of 25 rows."""
+    a, b = load(spark, sf_dir, "nation").alias("a"), load(spark, sf_dir, "nation").alias("b")
+    return a.join(b, F.expr("a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")).select(F.col("a.n_name").alias("left_name"), F.col("b.n_name").alias("right_name"))
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT * FROM orders WHERE o_totalprice > 300000) RIGHT JOIN customer ON o_custkey = c_custkey")
+def right_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = load(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return large.join(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "right").select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT p.event_id AS purchase_id, e.event_id AS error_id FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts BETWEEN p.ts AND p.ts + INTERVAL 12 HOUR WHERE p.event_type = 'purchase' AND e.event_type = 'error'")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's errors within twelve hours after a purchase, by user and half day."""
+    e = load(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    width = 12 * 3600 * 1_000_000
+    purchases = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
+    errors = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), "at")
+    return R.range_join(errors, purchases, "at", "lo", "hi", float(width), ("user_id",)).select("purchase_id", "error_id")
+
+
+@query("SELECT 'broadcast' AS strategy, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'merge', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'shuffle_hash', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One join by three strategies; the lookup that is broadcast has a row for each nation."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    each = [c.join(n.hint(h), c.c_nationkey == n.n_nationkey).agg(F.count("*").alias("n")).select(F.lit(h).alias("strategy"), "n") for h in ("broadcast", "merge", "shuffle_hash")]
+    return R.union_all(each)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def top_orders_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 50)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 32")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty-two rows and four columns to look at."""
+    return R.preview(load(spark, sf_dir, "customer"), ["c_custkey"])
+
+
+@query("SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT n_chars) AS lengths, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE n_chars > 1000) AS long_ones FROM documents GROUP BY lang")
+def distinct_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several distinct counts beside plain aggregates."""
+    long = F.count(F.when(F.col("n_chars") > 1000, 1)).alias("long_ones")
+    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct("n_chars").alias("lengths"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"), long)
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, TRUE AS near FROM lineitem GROUP BY 1")
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch's distinct count is within a tenth of the exact one (its standard error is 0.02)."""
+    exact = F.count_distinct("l_orderkey")
+    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(exact.alias("orders"), F.approx_count_distinct("l_orderkey", 0.02).alias("about")).select("l_returnflag", "orders", (F.abs(F.col("about") - F.col("orders")) * 10 <= F.col("orders")).alias("near"))
+
+
+@query("SELECT o_orderkey, CAST(last_day(o_orderdate) AS DATE) AS month_end, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_month, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(isodow(o_orderdate) AS INTEGER) AS weekday, strftime(o_orderdate, '%Y-%m') AS month, round(ln(o_totalprice), 6) AS log_price, round(sqrt(o_totalprice), 6) AS root, CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, CAST(greatest(o_custkey % 7, 3) AS BIGINT) AS most FROM orders")
+def calendar_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, price = F.col("o_orderdate").cast("date"), F.col("o_totalprice")
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", F.last_day(day).alias("month_end"), F.add_months(day, 1).alias("next_month"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("days"), F.quarter(day).alias("quarter"), (F.weekday(day) + 1).alias("weekday"), F.date_format(day, "yyyy-MM").alias("month"),
+        F.round(F.log(price), 6).alias("log_price"), F.round(F.sqrt(price), 6).alias("root"), F.floor(price / 1000).alias("thousands"), F.greatest(F.col("o_custkey") % 7, F.lit(3).cast("bigint")).alias("most"),
+    )
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(1 AS INTEGER) AS n_keys, '{\"type\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}' AS again, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) > 50 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS large FROM events")
+def json_and_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.from_json("props", "map<string,int>")
+    k = found["k"]
+    large = F.map_filter(found, lambda _, v: v > 50)["k"]
+    return load(spark, sf_dir, "events").select("event_id", k.alias("k"), F.size(found).alias("n_keys"), F.to_json(F.struct(F.col("event_type").alias("type"), k.alias("k"))).alias("again"), large.alias("large"))
+
+
+@query("SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, CAST(3600 + 60 * (p_size % 60) + 7 AS BIGINT) AS seconds, CASE p_size % 3 WHEN 0 THEN 'NEW' WHEN 1 THEN 'REPEAT' ELSE 'ABSENT' END AS mark, round(p_size / 50.0, 6) AS score, 'b' AS second_target FROM part")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's own functions in SQL text, one of them a table function."""
+    from loomfield.functions import sql
+
+    sql.register(spark)
+    symbols = ", ".join(f"'{x}'" for x in model.MARKS.values())
+    return spark.sql(
+        f"SELECT p_partkey, slug_of(p_name) AS slug, seconds_of(concat('01:', lpad(p_size % 60, 2, '0'), ':07')) AS seconds, mark_of(element_at(array({symbols}), p_size % 3 + 1)) AS mark, round(score_of(concat(p_size, '/50')), 6) AS score, t.target AS second_target "
+        "FROM {parts}, LATERAL targets_of('a\nb') t WHERE t.target_no = 1", parts=load(spark, sf_dir, "part"),
+    )

@@ -12,7 +12,7 @@ import pytest
 from loomfield import queries as core
 
 DATA = "/root/testdata/sf0.001"
-SAME = {"timestamp": "TIMESTAMP", "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+SAME = {"timestamp": "TIMESTAMP", "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 @pytest.fixture(scope="module")

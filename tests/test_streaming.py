@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from loomfield.streaming import events as E
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +34,20 @@ def test_closed_windows_of_append(spark, tmp_path):
     assert got and all(batch[k] == n for k, n in got.items())
 
 
+def test_late_rows_are_dropped_from_closed_windows(spark, tmp_path):
+    """A row that comes after its window was closed by the watermark isn't counted; one that is late but within it is."""
+    from datetime import datetime
+
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    for times in (("2024-01-01T10:00:00", "2024-01-05T10:00:00"), ("2024-01-04T20:00:00", "2024-01-01T11:00:00")):  # then the watermark is the fourth, 10:00
+        rows = [(i, datetime.fromisoformat(t), 1, "view", 1.0, "{}") for i, t in enumerate(times)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+        time.sleep(1.1)  # files go by the second of their writing
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    got = {(r["start"].day, r["n"]) for r in run(E.tumbling(s), "update", "late", tmp_path).collect()}
+    assert got == {(1, 1), (5, 1), (4, 1)}
+
+
 def test_first_seen_and_ingest(spark, tmp_path):
     rows, s = stream(spark, tmp_path)
     assert run(E.first_seen(s, ["event_type"], late="3650 days"), "append", "seen", tmp_path).count() == rows.select("event_type").distinct().count()

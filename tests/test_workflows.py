@@ -115,6 +115,31 @@ def test_saturation(spark, tmp_path):
     assert S.new_per_participant(obs.withColumn("participant_ord", -F.col("participant_ord"))).agg(F.sum("new_insights")).first()[0] == 4
 
 
+def test_matrix_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "PEOPLE_BLOCK", 3)
+    rows = [(p, f"p{p}", f"i{(p * k) % 7}") for p in range(20) for k in range(3)]
+    obs = spark.createDataFrame(rows, "participant_ord int, participant string, insight string")
+    first = {}
+    for p, _, i in rows:
+        first[i] = min(p, first.get(i, p))
+    said = {(i, p) for p, _, i in rows}
+    want = {(i, p, "ABSENT" if (i, p) not in said else "NEW" if first[i] == p else "REPEAT") for i in first for p in range(20)}
+    got = S.matrix(obs).collect()
+    assert len(got) == len(want) and {(r["insight"], r["participant_ord"], r["mark"]) for r in got} == want
+
+
+def test_sources(spark, tmp_path):
+    from loomfield.catalog import read, write
+
+    rows = spark.createDataFrame([(1, 'a "q", b\nc', "x"), (2, None, "y")], "id bigint, text string, part string")
+    for end in ("parquet", "orc", "json", "csv", "tsv"):
+        path = str(tmp_path / f"t.{end}")
+        write(rows, path)
+        assert sorted(read(spark, path, schema=None if end in ("parquet", "orc") else "id bigint, text string, part string").select("id", "text", "part").collect(), key=lambda r: r["id"]) == rows.collect(), end
+    write(rows, str(tmp_path / "parts"), by=("part",))
+    assert read(spark, str(tmp_path / "parts")).where("part = 'x'").count() == 1
+
+
 def test_curve_keeps_a_null_participant(spark):
     rows = [(1, "1", "a"), (2, "2", "b"), (70_000, "70000", "c"), (None, None, "a"), (None, None, "d")]
     got = S.curve(spark.createDataFrame(rows, "participant_ord bigint, participant string, insight string")).collect()
