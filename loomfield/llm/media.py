@@ -1,11 +1,12 @@
 """Media columns: Netpbm and BMP images decoded to arrays, area-resized, written as NPY tiles with difference hashes.
 
-`decode` reads PBM, PGM, PPM (plain and raw, 1 to 16 bits) and uncompressed BMP of 1, 4, 8, 24
-or 32 bits. `area_resize` takes exact box means from an integral image in whole numbers, so
+`decode` reads PBM, PGM, PPM (plain and raw, 1 to 16 bits) and uncompressed BMP of 1, 4, 8, 16, 24
+or 32 bits, with masks too; `scaled` stretches samples of another maximum to 8 or 16 bits, as `image_tiles` does. `area_resize` takes exact box means from an integral image in whole numbers, so
 that results are the same on any machine; the integral image is built in bands of rows and
 kept only at the box edges, which bounds memory. `tiles` cuts an array into NPY files of a
 fixed side. `difference_hash` compares neighbours of a 9 x 8 reduction.
 
+Very long texts and large images are one row's work: their bytes, and bands of rows, are in memory at once.
 A null or empty image decodes to null columns and a broken one to null columns with `error`
 set; no row is dropped. Repeated rows stay; an empty table gives an empty one; only the named
 columns are read, so other columns may have any names.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,16 +37,19 @@ class BadImage(ValueError):
     pass
 
 
-def decode(raw: bytes) -> np.ndarray:
+def decode(raw: bytes, scaled: bool = False) -> np.ndarray:
     """H x W (gray) or H x W x 3 (RGB), uint8 or uint16."""
     if raw[:2] == b"BM":
         return _bmp(raw)
     if len(raw) > 2 and raw[:1] == b"P" and raw[1:2] in b"123456":
-        return _netpbm(raw)
+        image, top = _netpbm(raw)
+        full = 255 if top < 256 else 65535
+        return image if not scaled or top == full else ((np.minimum(image, top).astype(np.int64) * full + top // 2) // top).astype(image.dtype)
     raise BadImage("neither Netpbm nor BMP")
 
 
-def _netpbm(raw: bytes) -> np.ndarray:
+def _netpbm(raw: bytes) -> tuple[np.ndarray, int]:
+    """The samples as they are, and their maximum; bits are 0 and 255."""
     kind, at, numbers = raw[1] - 48, 2, []
     while len(numbers) < (2 if kind in (1, 4) else 3):
         while at < len(raw) and (raw[at : at + 1].isspace() or raw[at : at + 1] == b"#"):
@@ -63,13 +68,15 @@ def _netpbm(raw: bytes) -> np.ndarray:
         raise BadImage("impossible size or maximum")
     depth = 3 if kind in (3, 6) else 1
     n = width * height * depth
+    plain = re.sub(rb"#[^\r\n]*", b" ", raw[at:]) if kind < 4 else b""
     if kind == 1:
-        bits = [b - 48 for b in raw[at:] if b in b"01"]
+        bits = [b - 48 for b in plain if b in b"01"]
+        top = 255
         if len(bits) < n:
             raise BadImage("too few samples")
         flat = (1 - np.array(bits[:n], np.uint8)) * np.uint8(255)
     elif kind in (2, 3):
-        words = raw[at:].split()
+        words = plain.split()
         if len(words) < n:
             raise BadImage("too few samples")
         flat = np.array(words[:n]).astype(np.uint16 if top > 255 else np.uint8)
@@ -78,26 +85,35 @@ def _netpbm(raw: bytes) -> np.ndarray:
         data = np.frombuffer(raw, np.uint8, offset=at + 1)
         if len(data) < row * height:
             raise BadImage("too few samples")
-        return (1 - np.unpackbits(data[: row * height].reshape(height, row), axis=1)[:, :width]) * np.uint8(255)
+        return (1 - np.unpackbits(data[: row * height].reshape(height, row), axis=1)[:, :width]) * np.uint8(255), 255
     else:
         data = np.frombuffer(raw, np.dtype(">u2") if top > 255 else np.uint8, offset=at + 1, count=-1 if (len(raw) - at - 1) % (2 if top > 255 else 1) == 0 else (len(raw) - at - 1) // 2)
         if len(data) < n:
             raise BadImage("too few samples")
         flat = data[:n].astype(np.uint16) if top > 255 else data[:n]
-    return flat.reshape(height, width, 3) if depth == 3 else flat.reshape(height, width)
+    return flat.reshape(height, width, 3) if depth == 3 else flat.reshape(height, width), top
 
 
 def _bmp(raw: bytes) -> np.ndarray:
     if len(raw) < 54:
         raise BadImage("header ends early")
     offset, header, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", raw, 10)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0 or packed == 3 and bits != 32:
+    if packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or width < 1 or height == 0 or packed == 3 and bits not in (16, 32):
         raise BadImage("unsupported BMP")
     rows, row = abs(height), (width * bits + 31) // 32 * 4
     if len(raw) < offset + rows * row:
         raise BadImage("too few samples")
     data = np.frombuffer(raw, np.uint8, rows * row, offset).reshape(rows, row)
     data = data[::-1] if height > 0 else data
+    if bits == 16 or packed == 3:
+        # fixed values: five bits a colour where there are no masks
+        masks = struct.unpack_from("<III", raw, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        if not all(masks):
+            raise BadImage("a colour without bits")
+        pixels = np.ascontiguousarray(data[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        channels = [(pixels & m) // (m & -m) for m in masks]
+        tops = [m // (m & -m) for m in masks]
+        return np.stack([((c * 255 + t // 2) // t).astype(np.uint8) for c, t in zip(channels, tops)], axis=2)
     if bits >= 24:
         return data[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     index = data if bits == 8 else np.unpackbits(data, axis=1) if bits == 1 else np.stack([data >> 4, data & 15], axis=2).reshape(rows, -1)
@@ -187,7 +203,7 @@ def image_tiles(df: DataFrame, image: str = "image", key: str = "image_id", side
                 rows = []
                 for raw in part.column(1).to_pylist():
                     try:
-                        a = decode(raw) if raw else None
+                        a = decode(raw, scaled=True) if raw else None
                         t, d = features(a, side, target) if a is not None else (None, None)
                         rows.append((*(a.shape[:2] if a is not None else (None, None)), None if a is None else 1 if a.ndim == 2 else a.shape[2], t, d, None))
                     except (BadImage, struct.error, ValueError, OverflowError) as e:

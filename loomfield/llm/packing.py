@@ -5,7 +5,7 @@ their place. Pieces are packed by decreasing length into rows of `length` ids, e
 fullest row that still has room. Free space is kept in a segment tree over the values
 0..`length`: a node knows whether any row has that much room, so a search takes log2(length)
 steps. Each packed row has its ids (uint16 or int32, little endian, padded), cumulative segment
-lengths, and position ids that restart at every segment.
+lengths, and position ids that restart at every segment (uint16, or int32 for rows longer than that).
 
 Packing works on blocks of `block_tokens` ids within an input partition: no shuffle, memory is
 bounded by a block and one document, and a lost task repeats its own split. A block's rows
@@ -93,7 +93,8 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         dtype = "<u2" if max(c.bytes_of) < 65536 else "<i4"
-        steps = np.arange(length, dtype=dtype)
+        place = "<u2" if length <= 65536 else "<i4"
+        steps = np.arange(length, dtype=place)
         pieces: list[tuple[object, int, np.ndarray]] = []
         held = 0
 
@@ -103,7 +104,7 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = L
                 out: list[list] = [[] for _ in range(6)]
                 for row in rows[start : start + 256]:
                     ids, at = np.full(length, pad_id, dtype), 0
-                    positions, ends = np.zeros(length, dtype), [0]
+                    positions, ends = np.zeros(length, place), [0]
                     for i in row:
                         piece = pieces[i][2]
                         ids[at : at + len(piece)] = piece

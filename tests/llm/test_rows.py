@@ -281,6 +281,41 @@ def test_images():
             media.decode(bad)
 
 
+def test_images_of_other_depths():
+    assert media.decode(b"P2 2 1 9 4 7", scaled=True).tolist() == [[113, 198]]
+    assert media.decode(b"P5 1 1 1000\n\x01\xf4", scaled=True).tolist() == [[32768]]
+    assert media.decode(b"P2 2 1 255 # size\n4 # one\n7").tolist() == [[4, 7]] and media.decode(b"P1 2 1 #01\n1 #0\n0").tolist() == [[0, 255]]
+    head = lambda bits, masks: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(masks)) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, bits, 3 if masks else 0, 0, 0, 0, 0, 0) + masks
+    assert media.decode(head(16, b"") + struct.pack("<HH", 0x7C00, 0x001F)).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert media.decode(head(16, struct.pack("<III", 0xF800, 0x7E0, 0x1F)) + struct.pack("<HH", 0x07E0, 0xF81F)).tolist() == [[[0, 255, 0], [255, 0, 255]]]
+    assert media.decode(head(32, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)) + struct.pack("<II", 0x030201, 0x060504)).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    with pytest.raises(media.BadImage):
+        media.decode(head(32, struct.pack("<III", 0, 0xFF00, 0xFF)) + bytes(8))
+
+
+def test_difference_hash():
+    """Against a plain reduction to 9 x 8 box means in fractions."""
+    from fractions import Fraction
+
+    r = np.random.default_rng(9)
+    for h, w in ((8, 9), (40, 64), (13, 7), (1, 64)):
+        a = r.integers(0, 256, (h, w), dtype=np.uint8)
+
+        def mean(y, x, a=a, h=h, w=w):
+            total = Fraction(0)
+            for i in range(h):
+                for j in range(w):
+                    dy = min(Fraction((y + 1) * h, 8), i + 1) - max(Fraction(y * h, 8), i)
+                    dx = min(Fraction((x + 1) * w, 9), j + 1) - max(Fraction(x * w, 9), j)
+                    if dy > 0 and dx > 0:
+                        total += dy * dx * int(a[i, j])
+            return int(total / Fraction(h * w, 72) + Fraction(1, 2))
+
+        small = [[mean(y, x) for x in range(9)] for y in range(8)]
+        bits = "".join("1" if row[x + 1] > row[x] else "0" for row in small for x in range(8))
+        assert media.difference_hash(a) == f"{int(bits, 2):016x}"
+
+
 def test_area_means(monkeypatch):
     monkeypatch.setattr(media, "BAND_ROWS", 3)
     r = np.random.default_rng(1)
