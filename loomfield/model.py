@@ -25,7 +25,7 @@ APPROVALS = ("ok", "yes", "gửi", "approved")
 MARKS = {"NEW": "🔵", "REPEAT": "🌐", "ABSENT": "⚪️"}
 #: Fill of each theme's cell.
 THEME_COLOURS = {"0. Warm-up": "#E5E7EB", "1. Awareness": "#D9F0C2", "2. Consideration": "#CFE8F8", "3. Decision Making": "#FFE7A8", "4. Usage": "#FFD2B8", "5. Advocacy": "#E5D1F4"}
-#: Canonical column names of mapped transcripts and questionnaires.
+#: Names of columns in mapped transcripts and questionnaires, and ours for them.
 ALIASES = {"#": "question_no", "STT": "question_no", "Theme": "theme", "Giai đoạn": "theme", "Question": "question", "Câu hỏi": "question", "Observed Variable": "targets", "Mục tiêu / Chủ đề khai thác": "targets", "Response": "response", "Topic": "topic"}
 
 CELLS = "workbook string, sheet_idx int, sheet string, row_idx int, col_idx int, kind string, text string, num double, formula string, in_merge boolean"

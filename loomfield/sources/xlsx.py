@@ -7,9 +7,11 @@ Formulas stay text. Dates are numbers whose style has a date format. Unknown par
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
@@ -183,16 +185,62 @@ def used_range(cells: DataFrame, address: str, sheet: str | None = None) -> Data
     return rows if sheet is None else rows.where(rows.sheet == sheet)
 
 
-def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = (), frozen_rows: dict[str, int] | None = None, lists: dict[str, tuple[str, list[str]]] | None = None, formulas: bool = True) -> bytes:
+@dataclass(frozen=True, order=True)
+class Style:
+    """How a cell looks; colours are RRGGBB."""
+
+    fill: str = ""
+    colour: str = ""
+    bold: bool = False
+    italic: bool = False
+    size: int = 11
+    border: str = ""
+    across: str = ""
+    down: str = ""
+    wrap: bool = False
+
+
+@dataclass
+class Look:
+    """Of a sheet: styles by (row, column), widths by column, heights by row, and whether it shows its grid."""
+
+    styles: dict[tuple[int, int], Style]
+    widths: dict[int, float]
+    heights: dict[int, float]
+    grid: bool = True
+
+
+def _styles(used: list[Style]) -> str:
+    """The part with the styles, numbered from 1; 0 is plain."""
+    edge = lambda s: "".join(f'<{side} style="thin"><color rgb="FF{s.border}"/></{side}>' for side in ("left", "right", "top", "bottom")) if s.border else ""
+    font = lambda s: f"<font>{'<b/>' * s.bold}{'<i/>' * s.italic}<sz val=\"{s.size}\"/>" + (f'<color rgb="FF{s.colour}"/>' if s.colour else "") + '<name val="Calibri"/></font>'
+    # fixed values: the first two fills are none and gray
+    fill = lambda s: f'<fill><patternFill patternType="solid"><fgColor rgb="FF{s.fill}"/></patternFill></fill>' if s.fill else '<fill><patternFill patternType="none"/></fill>'
+    place = lambda s: "<alignment" + (f' horizontal="{s.across}"' if s.across else "") + (f' vertical="{s.down}"' if s.down else "") + (' wrapText="1"' if s.wrap else "") + "/>"
+    xfs = "".join(f'<xf numFmtId="0" fontId="{i}" fillId="{i + 1}" borderId="{i}" xfId="0" applyFont="1" applyFill="1" applyBorder="1" applyAlignment="1">{place(s)}</xf>' for i, s in enumerate(used, 1))
+    n = len(used) + 1
+    return (
+        f'<styleSheet xmlns="{MAIN[1:-1]}"><fonts count="{n}">{font(Style())}{"".join(map(font, used))}</fonts>'
+        f'<fills count="{n + 1}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{"".join(map(fill, used))}</fills>'
+        f'<borders count="{n}"><border/>{"".join(f"<border>{edge(s)}</border>" for s in used)}</borders><cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs>'
+        f'<cellXfs count="{n}"><xf numFmtId="0" fontId="0" fillId="0" borderId="0" xfId="0"/>{xfs}</cellXfs></styleSheet>'
+    )
+
+
+def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list[str]] | None = None, hidden: tuple[str, ...] = (), frozen_rows: dict[str, int] | None = None, lists: dict[str, tuple[str, list[str]]] | None = None, formulas: bool = True, looks: dict[str, Look] | None = None) -> bytes:
     """A workbook of rows of values: text, numbers, booleans, None, and (unless `formulas` is off) formulas as text that begins with =. The same input gives the same bytes.
 
-    frozen_rows: rows that stay in view, by sheet; lists: a range and the values that its cells may have, by sheet.
+    frozen_rows: rows that stay in view, by sheet; lists: a range and the values that its cells may have, by sheet;
+    looks: styles, widths and heights, by sheet.
     """
+    used = sorted({s for look in (looks or {}).values() for s in look.styles.values()})
+    place_of = {s: i + 1 for i, s in enumerate(used)}
 
-    def cell(r: int, c: int, v: object) -> str:
-        at = f'r="{column_name(c)}{r}"'
+    def cell(r: int, c: int, v: object, look: Look | None) -> str:
+        style = look and look.styles.get((r, c))
+        at = f'r="{column_name(c)}{r}"' + (f' s="{place_of[style]}"' if style else "")
         if v is None:
-            return ""
+            return f"<c {at}/>" if style else ""
         if isinstance(v, bool):
             return f'<c {at} t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
@@ -211,15 +259,24 @@ def write_workbook(sheets: dict[str, list[list[object]]], merges: dict[str, list
         "xl/workbook.xml": f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{k}" r:id="rId{k}"{" state=" + chr(34) + "hidden" + chr(34) if n in hidden else ""}/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>",
         "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{pack}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>",
     }
+    if used:
+        files["xl/styles.xml"] = head + _styles(used)
+        files["[Content_Types].xml"] = files["[Content_Types].xml"].replace("</Types>", '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
+        files["xl/_rels/workbook.xml.rels"] = files["xl/_rels/workbook.xml.rels"].replace("</Relationships>", f'<Relationship Id="rIdS" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
     for k, (name, rows) in enumerate(sheets.items(), 1):
-        body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>" for r, row in enumerate(rows, 1))
+        look = (looks or {}).get(name)
+        wide = max([len(r) for r in rows], default=0) if look is None else max([c for _, c in look.styles], default=0)
+        height = lambda r, look=look: f' ht="{look.heights[r]}" customHeight="1"' if look and r in look.heights else ""
+        body = "".join(f'<row r="{r}"{height(r)}>' + "".join(cell(r, c, v, look) for c, v in enumerate([*row, *[None] * (wide - len(row))], 1)) + "</row>" for r, row in enumerate(rows, 1))
+        columns = "<cols>" + "".join(f'<col min="{c}" max="{c}" width="{w}" customWidth="1"/>' for c, w in sorted(look.widths.items())) + "</cols>" if look and look.widths else ""
         boxes = (merges or {}).get(name, [])
         joined = f'<mergeCells count="{len(boxes)}">' + "".join(f'<mergeCell ref="{b}"/>' for b in boxes) + "</mergeCells>" if boxes else ""
         n = (frozen_rows or {}).get(name, 0)
-        view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{n}" topLeftCell="A{n + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if n else ""
+        lines = "" if look is None or look.grid else ' showGridLines="0"'
+        view = f'<sheetViews><sheetView{lines} workbookViewId="0"><pane ySplit="{n}" topLeftCell="A{n + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if n else ""
         span, values = (lists or {}).get(name, ("", []))
         allowed = f'<dataValidations count="1"><dataValidation type="list" sqref="{span}"><formula1>{escape(chr(34) + ",".join(values) + chr(34))}</formula1></dataValidation></dataValidations>' if span else ""
-        files[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}">{view}<sheetData>{body}</sheetData>{joined}{allowed}</worksheet>'
+        files[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}">{view}{columns}<sheetData>{body}</sheetData>{joined}{allowed}</worksheet>'
     return _zipped(files)
 
 
@@ -315,8 +372,28 @@ def _without_kind(attributes: str) -> str:
 
 
 def write_questionnaire(rows: list[tuple[int, str, str, str]], title: str, source: str = "", sheet: str = "Questionnaire") -> bytes:
-    """The questionnaire's workbook: a merged title and source, headers in the fourth row, which stays in view, and a list of themes to choose from."""
-    from loomfield.model import THEMES
-
+    """The questionnaire's workbook: a merged title and source, headers in the fourth row, which stays in view, a list of themes to choose from, and each theme in its colour."""
+    from loomfield.model import THEME_COLOURS, THEMES
+
+    # The sheet's colours, sizes and widths.
+    title_look, source_look = Style(fill="17365D", colour="FFFFFF", bold=True, size=16, across="left", down="center"), Style(colour="666666", italic=True, size=10, across="left", down="center")
+    head_look, edge = Style(fill="1F4E78", colour="FFFFFF", bold=True, border="D9E2F3", across="center", down="center", wrap=True), "D9E2F3"
+    styles = {(1, c): title_look for c in range(1, 5)} | {(2, c): source_look for c in range(1, 5)} | {(4, c): head_look for c in range(1, 5)}
+    for r, row in enumerate(rows, 5):
+        styles |= {(r, 1): Style(border=edge, across="center", down="top"), (r, 2): Style(fill=THEME_COLOURS.get(row[1], "").lstrip("#"), border=edge, down="top", wrap=True)}
+        styles |= {(r, c): Style(border=edge, down="top", wrap=True) for c in (3, 4)}
+    look = Look(styles, {1: 8, 2: 23, 3: 62, 4: 44}, {1: 30, 2: 20, 4: 28} | {r: 46 for r in range(5, len(rows) + 5)}, grid=False)
     table = [[title], [source or None], [], ["STT", "Giai đoạn", "Câu hỏi", "Mục tiêu / Chủ đề khai thác"], *map(list, rows)]
-    return write_workbook({sheet: table}, {sheet: ["A1:D1", "A2:D2"]}, frozen_rows={sheet: 4}, lists={sheet: (f"B5:B{len(rows) + 4}", list(THEMES))})
+    return write_workbook({sheet: table}, {sheet: ["A1:D1", "A2:D2"]}, frozen_rows={sheet: 4}, lists={sheet: (f"B5:B{len(rows) + 4}", list(THEMES))}, looks={sheet: look})
+
+
+def inspection(cells: DataFrame, address: str, sheet: str, max_rows: int = 32, max_cols: int = 4) -> list[str]:
+    """JSON lines of a range's values, one a row, at most so many rows and columns: for people to look at."""
+    found = used_range(cells, address, sheet)
+    (first, left), _ = (corner(x) for x in (address.split(":") * 2)[:2])
+    some = found.where(f"row_idx < {first + max_rows} AND col_idx < {left + max_cols}")
+    lines: dict[int, list] = {}
+    for c in some.orderBy("row_idx", "col_idx").collect():
+        row = lines.setdefault(c["row_idx"], [None] * max_cols)
+        row[c["col_idx"] - left] = c["formula"] or (c["num"] if c["kind"] == "NUMBER" else c["text"])
+    return [json.dumps({"row": r, "values": v}, ensure_ascii=False) for r, v in lines.items()]

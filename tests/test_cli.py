@@ -25,4 +25,18 @@ def test_questionnaire_workbook(spark, tmp_path):
     (tmp_path / "q.xlsx").write_bytes(xlsx.write_questionnaire([(1, "0. Warm-up", "q1", "a\nb"), (2, "4. Usage", "q2", "c")], "Title"))
     cells = xlsx.read_cells(spark, str(tmp_path / "q.xlsx"))
     assert [r["text"] for r in cells.where("row_idx = 4").orderBy("col_idx").collect()] == ["STT", "Giai đoạn", "Câu hỏi", "Mục tiêu / Chủ đề khai thác"]
-    assert xlsx.used_range(cells, "A5:D32", "Questionnaire").count() == 8
+    assert xlsx.used_range(cells, "A5:D32", "Questionnaire").where("kind <> 'BLANK'").count() == 8
+    assert [json.loads(x)["values"] for x in xlsx.inspection(cells, "A5:D32", "Questionnaire")] == [[1.0, "0. Warm-up", "q1", "a\nb"], [2.0, "4. Usage", "q2", "c"]]
+
+
+def test_questionnaire_looks():
+    from xml.etree import ElementTree
+
+    book = xlsx.Workbook(xlsx.write_questionnaire([(1, "0. Warm-up", "q1", "a"), (2, "4. Usage", "q2", "c")], "Title", "Source"))
+    styles, sheet = ElementTree.fromstring(book.zip.read("xl/styles.xml")), ElementTree.fromstring(book.zip.read("xl/worksheets/sheet1.xml"))
+    of = {c.get("r"): int(c.get("s")) for c in sheet.iter(f"{xlsx.MAIN}c")}
+    xfs, fills = styles.find(f"{xlsx.MAIN}cellXfs"), styles.find(f"{xlsx.MAIN}fills")
+    colour = lambda at: fills[int(xfs[of[at]].get("fillId"))].find(f".//{xlsx.MAIN}fgColor").get("rgb")
+    assert (colour("A1"), colour("D4"), colour("B5"), colour("B6")) == ("FF17365D", "FF1F4E78", "FFE5E7EB", "FFFFD2B8")
+    assert [c.get("width") for c in sheet.iter(f"{xlsx.MAIN}col")] == ["8", "23", "62", "44"] and [r.get("ht") for r in sheet.iter(f"{xlsx.MAIN}row")] == ["30", "20", None, "28", "46", "46"]
+    assert sheet.find(f".//{xlsx.MAIN}sheetView").get("showGridLines") == "0" and len(xfs) == len({*of.values()}) + 1

@@ -30,9 +30,10 @@ MAPPED = """| # | Theme | Question | Response |
 | 7 | Invalid Theme | Test | Test |
 | 8 | Only 1 Col |
 """
-PEOPLE = ("Alice", "Bob", "Charlie", "Diana", "Eve", "Frank")
-SEEN = {"Alice": ("Navigation is confusing", "Fast loading time"), "Bob": ("Navigation is confusing", "Likes the color scheme"), "Charlie": ("Navigation is confusing", "Needs offline mode"), "Diana": ("Fast loading time", "Needs offline mode"), "Eve": ("Navigation is confusing", "Likes the color scheme"), "Frank": ("Navigation is confusing", "Fast loading time")}
-MATRIX = {"Navigation is confusing": "NRR-RR", "Fast loading time": "N--R-R", "Likes the color scheme": "-N--R-", "Needs offline mode": "--NR--"}
+# An invented study: who said what, and the grid that follows.
+PEOPLE = ("Mia", "Noor", "Otto", "Pia", "Quinn")
+SEEN = {"Mia": ("Pays by card", "Compares fees first", "Keeps receipts"), "Noor": ("Compares fees first", "Asks a friend"), "Otto": ("Pays by card",), "Pia": ("Sends at night", "Keeps receipts"), "Quinn": ("Asks a friend", "Pays by card")}
+MATRIX = {"Pays by card": "N-R-R", "Compares fees first": "NR---", "Keeps receipts": "N--R-", "Asks a friend": "-N--R", "Sends at night": "---N-"}
 
 
 def insights() -> str:
@@ -100,19 +101,19 @@ def test_saturation(spark, tmp_path):
     p.write_text(insights(), encoding="utf-8")
     lines = M.lines(spark, str(p))
     obs = M.insight_observations(lines)
-    assert obs.count() == 12
+    assert obs.count() == 10
     n = S.curve(obs).orderBy("participant_ord").collect()
     assert [r["participant"] for r in n] == list(PEOPLE)
-    assert [r["new_insights"] for r in n] == [2, 1, 1, 0, 0, 0]
-    assert [r["total_insights"] for r in n] == [2, 3, 4, 4, 4, 4]
+    assert [r["new_insights"] for r in n] == [3, 1, 0, 1, 0]
+    assert [r["total_insights"] for r in n] == [3, 4, 4, 5, 5]
     wide = {r["insight"]: [r[x] for x in PEOPLE] for r in S.matrix_wide(S.matrix(obs), list(PEOPLE)).collect()}
     assert wide == {k: [{"N": "NEW", "R": "REPEAT", "-": "ABSENT"}[c] for c in v] for k, v in MATRIX.items()}
     assert S.summary_mismatch(M.summary_bullets(lines), obs).count() == 0
     s = S.summary(obs).first()
-    assert (s["insights"], s["participants"], s["last_new_ord"]) == (4, 6, 3)
+    assert (s["insights"], s["participants"], s["last_new_ord"]) == (5, 5, 4)
     # saying it twice or in another order changes no total
-    assert S.new_per_participant(obs.union(obs)).agg(F.sum("new_insights")).first()[0] == 4
-    assert S.new_per_participant(obs.withColumn("participant_ord", -F.col("participant_ord"))).agg(F.sum("new_insights")).first()[0] == 4
+    assert S.new_per_participant(obs.union(obs)).agg(F.sum("new_insights")).first()[0] == 5
+    assert S.new_per_participant(obs.withColumn("participant_ord", -F.col("participant_ord"))).agg(F.sum("new_insights")).first()[0] == 5
 
 
 def test_matrix_in_blocks(spark, monkeypatch):
@@ -212,6 +213,35 @@ def test_gates_retry_and_skip():
     assert W.approval_token(["a"], "x") != W.approval_token(["a"], "y")
 
 
+def test_named_gates_and_a_manifest(tmp_path):
+    with pytest.raises(ValueError, match="no gate"):
+        W.approved("lunch")
+    ran = []
+
+    def write(name, text):
+        def step(state):
+            ran.append(name)
+            (tmp_path / name).write_text(text + "".join((tmp_path / x).read_text() for x in state.get("from", [])))
+            return {name: str(tmp_path / name)}
+
+        return step
+
+    (tmp_path / "in").write_text("input")
+    flow = lambda: W.Workflow([W.Step("one", write("a", "x"), W.approved("insights"), reads=("in",), writes=("a",)), W.Step("two", write("b", "y"), W.approved("report"), needs=("a",), reads=("a",), writes=("b",))], manifest=str(tmp_path / "m.json"))
+    state = {"in": str(tmp_path / "in")}
+    out = flow().run(state)
+    assert (out["status"], out["at"], out["gate"]) == ("paused", "one", "insights") and ran == ["a"]
+    digest = W.files_digest(str(tmp_path / "a"))
+    yes = state | {"approvals": {"insights": f"OK@{digest}", "report": " gửi "}, "digests": {"insights": digest}}
+    assert flow().run(yes)["status"] == "success" and ran == ["a", "b"]  # the first step's file is there
+    assert flow().run(yes)["status"] == "success" and ran == ["a", "b"]
+    assert flow().run(yes | {"digests": {"insights": "another"}})["status"] == "paused"
+    (tmp_path / "in").write_text("changed")
+    assert flow().run(yes)["status"] == "success" and ran == ["a", "b", "a"]  # its output is as it was, so the second needn't run
+    (tmp_path / "b").write_text("touched")
+    assert flow().run(yes)["status"] == "success" and ran == ["a", "b", "a", "b"]
+
+
 def test_task_input():
     assert files.task('{"insights_path": "a", "transcript_path": "b", "output_dir": "/x/Demo"}')["project_name"] == "Demo"
     with pytest.raises(EngineError, match="INVALID_INPUT"):
@@ -227,6 +257,15 @@ def test_media_and_transcripts(spark, tmp_path):
 
 
 def test_html_report(spark, tmp_path):
+    (tmp_path / "in").write_text("x")
+    inputs = {"insights": str(tmp_path / "in")}
+    many = {"More": spark.range(1), "Journey Map": spark.range(1), "Overview": spark.range(2)}
+    m = W.html_report(many, str(tmp_path / "many.html"), "P", inputs)
+    text = (tmp_path / "many.html").read_text(encoding="utf-8")
+    assert text.index("Overview") < text.index("Journey Map") < text.index("More") and text.count("<section") == 3 and list(m["tabs"]) == ["Overview", "Journey Map", "More"]
+    assert W.is_fresh(m, str(tmp_path / "many.html"), inputs)
+    (tmp_path / "in").write_text("y")
+    assert not W.is_fresh(m, str(tmp_path / "many.html"), inputs) and not W.is_fresh(m, str(tmp_path / "none.html"), inputs)
     a = W.html_report({"Overview": spark.range(2)}, str(tmp_path / "r.html"), "P <1>")
     assert a == W.html_report({"Overview": spark.range(2)}, str(tmp_path / "r.html"), "P <1>")
     assert "P &lt;1&gt;" in (tmp_path / "r.html").read_text(encoding="utf-8")
