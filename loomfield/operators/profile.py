@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
 from loomfield.operators.clean import sheet_key
 
 IQR_FENCE = 1.5
 IQR_LEAST = 4
+#: Of the sketch that brackets quantiles.
+ACCURACY = 100_000
+MANY_GROUPS = 20_000
 
 
 def missing(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,12 +41,50 @@ def duplicate_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return n.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows")).withColumn("surplus", F.col("rows") - F.col("distinct_rows"))
 
 
-def outliers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles, fences and flagged values per group; too few values give `insufficient_data`. Flags only.
+def quantiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """Per group: n, min, max and q, the exact quantiles (interpolated between ranks), null for none.
 
-    Exact quartiles come of `percentile`, which keeps counts of distinct values per group.
+    A sketch brackets each quantile; what is below a bracket is counted, and only what is inside, about
+    4 / ACCURACY of the rows, is ordered. So no task holds a group, and the work is two more scans. The
+    brackets, a row a group, are fixed by an action; with more than MANY_GROUPS groups, Spark's own
+    `percentile` is used, which keeps the distinct values of each group in one task.
     """
-    q = rows.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(value).alias("min"), F.max(value).alias("max"))
+    v = F.col(value).cast("double")
+    ends = [min(1.0, max(0.0, p + e)) for p in at for e in (-2 / ACCURACY, 2 / ACCURACY)]
+    base = [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
+    sketch = rows.groupBy(*by).agg(*base, F.percentile_approx(v, F.array(*map(F.lit, ends)), ACCURACY).alias("ends"))
+    found = sketch.limit(MANY_GROUPS + 1).collect()
+    if len(found) > MANY_GROUPS:
+        return rows.groupBy(*by).agg(*base, F.percentile(v, F.array(*map(F.lit, at))).alias("q"))
+    groups = rows.sparkSession.createDataFrame(found, sketch.schema)
+    key = F.struct(F.lit(0).alias("all"), *by).alias("by")
+    # a row a group, MANY_GROUPS at most
+    brackets = groups.select(F.struct(key, "n", "min", "max", "ends").alias("g"))
+    inside = rows.select(key, v.alias("v")).where("v IS NOT NULL").join(F.broadcast(brackets), F.col("by").eqNullSafe(F.col("g.by")))
+    parts = [F.struct(F.sum((F.col("v") < lo).cast("bigint")).alias("below"), F.max(F.when(F.col("v") < lo, F.col("v"))).alias("prev"), F.min(F.when(F.col("v") > hi, F.col("v"))).alias("next")).alias(f"s{i}") for i in range(len(at)) for lo, hi in [(F.col("g.ends")[2 * i], F.col("g.ends")[2 * i + 1])]]
+    around = inside.groupBy("g").agg(*parts).select("g", F.posexplode(F.array(*(f"s{i}" for i in range(len(at))))).alias("i", "s"))
+    hit = F.array(*(F.when(F.col("v").between(F.col("g.ends")[2 * i], F.col("g.ends")[2 * i + 1]), i) for i in range(len(at))))
+    values = inside.select("g", "v", F.explode(F.array_compact(hit)).alias("i")).groupBy("g", "i", "v").agg(F.count("*").alias("m"))
+    upto = values.withColumn("upto", F.sum("m").over(Window.partitionBy("g", "i").orderBy("v")))
+    ranked = upto.join(around, ["g", "i"])
+    where = F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1) * (F.col("g.n") - 1)
+    rank = lambda f: f(where).cast("bigint") - F.col("s.below")
+    one = lambda f, name: F.min(F.when(F.col("upto") > rank(f), F.col("v"))).alias(name)
+    chosen = ranked.groupBy("g", "i", "s").agg(one(F.floor, "lo"), one(F.ceil, "hi"), F.max("upto").alias("inside"))
+    # a rank beside the bracket is its neighbour's
+    value_at = lambda f, c: F.when(rank(f) < 0, F.col("s.prev")).when(rank(f) >= F.col("inside"), F.col("s.next")).otherwise(F.col(c))
+    near = (rank(F.floor) >= -1) & (rank(F.ceil) <= F.col("inside"))
+    share = where - F.floor(where)
+    q = F.when(~near, F.raise_error(F.lit("a quantile is outside its bracket"))).otherwise((1 - share) * value_at(F.floor, "lo") + share * value_at(F.ceil, "hi"))
+    done = chosen.select("g", F.struct("i", q.alias("q")).alias("x")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["q"]).alias("q"))
+    # groups without values have none
+    left = brackets.join(done, "g", "left")
+    return left.select(*(F.col(f"g.by.{c}").alias(c) for c in by), *(F.col(f"g.{c}").alias(c) for c in ("n", "min", "max")), "q")
+
+
+def outliers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Quartiles, fences and flagged values per group; too few values give `insufficient_data`. Flags only."""
+    q = quantiles(rows, by, value, (0.25, 0.5, 0.75))
     q = q.select(*by, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     q = q.withColumns({"lower": F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))})
     out = F.count(F.when((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")), 1))
@@ -53,7 +95,9 @@ def outliers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
     c = F.col(value)
-    return rows.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("stddev"), F.round(F.percentile(c, F.lit(0.5)), 4).alias("median"))
+    moments = rows.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("stddev"))
+    # one row meets one row
+    return moments.join(quantiles(rows, [], value, (0.5,)).select(F.round(F.col("q")[0], 4).alias("median")))
 
 
 def numeric_candidates(kind_counts: DataFrame, least: int = IQR_LEAST) -> DataFrame:
