@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
+from loomfield.model import ALIASES
+
+
+# Fixed value: the sheet that holds a workbook's questions.
+SHEET = "2. Questionnaire"
+
+
+def of_cells(cells: DataFrame, sheet: str = SHEET) -> DataFrame:
+    """workbook, row_idx, and the known columns (question_no, theme, question, targets, response, topic) of a sheet's rows below its header: the first row with two known names or more. Rows without a question are left out."""
+    names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
+    value = F.coalesce("formula", "text")
+    own = cells.where((F.col("sheet") == sheet) & (F.col("kind") != "BLANK")).select("workbook", "row_idx", "col_idx", F.trim(value).alias("value"))
+    named = own.withColumn("name", names[F.col("value")]).where("name IS NOT NULL")
+    heads = named.groupBy("workbook", "row_idx").agg(F.count_distinct("name").alias("n")).where("n >= 2").groupBy("workbook").agg(F.min("row_idx").alias("header_row"))
+    columns = named.join(heads, "workbook").where("row_idx = header_row").select("workbook", "header_row", "col_idx", "name")
+    found = own.join(columns, ["workbook", "col_idx"]).where("row_idx > header_row")
+    each = sorted({*ALIASES.values()})
+    rows = found.groupBy("workbook", "row_idx").agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in each))
+    return rows.where("question IS NOT NULL").select("workbook", "row_idx", *each)
 
 
 def targets(questions: DataFrame, column: str = "targets") -> DataFrame:

@@ -576,6 +576,18 @@ def sub_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used_range(customer_cells(spark, sf_dir), "B2:D2").select("sheet", "row_idx", "col_idx", "text")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS workbook, CAST(k + 1 + c_custkey % 3 AS INTEGER) AS row_idx, CAST(k AS VARCHAR) AS question_no, c_mktsegment AS theme, c_name || ' ' || k AS question FROM customer CROSS JOIN range(1, 3) t(k) WHERE c_custkey % 5 <> 0")
+def questionnaire_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook a customer, its questions below up to two rows of titles, its columns in one of two orders; a fifth has them on another sheet."""
+    c, key = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    cell = lambda row, col, text: F.struct((row + key % 3).cast("int").alias("row_idx"), F.when(key % 2 == 0, 4 - col).otherwise(col).cast("int").alias("col_idx"), text.alias("text"))
+    head = [cell(F.lit(1), i, F.lit(x)) for i, x in enumerate(("STT", "Theme", "Câu hỏi"), 1)]
+    body = [x for k in (1, 2) for x in (cell(F.lit(1 + k), 1, F.lit(str(k))), cell(F.lit(1 + k), 2, F.col("c_mktsegment")), cell(F.lit(1 + k), 3, F.concat("c_name", F.lit(f" {k}"))))]
+    title = F.struct(F.lit(0).alias("row_idx"), F.lit(1).alias("col_idx"), F.lit("Question").alias("text"))
+    rows = c.select(key.cast("string").alias("workbook"), F.when(key % 5 == 0, "Notes").otherwise(Q.SHEET).alias("sheet"), F.explode(F.array(title, *head, *body)).alias("c")).select("workbook", "sheet", "c.*")
+    return Q.of_cells(rows.select("*", F.lit("TEXT").alias("kind"), F.lit(None).cast("string").alias("formula"))).select("workbook", "row_idx", "question_no", "theme", "question")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS sheet, CAST(k AS INTEGER) AS place, CAST((k - 1) // 2 + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS row_idx, CAST((k - 1) % 2 + 1 AS INTEGER) AS col_idx FROM customer CROSS JOIN range(1, 5) t(k)")
 def stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells numbered in the order of a report: sheet, row, column, then text."""

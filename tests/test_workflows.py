@@ -162,6 +162,21 @@ def test_sources(spark, tmp_path):
     assert read(spark, str(tmp_path / "parts")).where("part = 'x'").count() == 1
 
 
+def test_chart(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from loomfield.plans.chart import saturation_chart
+
+    obs = spark.createDataFrame([(i, f"<{p}>", x) for i, p in enumerate(PEOPLE, 1) for x in SEEN[p]], "participant_ord int, participant string, insight string")
+    root = ElementTree.parse(saturation_chart(S.curve(obs), str(tmp_path / "c.svg"))).getroot()
+    svg = "{http://www.w3.org/2000/svg}"
+    heights = [float(r.get("height")) for r in root.iter(f"{svg}rect")]
+    ends = [float(p.split(",")[1]) for p in root.find(f"{svg}polyline").get("points").split()]
+    assert [round(5 * h / 280) for h in heights] == [3, 1, 0, 1, 0] and [round(5 * (320 - y) / 280) for y in ends] == [3, 4, 4, 5, 5]
+    empty = ElementTree.parse(saturation_chart(S.curve(obs.limit(0)), str(tmp_path / "e.svg"))).getroot()
+    assert not list(empty.iter(f"{svg}rect"))
+
+
 def test_curve_keeps_a_null_participant(spark):
     rows = [(1, "1", "a"), (2, "2", "b"), (70_000, "70000", "c"), (None, None, "a"), (None, None, "d")]
     got = S.curve(spark.createDataFrame(rows, "participant_ord bigint, participant string, insight string")).collect()
