@@ -39,7 +39,8 @@ KINDS = (
 )
 RANDOM = "random"
 MIN_RUN = 14
-RUN = rf"[A-Za-z0-9+/=_-]{{{MIN_RUN},}}"
+#: A whole run: only its first character has none of its kind before it, so no other is tried.
+RUN = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{MIN_RUN},}}+"
 SEPARATORS = "/=_-"
 EDGE = 4
 BASE = rf"(?:{KINDS[0][1]})|AKIA[A-Z0-9]{{16,}}|{KINDS[2][1]}"
@@ -168,6 +169,9 @@ def _spans(text: Column, pattern: str, rank: int, least: int, group: int) -> Col
     return F.when(text.rlike(pattern), let(lengths, of)).otherwise(F.array().cast(NONE))
 
 
+PARTS_KIND = "array<struct<start:int,end:int,total:double>>"
+
+
 def _high_parts(ratios: Column) -> Column:
     """start, end, total of the parts in which the sum of the ratios less MIN_MEAN rises by MIN_GAIN, in characters of the run."""
     closed = lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end"), (acc["max"] + (acc["end"] - acc["start"] - 1) * MIN_MEAN).alias("total"))
@@ -187,7 +191,7 @@ def _high_parts(ratios: Column) -> Column:
 
         return let(acc["sum"] + r - MIN_MEAN, moved)
 
-    none = F.array().cast("array<struct<start:int,end:int,total:double>>")
+    none = F.array().cast(PARTS_KIND)
     begun = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), none)
     return F.aggregate(ratios, begun, step, lambda acc: F.when(acc["max"] >= MIN_GAIN, kept(acc)).otherwise(acc["out"]))
 
@@ -212,12 +216,15 @@ def _random_parts(run: Column, model: Column) -> Column:
     def parts(ratios: Column) -> Column:
         marked = F.translate(run, SEPARATORS, "/" * len(SEPARATORS))
         each = let(marked, lambda m: F.transform(_high_parts(ratios), lambda x: grown(x, m, F.reverse(m))))
-        met = F.aggregate(each, F.array().cast("array<struct<start:int,end:int,total:double>>"), joined)
+        met = F.aggregate(each, F.array().cast(PARTS_KIND), joined)
         return F.filter(met, lambda x: (x["total"] >= MIN_TOTAL) & (x["end"] - x["start"] >= MIN_RUN))
 
     def of(ratios: Column) -> Column:
-        whole = lambda x: F.when((x >= MIN_TOTAL) & (x >= MIN_MEAN * n), F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), x.alias("total")))).otherwise(parts(ratios))
-        return let(F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x), whole)
+        begun = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
+        sums = F.aggregate(ratios, begun, lambda a, x: F.struct((a["total"] + x).alias("total"), (a["most"] + F.greatest(x, F.lit(0.0))).alias("most")))
+        whole = lambda x: F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), x.alias("total")))
+        # no part has more than the sum of what is above zero
+        return let(sums, lambda x: F.when(x["most"] < MIN_TOTAL, F.array().cast(PARTS_KIND)).when((x["total"] >= MIN_TOTAL) & (x["total"] >= MIN_MEAN * n), whole(x["total"])).otherwise(parts(ratios)))
 
     return let(F.transform(pairs(codes(run)), lambda i: F.get(model, i)), of)
 
@@ -231,13 +238,22 @@ def _gaps(text: Column) -> Column:
         at = F.zip_with(zipped, ends, lambda x, end: F.struct((end - F.coalesce(x["n"], F.lit(0)) - F.length(x["gap"])).alias("at"), x["gap"].alias("gap")))
         return F.filter(at, lambda x: x["gap"].rlike(RUN))
 
-    return F.when(text.rlike(RUN), let(pieces, of)).otherwise(F.array().cast("array<struct<at:int,gap:string>>"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), text.alias("gap")))
+    return F.when(~text.rlike(RUN), F.array().cast("array<struct<at:int,gap:string>>")).when(~text.rlike(BASE), whole).otherwise(let(pieces, of))
 
 
 def _runs(gaps: Column) -> Column:
     """at, run: the runs of the gaps."""
-    each = lambda g: F.zip_with(_spans(g["gap"], RUN, 0, 0, 0), F.regexp_extract_all(g["gap"], F.lit(RUN), F.lit(0)), lambda s, r: F.struct((g["at"] + s["start"]).alias("at"), r.alias("run")))
-    return F.flatten(F.transform(gaps, each))
+
+    def of(gap: Column, at: Column) -> Column:
+        def placed(found: Column) -> Column:
+            before = F.slice(F.transform(F.split(gap, RUN, -1), F.length), F.lit(1), F.size(found))
+            ends = running(F.zip_with(before, found, lambda n, r: n + F.length(r)), lambda a, b: a + b, F.lit(0))
+            return F.zip_with(found, ends, lambda r, end: F.struct((at + end - F.length(r)).alias("at"), r.alias("run")))
+
+        return let(F.regexp_extract_all(gap, F.lit(RUN), F.lit(0)), placed)
+
+    return F.flatten(F.transform(gaps, lambda g: of(g["gap"], g["at"])))
 
 
 def _random_spans(runs: Column, model: Column) -> Column:
