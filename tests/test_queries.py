@@ -9,6 +9,7 @@ import os
 import duckdb
 import pytest
 
+from loomfield import artifacts  # noqa: F401  registers the queries over files
 from loomfield import queries as core
 
 DATA = "/root/testdata/sf0.001"
