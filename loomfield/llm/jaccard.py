@@ -22,8 +22,8 @@
    partial overlap of each fragment is counted separately, and summed per pair.
 
 Components come from rounds of hooking to the least neighbour and relabelling, all distributed.
-Joins whose keys can be hot (a shingle, a component, a set) are salted: by the shingle's own
-frequency, or `SALTS` ways.
+Joins whose keys can be hot are salted: a shingle's entries by its own frequency, and the rows of
+the 1000 most frequent nodes, components and sets `SALTS` ways, so that no other key has a thousandth of the rows.
 
 Documents without words, and null texts, have no shingles and no links. Very long texts are one
 row's work; blocks with long sets hold fewer. Repeated rows are
@@ -61,9 +61,11 @@ BLOCK_LENGTHS = 1 << 19
 HASH_BITS = 56
 #: Work is cut into so many fragments that one has about this many shingles, if shuffle partitions are fewer.
 FRAGMENT_SHINGLES = 1 << 22
-#: Classes, about, that tell which shingles are very common, and in how many of them one is.
+#: Classes, about, that tell which shingles are very common; in how many of them one is, and how many of the
+#: most common go their own way. All others are counted in their fragment, with the same result.
 HOT_SAMPLE = 8192
 HOT_COUNT = 32
+HOT_MOST = 100_000
 #: Ways to part the rows of one key, and the entries of a shingle that go together.
 SALTS = 8
 TOGETHER = 4096
@@ -115,7 +117,7 @@ def class_table(df: DataFrame, text: str, key: str, rate: int = 1, bits: int = 6
 
 
 def common_shingles(sampled: DataFrame, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of very common shingles, ascending, and their frequency classes. At most the sample's shingles over HOT_COUNT."""
+    """Hashes of very common shingles, ascending, and their frequency classes; HOT_MOST at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +126,7 @@ def common_shingles(sampled: DataFrame, rate: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n, pa.int64())], names=["gram", "n"])
 
     once = sampled.dropDuplicates(["check"]).select("sample")
-    found = once.mapInArrow(released(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).collect()
+    found = once.mapInArrow(released(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "gram").limit(HOT_MOST).collect()
     grams = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], frequency_class(np.array([r["n"] for r in found], np.int64)[order] * rate)
@@ -137,8 +139,8 @@ def frequency_class(n: np.ndarray) -> np.ndarray:
 
 def twins(classes: DataFrame) -> dict[tuple[int, int], int]:
     """New keys for sets that share a key with another: by (rid, check). With 64 bits there is about one in every 2 ** 65 pairs of sets."""
-    several = classes.groupBy("rid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("rid")
-    found = classes.join(several, "rid").select("rid", "check").distinct().collect()
+    several = [r["rid"] for r in classes.groupBy("rid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("rid").collect()]
+    found = classes.where(F.col("rid").isin(several)).select("rid", "check").distinct().collect() if several else []
     least: dict[int, int] = {}
     for r in found:
         least[r["rid"]] = min(r["check"], least.get(r["rid"], r["check"]))
@@ -146,6 +148,12 @@ def twins(classes: DataFrame) -> dict[tuple[int, int], int]:
     return {(r["rid"], r["check"]): new(r) for r in found if r["check"] != least[r["rid"]]}
 
 
+def frequent(rows: DataFrame, key: str) -> list:
+    """The keys with the most rows, of those with over TOGETHER / 4: 1000 at most, so any key with a thousandth of the rows is among them."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER // 4)
+    return [r[key] for r in n.orderBy(F.desc("n"), key).limit(1000).collect()]
+
+
 def pieces_of(gram: Column) -> Column:
     """Into how many pieces the entries of a shingle are parted: its frequency, to a third of a doubling, over TOGETHER."""
     doublings = F.floor(F.shiftright(gram, HASH_BITS) / 3).cast("int")
@@ -158,10 +166,12 @@ def by_gram(left: DataFrame, right: DataFrame, spread: str, how: str = "inner")
     return parted.join(right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces_of(F.col("gram")) - 1))), ["gram", "piece"], how).drop("piece")
 
 
-def salted(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Joined on `on`, of which the left side may have many rows for one key, parted by `spread`, and the right side one."""
-    parted = left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return parted.join(right.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), [*on, "salt"], how).drop("salt")
+def salted(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Joined on `on`, of which the left side may have many rows for one key, parted by `spread`, and the right side one. With `hot`, a list of keys, only theirs are parted."""
+    is_hot = F.lit(True) if hot is None else F.col(on[0]).isin(hot)
+    parted = left.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = F.when(is_hot, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array(F.lit(0)))
+    return parted.join(right.withColumn("salt", F.explode(every)), [*on, "salt"], how).drop("salt")
 
 
 PACKED = "part int, rids binary, ns binary, lens binary, grams binary, extra binary"
@@ -218,10 +228,10 @@ def fragment_rows(df: DataFrame, text: str, fragments: int, common: tuple[np.nda
     Common shingles are packed by a bucket of their class instead: grams are places in the global order, extra is empty.
     """
     hot, hot_class = common
-    hot_low = np.zeros(1 << 20, bool)
-    hot_low[(hot & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_low = np.zeros(1 << 20, bool)
+        hot_low[(hot & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         sets: list[np.ndarray] = []
         ids: list[int] = []
@@ -510,15 +520,17 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     while not edges.isEmpty():
         k += 1
         both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
-        hook = work.save(both.groupBy("e.x").agg(F.least(F.min("e.y"), F.first("e.x")).alias("to")), f"{name}-hook-{k}")
+        hook = work.save(both.groupBy("e.x").agg(F.least(F.min("e.y"), F.first("e.x")).alias("to"), F.count("*").alias("n")), f"{name}-hook-{k}")
+        # any node that many rows of a table below name has many edges
+        hubs = [r["x"] for r in hook.where(F.col("n") > TOGETHER // 4).orderBy(F.desc("n"), "x").limit(1000).select("x").collect()]
         # follow two hooks at once
-        far = salted(hook.select("x", F.col("to").alias("via")), hook.select(F.col("x").alias("via"), "to"), ["via"], "x").select("x", "to")
+        far = salted(hook.select("x", F.col("to").alias("via")), hook.select(F.col("x").alias("via"), "to"), ["via"], "x", hot=hubs).select("x", "to")
         far = work.save(far, f"{name}-far-{k}")
         # at first every node is its own label
-        next_labels = far.select(F.col("x").alias("node"), F.col("to").alias("comp")) if k == 1 else salted(labels, far.withColumnRenamed("x", "comp"), ["comp"], "node", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        next_labels = far.select(F.col("x").alias("node"), F.col("to").alias("comp")) if k == 1 else salted(labels, far.withColumnRenamed("x", "comp"), ["comp"], "node", "left", frequent(labels, "comp")).select("node", F.coalesce("to", "comp").alias("comp"))
         labels = work.save(next_labels, f"{name}-labels-{k}")
-        begun = salted(edges, far.select("x", F.col("to").alias("tx")), ["x"], "y")
-        moved = salted(begun, far.select(F.col("x").alias("y"), F.col("to").alias("ty")), ["y"], "x").select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).where("x <> y").distinct()
+        begun = salted(edges, far.select("x", F.col("to").alias("tx")), ["x"], "y", hot=hubs)
+        moved = salted(begun, far.select(F.col("x").alias("y"), F.col("to").alias("ty")), ["y"], "x", hot=hubs).select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).where("x <> y").distinct()
         edges = work.save(moved, f"{name}-edges-{k}")
         work.drop(f"{name}-edges-{k - 1}", f"{name}-labels-{k - 1}", f"{name}-hook-{k}", f"{name}-far-{k}")
     return labels
@@ -564,13 +576,13 @@ def similar_components(df: DataFrame, text: str = "text", key: str = "doc_id", p
     work.drop("segments", "entries", "open", "open-documents", "inside", "packed", "block-pairs", "blocks")
     comps = components(work, found.unionByName(more), "all")
 
-    least = work.save(classes.where("rid IS NOT NULL").groupBy("rid").agg(F.min(key).alias("least")), "least")
-    linked = comps.select(F.col("node").alias("rid"), "comp").join(least, "rid")
+    least = work.save(classes.where("rid IS NOT NULL").groupBy("rid").agg(F.min(key).alias("least"), F.count("*").alias("n")), "least")
+    often = [r["rid"] for r in least.where(F.col("n") > TOGETHER // 4).orderBy(F.desc("n"), "rid").limit(1000).select("rid").collect()]
+    linked = comps.select(F.col("node").alias("rid"), "comp").join(least.drop("n"), "rid")
     roots = linked.groupBy("comp").agg(F.min("least").alias("root"))
-    found_roots = salted(linked, roots, ["comp"], "rid").select("rid", "root")
-    named = work.save(least.join(found_roots, "rid", "left").select("rid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root")).alias("least")), "named")
-    # a set may have very many copies; its rows are parted by their keys
-    told = salted(classes.where("rid IS NOT NULL"), named, ["rid"], key).select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    found_roots = salted(linked, roots, ["comp"], "rid", hot=frequent(comps, "comp")).select("rid", "root")
+    named = work.save(least.drop("n").join(found_roots, "rid", "left").select("rid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root")).alias("least")), "named")
+    told = salted(classes.where("rid IS NOT NULL"), named, ["rid"], key, hot=often).select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return told.unionByName(classes.where("rid IS NULL").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
 
 
