@@ -51,7 +51,7 @@ from loomfield.llm.common import ASCII_LOWER, Workspace, released, unused
 
 WORDS = 5
 PERCENT = 75
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 CUTS = 4
 PIVOT_ROUNDS = 2
 BLOCK_DOCUMENTS = 192
@@ -60,7 +60,7 @@ BLOCK_LENGTHS = 1 << 19
 #: Bits of a shingle's hash below its frequency class in the global order.
 HASH_BITS = 56
 #: Work is cut into so many fragments that one has about this many shingles, if shuffle partitions are fewer.
-FRAGMENT_SHINGLES = 1 << 22
+FRAGMENT_SHINGLES = 1 << 21
 #: Classes, about, that tell which shingles are very common; in how many of them one is, and how many of the
 #: most common go their own way. All others are counted in their fragment, with the same result.
 HOT_SAMPLE = 8192
