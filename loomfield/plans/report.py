@@ -96,4 +96,4 @@ def actions_with_zeros(rules: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def warning_counts(warnings: DataFrame) -> DataFrame:
-    return warnings.groupBy("code", by).agg(F.count("*").alias("n"))
+    return warnings.groupBy("code", *C.sheet_key(warnings)).agg(F.count("*").alias("n"))
