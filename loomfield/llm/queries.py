@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import bpe, jaccard, langid, media, mixing, packing, quality, secrets, sharding, tokencount
+from loomfield.llm import audit, bpe, jaccard, langid, media, mixing, packing, quality, secrets, sharding, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix, op11_filter_audit)}
 
 SQL = {
     "op4_jaccard_join": r"""
@@ -100,5 +104,35 @@ judged AS (
     OR (n_bullets * 10 > n_lines * 9 AND n_lines > 3) OR n_plain * 2 > n_words AS rejected
   FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
+""",
+    "op11_filter_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+known AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0) AS bad FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < d.doc_id THEN 16 ELSE 0 END AS failed
+  FROM docs d JOIN firsts USING (t) LEFT JOIN known k ON k.doc_id = d.doc_id),
+sets AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM letters a JOIN letters b ON b.b <> a.b JOIN letters c ON c.b NOT IN (a.b, b.b) JOIN letters d ON d.b NOT IN (a.b, b.b, c.b) JOIN letters e ON e.b NOT IN (a.b, b.b, c.b, d.b)),
+steps AS (SELECT filter_order, s AS step, bits[s] AS b, CAST(coalesce(list_sum(bits[:s - 1]), 0) AS INTEGER) AS before FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+found AS (
+  SELECT part, filter_order, step, b, sum(CASE WHEN failed & (before | b) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & b <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before <> 0 AND failed & b <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = b THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & b <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & b <> 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM sets, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM found
 """,
 }
