@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import audit, bpe, jaccard, langid, media, mixing, packing, quality, secrets, sharding, tokencount
+from loomfield.llm import audit, bpe, jaccard, langid, manifest, media, mixing, packing, quality, secrets, sharding, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix, op11_filter_audit)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_documents(spark, sf_dir), manifest.tampering())
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix, op11_filter_audit, op13_merkle_manifest)}
 
 SQL = {
     "op4_jaccard_join": r"""
@@ -134,5 +138,39 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
 FROM found
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS now
+  FROM docs),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM hashed)),
+rows AS (SELECT l.*, t FROM leaves l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang),
+up(t, l, i, n, d) AS (
+  SELECT t, 0, i, n, leaf FROM rows
+  UNION ALL SELECT t, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY t, l, n, i // 2),
+top(l, i, n, d) AS (
+  SELECT 0, up.t, langs.n, d FROM up JOIN langs USING (t) WHERE up.n = 1
+  UNION ALL SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l, n, i // 2),
+climb(doc_id, leaf, t, l, i, n, d, p) AS (
+  SELECT doc_id, leaf, t, 0, i, n, coalesce(now, leaf), '' FROM rows
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.t, c.l + 1, c.i // 2, (c.n + 1) // 2, sha256(CASE WHEN c.i % 2 = 0 THEN c.d || coalesce(u.d, '') ELSE u.d || c.d END), p || coalesce(u.d, '')
+  FROM climb c LEFT JOIN up u ON u.t = c.t AND u.l = c.l AND u.i = xor(c.i, 1) WHERE c.n > 1),
+onward(doc_id, leaf, t, l, i, n, d, p) AS (
+  SELECT doc_id, leaf, c.t, 0, c.t, langs.n, d, p FROM climb c JOIN langs ON langs.t = c.t WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.t, c.l + 1, c.i // 2, (c.n + 1) // 2, sha256(CASE WHEN c.i % 2 = 0 THEN c.d || coalesce(u.d, '') ELSE u.d || c.d END), p || coalesce(u.d, '')
+  FROM onward c LEFT JOIN top u ON u.l = c.l AND u.i = xor(c.i, 1) WHERE c.n > 1)
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(p) AS proof_sha256, o.d AS folded_root, o.d = r.d AS verified
+FROM onward o JOIN top s ON s.l = 0 AND s.i = o.t JOIN top r ON r.n = 1 WHERE o.n = 1
 """,
 }

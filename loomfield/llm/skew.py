@@ -1,0 +1,28 @@
+"""Joins in which one key may have a third of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Left rows with the one right row of their key, null keys included. Keys with more than a partition's share of the rows are parted by `spread`.
+
+    `counts` has the left side's keys with their numbers of rows, n. A key is parted into as many pieces as
+    it has shares of 1 / spark.sql.shuffle.partitions of all rows, and its right row goes to each of them. At most that many keys
+    have a share, so the list that the driver gets is bounded.
+    """
+    shares = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * shares > total).select(key, F.expr(f"n * {shares} div {max(total, 1)}").alias("pieces")).collect()
+    pieces = F.when(F.lit(False), F.lit(1).cast("bigint"))
+    for r in hot:
+        pieces = pieces.when(F.col(key).eqNullSafe(F.lit(r[key])), F.lit(r["pieces"] + 1).cast("bigint"))
+    pieces = pieces.otherwise(F.lit(1).cast("bigint"))
+    none, parted = F.col(key).isNull().alias("__none"), F.pmod(F.xxhash64(spread), pieces).alias("__piece")
+    a = left.select("*", none, parted)
+    # equality of the two instead of a null-safe one keeps the plain join on columns
+    b = right.select("*", none, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("__piece"))
+    on = [F.coalesce(a[key].cast("string"), F.lit("")) == F.coalesce(b[key].cast("string"), F.lit("")), a["__none"] == b["__none"], a["__piece"] == b["__piece"]]
+    return a.join(b, on, how).drop(b[key]).drop("__none", "__piece")
