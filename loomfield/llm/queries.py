@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import audit, bpe, jaccard, langid, manifest, media, mixing, packing, quality, secrets, sharding, tokencount
+from loomfield.llm import audit, bpe, decontaminate, jaccard, langid, manifest, media, mixing, packing, quality, secrets, sharding, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_documents(spark, sf_dir), manifest.tampering())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix, op11_filter_audit, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_token_packing, op4_jaccard_join, op5_byte_bpe, op6_quality_rules, op7_language_id, op8_token_counts, op9_hilbert_shards, op10_source_mix, op11_filter_audit, op12_benchmark_decontamination, op13_merkle_manifest)}
 
 SQL = {
     "op4_jaccard_join": r"""
@@ -138,6 +142,22 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
 FROM found
+""",
+    "op12_benchmark_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size),
+found AS (SELECT r, i, p.size, item FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS t FROM places) p JOIN windows USING (size, t)),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + size)) AS j FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r),
+owners AS (SELECT r, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered c USING (r) LEFT JOIN owners o USING (r)
 """,
     "op13_merkle_manifest": r"""
 WITH RECURSIVE docs AS (

@@ -20,9 +20,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, counts
     for r in hot:
         pieces = pieces.when(F.col(key).eqNullSafe(F.lit(r[key])), F.lit(r["pieces"] + 1).cast("bigint"))
     pieces = pieces.otherwise(F.lit(1).cast("bigint"))
-    none, parted = F.col(key).isNull().alias("__none"), F.pmod(F.xxhash64(spread), pieces).alias("__piece")
-    a = left.select("*", none, parted)
-    # equality of the two instead of a null-safe one keeps the plain join on columns
-    b = right.select("*", none, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("__piece"))
-    on = [F.coalesce(a[key].cast("string"), F.lit("")) == F.coalesce(b[key].cast("string"), F.lit("")), a["__none"] == b["__none"], a["__piece"] == b["__piece"]]
-    return a.join(b, on, how).drop(b[key]).drop("__none", "__piece")
+    a = left.withColumn("__piece", F.pmod(F.xxhash64(spread), pieces))
+    b = right.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+    return a.join(b, a[key].eqNullSafe(b[key]) & (a["__piece"] == b["__piece"]), how).drop(b[key]).drop("__piece")

@@ -22,6 +22,7 @@ COLUMNS = {
     "op9": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op11": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
     "op13": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
@@ -53,4 +54,4 @@ def test_contract(spark, con, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(n.partition("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in (*range(1, 12), 13))
+    assert sorted(n.partition("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 14))
