@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
+from loomfield.operators.skew import carried, earlier, in_intervals, summaries
 
 
 def clean_headers(headers: DataFrame) -> DataFrame:
@@ -51,21 +52,36 @@ def clean_table(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.when(T.is_formula(F.col(c)), F.col(c)).otherwise(T.clean_text(F.col(c))) for c in columns})
 
 
+def keyed_rows(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """rows with row_key, a digest of 64 hexadecimal figures, so the shuffle carries no texts twice. Rows blank in all columns have a key each."""
+    blank = F.lit(True)
+    for c in columns:
+        blank = blank & T.is_missing(F.col(c).cast("string"))
+    return rows.withColumn("row_key", F.when(blank, F.concat(F.lit("blank-"), F.coalesce(F.col(order).cast("string"), F.lit("")))).otherwise(T.row_key(*map(F.col, columns))))
+
+
 def duplicates(rows: DataFrame, columns: list[str], order: str = "row_idx", by: tuple[str, ...] = ()) -> DataFrame:
     """rows with row_key, occurrence (1 for the first) and retained (the first one's order value). Rows blank in all columns are exempt and always 1.
 
-    The key is a digest of 64 hexadecimal figures, so the shuffle carries no texts twice.
+    A row that very many others equal is numbered in intervals of `order`: within each, and on from the rows of the intervals before it.
     """
-    blank = F.lit(True)
-    for c in columns:
-        blank = blank & T.is_missing(F.col(c).cast("string"))
-    keyed = rows.withColumn("row_key", F.when(blank, F.concat(F.lit("blank-"), F.col(order).cast("string"))).otherwise(T.row_key(*map(F.col, columns))))
-    w = Window.partitionBy(*by, "row_key").orderBy(order)
-    return keyed.withColumn("occurrence", F.row_number().over(w)).withColumn("retained", F.first(order).over(w))
+    key = [*by, "row_key"]
+    cut, any_hot = in_intervals(keyed_rows(rows, columns, order), key, order)
+    w = Window.partitionBy(*key, "__b").orderBy(order)
+    numbered = cut.withColumn("occurrence", F.row_number().over(w)).withColumn("retained", F.first(order).over(w))
+    if any_hot:
+        whole = summaries(cut, key, F.count("*").alias("__n"), F.min(order).alias("__first"))
+        first = F.min("__first").over(Window.partitionBy(*key)).alias("__retained")
+        carry = whole.select(*key, "__b", F.coalesce(F.sum("__n").over(earlier(key)), F.lit(0)).alias("__before"), first)
+        joined = carried(numbered, key, carry)
+        numbered = joined.withColumn("occurrence", (F.col("occurrence") + F.coalesce("__before", F.lit(0))).cast("int")).withColumn("retained", F.coalesce("__retained", "retained")).drop("__before", "__retained")
+    return numbered.drop("__b")
 
 
 def keep_first(rows: DataFrame, columns: list[str], order: str = "row_idx", by: tuple[str, ...] = ()) -> DataFrame:
-    return duplicates(rows, columns, order, by).where("occurrence = 1").drop("occurrence", "retained", "row_key")
+    """The first of equal rows, by a minimum that each task takes of its own rows before they are shuffled, so no key gathers its rows."""
+    keyed = keyed_rows(rows, columns, order)
+    return keyed.groupBy(*by, "row_key").agg(F.min_by(F.struct(*rows.columns), F.struct(order)).alias("__row")).select("__row.*")
 
 
 def removed(rows: DataFrame, columns: list[str], order: str = "row_idx", by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
 from loomfield.model import ALIASES
+from loomfield.operators.skew import carried, in_intervals, running_last, summaries
 
 
 # Fixed value: the sheet that holds a workbook's questions.
@@ -48,15 +49,20 @@ def answers(questions: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def reply_pairs(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Each user turn with the assistant turn that follows directly."""
-    w = Window.partitionBy(conversation).orderBy(order)
-    rows = turns.withColumns({"next_role": F.lead("role").over(w), "reply": F.lead("text").over(w)})
-    return rows.where("role = 'user'").select(conversation, order, F.col("text").alias("question"), F.when(F.col("next_role") == "assistant", F.col("reply")).alias("reply"))
+    """Each user turn with the assistant turn that follows directly. Hot conversations are cut by order, and an interval's last turn gets the next one's first."""
+    cut, any_hot = in_intervals(turns, [conversation], order)
+    w = Window.partitionBy(conversation, "__b").orderBy(order)
+    rows = cut.withColumn("__next", F.lead(F.struct("role", "text")).over(w))
+    if any_hot:
+        first = summaries(cut, [conversation], F.min_by(F.struct("role", "text"), F.struct(order)).alias("__first"))
+        onward = first.select(conversation, "__b", F.lead("__first").over(Window.partitionBy(conversation).orderBy("__b")).alias("__onward"))
+        rows = carried(rows, [conversation], onward).withColumn("__next", F.coalesce("__next", "__onward"))
+    return rows.where("role = 'user'").select(conversation, order, F.col("text").alias("question"), F.when(F.col("__next.role") == "assistant", F.col("__next.text")).alias("reply"))
 
 
 def fill_forward(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
     """The last value that isn't null, up to and including the row."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_last(rows, by, [order], value, name)
 
 
 SEED_WORDS = 6

@@ -8,24 +8,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfield.operators.skew import carried, earlier, in_intervals, running_last, summaries
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
-    """Each left row with the latest right row strictly before it: one shuffle by key, a union and a running last value."""
+    """Each left row with the latest right row strictly before it: one shuffle by key, a union and a running last value. Hot keys are cut by time."""
     cols = [c for c in left.columns if c not in by and c != time]
     l = left.select(*by, time, F.struct(*cols).alias("__l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__r"), F.lit(0).alias("__side"))
     r = right.select(*by, time, F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), F.struct(*values).alias("__r"), F.lit(1).alias("__side"))
-    w = Window.partitionBy(*by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 0")
+    both = running_last(l.unionByName(r), by, [time, "__side"], F.col("__r"), "__last").where("__side = 0")
     return both.select(*by, time, "__l.*", *(F.col(f"__last.{v}").alias(f"last_{v}") for v in values))
 
 
 def sessions(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
-    """Per session: user, start, end, n; a pause longer than the gap begins a new one."""
-    w = Window.partitionBy(user).orderBy(time)
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    new = F.when(F.lag(at).over(w).isNull() | (at - F.lag(at).over(w) > gap_seconds * 1_000_000), 1).otherwise(0)
-    cut = events.withColumn("__new", new).withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return cut.groupBy(user, "__s").agg(F.min(time).alias("session_start"), F.max(time).alias("session_end"), F.count("*").alias("n")).drop("__s")
+    """Per session: user, start, end, n; a pause longer than the gap begins a new one.
+
+    A hot user's rows are cut into intervals of time. Sessions are made within each; of an
+    interval, its first and last times and the start of its last session tell whether its first session goes on from
+    the one before, and where that one began, so that parts of one session share a start and are added up.
+    """
+    cut, any_hot = in_intervals(events.select(user, time), [user], time)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    w = Window.partitionBy(user, "__b").orderBy(time)
+    new = F.when(F.lag(time).over(w).isNull() | (micros(time) - micros("__p") > gap_seconds * 1_000_000), 1).otherwise(0)
+    cut = cut.withColumn("__p", F.lag(time).over(w)).withColumn("__new", new).withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(user, "__b", "__s").agg(F.min(time).alias("session_start"), F.max(time).alias("session_end"), F.count("*").alias("n"))
+    if any_hot:
+        whole = summaries(parts, [user], F.min("session_start").alias("lo"), F.max("session_end").alias("hi"), F.max("session_start").alias("__last"), F.count("*").alias("__n"))
+        before = F.max("hi").over(earlier([user]))
+        goes_on = F.coalesce(micros("lo") - micros("__hi") <= gap_seconds * 1_000_000, F.lit(False))
+        ends = whole.withColumn("__hi", before).withColumn("__on", goes_on)
+        # the session that is open at an interval's end began in it, unless all of it goes on
+        began = F.when(~F.col("__on") | (F.col("__n") > 1), F.col("__last"))
+        carry = ends.withColumn("__began", began).select(user, "__b", "__on", F.last("__began", ignorenulls=True).over(earlier([user])).alias("__from"))
+        start = F.when(F.col("__on") & (F.col("__s") == 1), F.col("__from")).otherwise(F.col("session_start"))
+        same_start = carried(parts, [user], carry).select(user, start.alias("session_start"), "session_end", "n")
+        parts = same_start.groupBy(user, "session_start").agg(F.max("session_end").alias("session_end"), F.sum("n").alias("n"))
+    return parts.select(user, "session_start", "session_end", "n")
 
 
 def missing_artifacts(expected: DataFrame, actual: DataFrame) -> DataFrame:
