@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Groups up to this size are left whole.
-LEAST = 10_000
+LEAST = 1000
 
 
 def shares(rows: DataFrame) -> int:
