@@ -10,7 +10,7 @@ are compared in the same join, so the result is exact, and windows of one finger
 Test windows are joined as distinct texts, each once however many items have it. Items are then found by classes: windows that
 the same items have are one class, documents with the same set of classes are one case, and each case
 lists its items once. A window that a third of the documents share is parted among tasks by its frequency, and so is a
-frequent case (`skew.spread_join`). Documents' texts are read once and never shuffled; what is written is a row a document with
+frequent case (`operators.skew.spread_join`). Documents' texts are read once and never shuffled; what is written is a row a document with
 its candidate windows. The bit table has `FILTER_BITS` bits at most; where the benchmark is so large that it fills up, more candidates
 go to the join, with the same result. Everything is built-in functions.
 
@@ -29,14 +29,15 @@ from pyspark.sql.window import Window
 
 from loomfield.llm.common import Workspace
 from loomfield.llm.quality import let
-from loomfield.llm.skew import spread_join
+from loomfield.operators.skew import spread_join
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
-#: Bits of the table of test fingerprints: this many for each, and at most so many.
-BITS_EACH = 16
+#: Bits of the table of test fingerprints: this many for each, and at most so many; and how many of them one sets.
+BITS_EACH = 32
 FILTER_BITS = 1 << 20
+PROBES = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,28 +85,36 @@ def test_windows(items: DataFrame, text: str, key: str, window: int, gram: int)
 
 
 class Filter:
-    """Which fingerprints may be in a table: a bit for each, at its hash modulo the number of bits."""
+    """Which fingerprints may be in a table: PROBES bits for each, at places that its hashes give."""
 
     def __init__(self, prints: DataFrame, most: int = FILTER_BITS):
         n = prints.count()
         self.bits = 64
         while self.bits < min(most, n * BITS_EACH):
             self.bits *= 2
-        place = self._place(F.col("print"))
         # at most most / 64 numbers reach the driver
-        words = prints.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
+        places = prints.select(F.explode(F.array(*(self._place(F.col("print"), k) for k in range(PROBES)))).alias("p"))
+        words = places.groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(self._bit(F.col("p"))).alias("v")).collect()
         held = [0] * (self.bits // 64)
         for r in words:
             held[r["k"]] = r["v"]
         self.text = " ".join(map(str, held))
 
-    def _place(self, h: Column) -> Column:
+    def _place(self, h: Column, probe: int) -> Column:
         # the least hashes aren't spread evenly, so they are hashed again
-        return F.xxhash64(h).bitwiseAND(F.lit(self.bits - 1)).cast("int")
+        return F.xxhash64(h, F.lit(probe)).bitwiseAND(F.lit(self.bits - 1)).cast("int")
+
+    def _bit(self, place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)))
 
     def may_have(self, h: Column) -> Column:
         table = F.split(F.lit(self.text), " ").cast("array<bigint>")
-        return let(self._place(h), lambda p: F.get(table, F.shiftright(p, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)))) != 0)
+        hit = lambda k: let(self._place(h, k), lambda p: F.get(table, F.shiftright(p, 6)).bitwiseAND(self._bit(p)) != 0)
+        # nearly all end at the first
+        found = F.lit(True)
+        for k in reversed(range(PROBES)):
+            found = F.when(hit(k), found).otherwise(False)
+        return found
 
 
 def candidates(words: Column, sizes: list[int], held: Filter, gram: int) -> Column:
@@ -137,12 +146,11 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", key: str
     window = F.struct("print", "size", "words")
     at = F.xxhash64("print", "size", "words").alias("at")
     windows = owners.groupBy("size", "print", "words").agg(*items_of).select(at, window.alias("test"), F.md5(F.concat_ws(":", "n", "a", "b").cast("binary")).alias("class"))
-    windows = work.save(windows, "windows")
     members = owners.where("item IS NOT NULL").select(at, window.alias("owned"), "item").join(windows, "at").where("test = owned").select("class", "item").distinct()
 
     # the join on fingerprints and, as the hits' extension, on the words of the windows that chose them
     spots = docs.select("row", F.explode("found").alias("f")).select("row", "f.*").select("row", "i", "size", at, window.alias("window"))
-    met = spread_join(spots, windows, "at", "row", _counts(spots, "at")).where("window = test")
+    met = spread_join(spots, windows, ["at"], ["row"]).where("window = test")
     hits = work.save(met.select("row", "i", (F.col("i") + F.col("size")).alias("end"), "class"), "hits")
     ordered = Window.partitionBy("row").orderBy("i")
     before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -153,16 +161,11 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", key: str
 
     # documents whose windows belong to the same classes are one case, which lists its items once
     cased = hits.groupBy("row").agg(F.array_sort(F.collect_set("class")).alias("classes")).withColumn("case", F.md5(F.concat_ws(",", "classes").cast("binary")))
-    cased = work.save(cased, "cases")
     each = cased.groupBy("case").agg(F.any_value("classes").alias("classes")).select("case", F.explode("classes").alias("class"))
-    listed = spread_join(each, members, "class", "case", _counts(each, "class")).groupBy("case").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = spread_join(each, members, ["class"], ["case"]).groupBy("case").agg(F.array_sort(F.collect_set("item")).alias("items"))
     listed = listed.select("case", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-    of_row = spread_join(cased.select("row", "case"), listed, "case", "row", _counts(cased, "case"), "left").join(per_row, "row")
+    of_row = spread_join(cased.select("row", "case"), listed, ["case"], ["row"], "left").join(per_row, "row")
     none = F.sha2(F.lit("").cast("binary"), 256)
     zero = F.lit(0).cast("bigint")
     out = docs.select("row", "key", "n_words").join(of_row, "row", "left")
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("spans", F.array()).alias("spans"))
-
-
-def _counts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n"))

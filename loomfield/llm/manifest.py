@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.common import Workspace
 from loomfield.llm.ranking import global_rank
-from loomfield.llm.skew import spread_join
+from loomfield.operators.skew import spread_join
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 2
@@ -184,7 +184,7 @@ def manifest(df: DataFrame, altered: dict[str, Column] | None = None, columns: t
         return spark.createDataFrame([], out)
     order = [F.col("name").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf")]
     placed = global_rank(work, leaves, order, "placed")
-    rows = spread_join(placed, trees.select("name", "tree", F.col("n").alias("leaves")), "name", "position", counts)
+    rows = spread_join(placed, trees.select("name", "tree", F.col("n").alias("leaves")), ["name"], ["position"])
     size = shape.size
 
     def to_block(r) -> tuple:  # noqa: ANN001
