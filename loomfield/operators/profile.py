@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
 from loomfield.operators.clean import sheet_key
+from loomfield.operators.skew import same
 
 IQR_FENCE = 1.5
 IQR_LEAST = 4
@@ -83,14 +84,19 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...])
 
 
 def outliers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles, fences and flagged values per group; too few values give `insufficient_data`. Flags only."""
+    """Quartiles, fences and flagged values per group; too few values give `insufficient_data`. Flags only. A null group is a group; NaN counts as missing."""
+    kind = dict(rows.dtypes)[value]
+    rows = rows.select(*by, (F.when(~F.isnan(value), F.col(value)) if kind in ("double", "float") else F.col(value)).alias(value))
     q = quantiles(rows, by, value, (0.25, 0.5, 0.75))
     q = q.select(*by, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     q = q.withColumns({"lower": F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))})
-    out = F.count(F.when((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")), 1))
-    flagged = rows.select(*by, value).join(q.select(*by, "lower", "upper"), by).groupBy(*by).agg(out.alias("flagged"))
+    fences = q.select(*(F.col(c).alias(f"__f_{c}") for c in by), "lower", "upper")
+    # only what is outside goes on to be counted
+    outside = (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
+    flagged = rows.join(fences, same(rows, fences, by, "__f_")).where(outside).groupBy(*(F.col(c).alias(f"__g_{c}") for c in by)).agg(F.count("*").alias("flagged"))
     enough = F.col("n") >= IQR_LEAST
-    return q.join(flagged, by, "left").withColumn("flagged", F.when(enough, F.coalesce("flagged", F.lit(0)))).withColumn("state", F.when(enough, "flagged_not_modified").otherwise("insufficient_data"))
+    joined = q.join(flagged, same(q, flagged, by, "__g_"), "left").drop(*(f"__g_{c}" for c in by))
+    return joined.withColumn("flagged", F.when(enough, F.coalesce("flagged", F.lit(0)))).withColumn("state", F.when(enough, "flagged_not_modified").otherwise("insufficient_data"))
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:

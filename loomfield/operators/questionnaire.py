@@ -66,15 +66,19 @@ def fill_forward(rows: DataFrame, by: list[str], order: str, value: Column, name
 
 
 SEED_WORDS = 6
+#: Bytes of short quotes, with BESIDES for each, that an automaton is made of at once.
+BLOCK_BYTES = 8_000_000
+BESIDES = 100
+#: Pairs that a task gives at once.
+AT_ONCE = 10_000
 
 
 def evidence(texts: DataFrame, quotes: DataFrame, text: str, quote: str, text_key: str, quote_key: str) -> DataFrame:
-    """(text_key, quote_key) where the text contains the quote verbatim.
+    """(text_key, quote_key) where the text contains the quote verbatim, once each for a row of texts and one of quotes.
 
     An equi-join on a hash of the quote's first words finds the candidates, so no text meets every quote;
     `contains` decides. A quote of fewer than SEED_WORDS + 2 blanks-separated pieces has no seed
-    that its neighbours can't alter and goes to every text; such quotes must be few, as they are
-    broadcast by Spark only below its size limit.
+    that its neighbours can't alter: `short_evidence` finds those. Null texts and quotes match nothing; an empty quote is in every text.
     """
     parts = F.split(F.col(quote), " ")
     # the first piece may continue a word of the text, so the seed begins at the second
@@ -83,5 +87,63 @@ def evidence(texts: DataFrame, quotes: DataFrame, text: str, quote: str, text_ke
     seeds = texts.select(text_key, F.explode(F.array_distinct(windows)).alias("__seed"))
     hits = seeds.join(seeded.where("__seed IS NOT NULL").select(quote_key, quote, "__seed"), "__seed").select(text_key, quote_key, quote).distinct()
     long = hits.join(texts.select(text_key, text), text_key).where(F.contains(F.col(text), F.col(quote))).select(text_key, quote_key)
-    short = texts.select(text_key, text).join(seeded.where("__seed IS NULL").select(quote_key, quote), F.contains(F.col(text), F.col(quote))).select(text_key, quote_key)
-    return long.unionByName(short)
+    return long.unionByName(short_evidence(texts, seeded.where("__seed IS NULL"), text, quote, text_key, quote_key))
+
+
+def short_evidence(texts: DataFrame, quotes: DataFrame, text: str, quote: str, text_key: str, quote_key: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same by Aho-Corasick automata: each text is read once for a block of quotes, whatever their number and length.
+
+    Quotes are dealt by hash into blocks of about `block_bytes`; the driver sends one block after
+    another to the tasks, which hold the automaton of one. Texts aren't shuffled.
+    """
+    known = quotes.where(F.col(quote).isNotNull()).select(quote_key, F.col(quote).alias("__quote"))
+    size = known.agg(F.sum(F.octet_length("__quote") + BESIDES)).first()[0]
+    read = texts.where(F.col(text).isNotNull()).select(text_key, F.col(text).alias("__text"))
+    kinds = (dict(texts.dtypes)[text_key], dict(quotes.dtypes)[quote_key])
+    schema = f"`{text_key}` {kinds[0]}, `{quote_key}` {kinds[1]}"
+    if not size:
+        return texts.sparkSession.createDataFrame([], schema)
+    blocks, spark = 1 + size // block_bytes, texts.sparkSession
+    found = None
+    for b in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("__quote"), F.lit(blocks)) == b).toArrow()
+        sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), rows.column(1).to_pylist()))
+        part = read.mapInArrow(_finder(sent, text_key, quote_key), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _finder(sent, text_key: str, quote_key: str):  # noqa: ANN001, ANN202
+    """For mapInArrow: pairs of the batch's texts and the quotes sent."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import ahocorasick
+        import pyarrow as pa
+
+        keys, quotes = sent.value
+        places: dict[str, list[int]] = {}
+        for i, q in enumerate(quotes):
+            places.setdefault(q, []).append(i)
+        everywhere = places.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for q, i in places.items():
+            automaton.add_word(q, i)
+        automaton.make_automaton()
+
+        def pairs(batch, at: list[int], which: list[int]):  # noqa: ANN001, ANN202
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), keys.take(pa.array(which, pa.int64()))], names=[text_key, quote_key])
+
+        for batch in batches:
+            at: list[int] = []
+            which: list[int] = []
+            for row, t in enumerate(batch.column(1)):
+                hits = {id(i): i for _, i in automaton.iter(t.as_py())} if places else {}
+                for i in (everywhere, *hits.values()):
+                    at += [row] * len(i)
+                    which += i
+                if len(at) > AT_ONCE:
+                    yield pairs(batch, at, which)
+                    at, which = [], []
+            yield pairs(batch, at, which)
+
+    return run

@@ -17,10 +17,16 @@ GRID_PARTS = 16
 
 
 def first_mentions(observations: DataFrame) -> DataFrame:
-    """One row per insight and participant, with `mark` NEW for the insight's first participant and REPEAT after."""
+    """One row per insight and participant, with `mark` NEW for the insight's first participant and REPEAT after.
+
+    Participants without an order come last and are all as late as one another, as in `curve`. An observation without an insight has none: its mark is null.
+    """
     seen = observations.select("participant_ord", "participant", F.trim("insight").alias("insight")).distinct()
     first = seen.groupBy("insight").agg(F.min("participant_ord").alias("first_ord"))
-    return seen.join(first, "insight").withColumn("mark", F.when(F.col("participant_ord") == F.col("first_ord"), "NEW").otherwise("REPEAT")).drop("first_ord")
+    joined = seen.join(first.where("insight IS NOT NULL"), "insight", "left")
+    # the least is null only if all are
+    is_first = F.col("participant_ord").eqNullSafe(F.col("first_ord"))
+    return joined.withColumn("mark", F.when(F.col("insight").isNull(), F.lit(None)).when(is_first, "NEW").otherwise("REPEAT")).drop("first_ord")
 
 
 def participants(observations: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def matrix(observations: DataFrame, people: DataFrame | None = None) -> DataFram
     about PEOPLE_BLOCK, each block to GRID_PARTS parts of the insights, and meet them by an equi-join
     on block and part, so no task has a whole side; the number of participants is counted first.
     """
-    marks = first_mentions(observations)
+    marks = first_mentions(observations).where("insight IS NOT NULL")
     people = (participants(observations) if people is None else people.select("participant_ord", "participant")).distinct()
     blocks = 1 + people.count() // PEOPLE_BLOCK
     block = F.pmod(F.xxhash64("participant_ord", "participant"), F.lit(blocks)).alias("__block")
@@ -43,7 +49,10 @@ def matrix(observations: DataFrame, people: DataFrame | None = None) -> DataFram
     insights = marks.select("insight").distinct().withColumn("__part", F.pmod(F.xxhash64("insight"), F.lit(GRID_PARTS)).cast("int"))
     insights = insights.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     grid = insights.join(packed, ["__block", "__part"]).select("insight", F.explode("__people").alias("p")).select("insight", "p.participant_ord", "p.participant")
-    return grid.join(marks.select("insight", "participant_ord", "mark"), ["insight", "participant_ord"], "left").withColumn("mark", F.coalesce("mark", F.lit("ABSENT")))
+    # a participant is known by order and name, either of which may be missing
+    own = marks.select(F.col("insight").alias("__i"), F.col("participant_ord").alias("__o"), F.col("participant").alias("__p"), "mark")
+    on = (grid["insight"] == own["__i"]) & grid["participant_ord"].eqNullSafe(own["__o"]) & grid["participant"].eqNullSafe(own["__p"])
+    return grid.join(own, on, "left").select("insight", "participant_ord", "participant", F.coalesce("mark", F.lit("ABSENT")).alias("mark"))
 
 
 def matrix_wide(long: DataFrame, names: list[str]) -> DataFrame:
@@ -73,14 +82,15 @@ def curve(observations: DataFrame) -> DataFrame:
 def frequency(observations: DataFrame) -> DataFrame:
     """Participants mentioning each insight, and their share of all."""
     seen = observations.select("participant_ord", F.trim("insight").alias("insight")).distinct()
-    total = seen.agg(F.count_distinct("participant_ord").alias("total"))
-    return seen.groupBy("insight").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("insight", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    total = seen.select("participant_ord").distinct().agg(F.count("*").alias("total"))
+    return seen.where("insight IS NOT NULL").groupBy("insight").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("insight", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 def summary(observations: DataFrame) -> DataFrame:
     """Totals, and the last participant with anything new."""
     m = first_mentions(observations)
-    return m.agg(F.count_distinct("insight").alias("insights"), F.count_distinct("participant_ord").alias("participants"), F.max(F.when(F.col("mark") == "NEW", F.col("participant_ord"))).alias("last_new_ord"))
+    people = F.count_distinct("participant_ord") + F.max(F.col("participant_ord").isNull().cast("bigint"))
+    return m.agg(F.count_distinct("insight").alias("insights"), F.coalesce(people, F.lit(0)).cast("bigint").alias("participants"), F.max(F.when(F.col("mark") == "NEW", F.col("participant_ord"))).alias("last_new_ord"))
 
 
 def summary_mismatch(bullets: DataFrame, observations: DataFrame) -> DataFrame:

@@ -60,6 +60,20 @@ def saturation_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix(o).select("insight", "participant_ord", "mark")
 
 
+GAPS = "few AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 <> 2 THEN c_nationkey END AS p, CASE WHEN c_custkey % 10 <> 3 THEN c_mktsegment || ':' || CAST(CAST(floor(c_acctbal / 500) AS INTEGER) % 9 AS VARCHAR) END AS i FROM customer WHERE c_nationkey <> 4 OR c_custkey % 10 = 3), ff AS (SELECT i, min(p) AS f FROM few WHERE i IS NOT NULL GROUP BY i)"
+
+
+@query(f"WITH {GAPS}, people AS (SELECT DISTINCT p FROM few) SELECT ff.i AS insight, people.p AS participant_ord, CASE WHEN s.i IS NULL THEN 'ABSENT' WHEN s.p IS NOT DISTINCT FROM ff.f THEN 'NEW' ELSE 'REPEAT' END AS mark FROM ff CROSS JOIN people LEFT JOIN few s ON s.i = ff.i AND s.p IS NOT DISTINCT FROM people.p")
+def saturation_matrix_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations without a number, insights without a name, and a nation that has no other: all of them keep their place in the grid."""
+    band = F.expr("CAST(CAST(floor(c_acctbal / 500) AS INT) % 9 AS STRING)")
+    who = F.when(F.col("c_nationkey") % 5 != 2, F.col("c_nationkey"))
+    what = F.when(F.col("c_custkey") % 10 != 3, F.concat_ws(":", "c_mktsegment", band))
+    rows = load(spark, sf_dir, "customer").where("c_nationkey <> 4 OR c_custkey % 10 = 3")
+    o = rows.select(who.alias("participant_ord"), who.cast("string").alias("participant"), what.alias("insight"))
+    return S.matrix(o).select("insight", "participant_ord", "mark")
+
+
 @query(f"WITH {MENTIONS} SELECT ff.i AS insight, " + ", ".join(f"CASE max(CASE WHEN s.p = {k} THEN CASE WHEN s.p = ff.f THEN 2 ELSE 1 END ELSE 0 END) WHEN 2 THEN 'NEW' WHEN 1 THEN 'REPEAT' ELSE 'ABSENT' END AS n{k}" for k in range(5)) + " FROM ff JOIN few s USING (i) GROUP BY ff.i")
 def saturation_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for display, with a column for each of five nations."""
@@ -67,12 +81,12 @@ def saturation_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix_wide(long, [f"n{k}" for k in range(5)])
 
 
-@query(f"WITH {OBS} SELECT o.p AS participant_ord, CAST(o.p AS VARCHAR) AS participant, count(*) FILTER (WHERE o.p = f.f) AS new_insights FROM obs o JOIN firsts f USING (i) GROUP BY o.p")
+@query(f"WITH {OBS} SELECT o.p AS participant_ord, CAST(o.p AS VARCHAR) AS participant, count(*) FILTER (WHERE o.p IS NOT DISTINCT FROM f.f) AS new_insights FROM obs o JOIN firsts f USING (i) GROUP BY o.p")
 def saturation_new_per_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.new_per_participant(observations(spark, sf_dir))
 
 
-@query(f"WITH {OBS}, n AS (SELECT o.p, count(*) FILTER (WHERE o.p = f.f) AS c FROM obs o JOIN firsts f USING (i) GROUP BY o.p) SELECT p AS participant_ord, CAST(p AS VARCHAR) AS participant, c AS new_insights, CAST(sum(c) OVER (ORDER BY p) AS BIGINT) AS total_insights FROM n")
+@query(f"WITH {OBS}, n AS (SELECT o.p, count(*) FILTER (WHERE o.p IS NOT DISTINCT FROM f.f) AS c FROM obs o JOIN firsts f USING (i) GROUP BY o.p) SELECT p AS participant_ord, CAST(p AS VARCHAR) AS participant, c AS new_insights, CAST(sum(c) OVER (ORDER BY p) AS BIGINT) AS total_insights FROM n")
 def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.curve(observations(spark, sf_dir))
 
@@ -220,6 +234,16 @@ def outliers_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.outliers(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", *map(r, ("q1", "median", "q3", "lower", "upper")), "flagged", "state")
 
 
+NULL_GROUP = "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"
+
+
+@query(f"WITH l AS (SELECT {NULL_GROUP} AS g, CASE WHEN l_linenumber = 7 THEN l_extendedprice * 100 ELSE l_extendedprice END AS v FROM lineitem), q AS (SELECT g, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY g) SELECT q.g, q.n, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS flagged FROM q JOIN l ON l.g IS NOT DISTINCT FROM q.g GROUP BY q.g, q.n")
+def outliers_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a group are a group."""
+    v = F.when(F.col("l_linenumber") == 7, F.col("l_extendedprice") * 100).otherwise(F.col("l_extendedprice"))
+    return P.outliers(load(spark, sf_dir, "lineitem").select(F.expr(NULL_GROUP).alias("g"), v.alias("v")), ["g"], "v").select("g", "n", "flagged")
+
+
 @query("SELECT count(o_totalprice) AS n, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS stddev, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders")
 def describe_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.describe(load(spark, sf_dir, "orders"), "o_totalprice")
@@ -294,6 +318,13 @@ def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.evidence(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "text", "quote", "doc_id", "item_id")
 
 
+@query("WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[3:4 + item_id % 6], ' ') AS quote FROM benchmark) SELECT d.doc_id, q.item_id FROM documents d JOIN q ON contains(d.text, q.quote)")
+def evidence_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of two to seven words, from the third word of each item on."""
+    quote = F.array_join(F.slice(F.split("text", " "), F.lit(3), F.lit(2) + (F.col("item_id") % 6).cast("int")), " ")
+    return Q.evidence(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", quote.alias("quote")), "text", "quote", "doc_id", "item_id")
+
+
 @query("SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INTEGER) AS target_no, unnest(string_split(text, chr(10))) AS target FROM documents")
 def multi_value_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.targets(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")

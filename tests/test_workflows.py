@@ -180,7 +180,7 @@ def test_chart(spark, tmp_path):
 def test_curve_keeps_a_null_participant(spark):
     rows = [(1, "1", "a"), (2, "2", "b"), (70_000, "70000", "c"), (None, None, "a"), (None, None, "d")]
     got = S.curve(spark.createDataFrame(rows, "participant_ord bigint, participant string, insight string")).collect()
-    assert {(r["participant_ord"], r["new_insights"], r["total_insights"]) for r in got} == {(1, 1, 1), (2, 1, 2), (70_000, 1, 3), (None, 0, 3)}
+    assert {(r["participant_ord"], r["new_insights"], r["total_insights"]) for r in got} == {(1, 1, 1), (2, 1, 2), (70_000, 1, 3), (None, 1, 4)}
 
 
 def test_empty_saturation(spark):
