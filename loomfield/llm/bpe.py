@@ -8,6 +8,9 @@ in any context, so tokens outside the window can't change. A stretch without suc
 leaf, however long. The proof is of one pattern; with another, a text is one leaf.
 Decoding concatenates the leaves' bytes up the same tree.
 
+A long run of white space overflows the stack of the library's pattern (about a million characters). By that pattern a run is one match at a text's end, and else
+all of it but its last character is one; so long runs are taken out by this rule and merged without the pattern, with the same ids.
+
 Nulls and empty texts give no ids. Very long texts need memory in proportion to one text.
 Equal texts give equal rows; repeated rows stay; an empty table gives an empty one. Only the
 named columns are read, so other columns may have any names.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +31,9 @@ from loomfield.llm.common import BYTE_PATTERN, PLACE, released, tokenizer_path,
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 4096
+#: White space, as the pattern has it, of this length and more is taken out before the pattern is applied.
+LONG_BLANKS = 1024
+LONG_RUN = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANKS},}}")
 WINDOW_CHARS = 32
 
 _codecs: dict[tuple[str, int, int], "TreeCodec"] = {}
@@ -46,7 +53,17 @@ class TreeCodec:
         self.decimal_of = {i: str(i) for i in self.bytes_of}
 
     def leaf(self, text: str) -> list[int]:
-        return self._core.encode_ordinary(text)
+        """The ids of a text by itself."""
+        if not self.proven or len(text) < LONG_BLANKS or not (runs := [m.span() for m in LONG_RUN.finditer(text)]):
+            return self._core.encode_ordinary(text)
+        ids, done = [], 0
+        for a, b in runs:
+            # one match, without its last character where anything follows
+            end = b if b == len(text) else b - 1
+            ids += self._core.encode_ordinary(text[done:a])
+            ids += self._core._encode_single_piece(text[a:end])
+            done = end
+        return ids + self._core.encode_ordinary(text[done:])
 
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text)) if text else []

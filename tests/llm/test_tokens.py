@@ -134,3 +134,24 @@ def test_random_texts_of_many_lengths(small_leaves):
     for n in (0, 1, 4, 5, 6, 63, 500):
         text = "".join(r.choice(ODD) for _ in range(n))
         assert small_leaves.encode(text) == small_leaves.leaf(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", "　", "\x1c "])
+def test_long_white_space_equals_library(blank):
+    """By rule, with the library's ids, at all lengths that the library itself can do."""
+    c = bpe.TreeCodec(tokenizer_path(bpe.VOCABULARY))
+    for n in (bpe.LONG_BLANKS - 1, bpe.LONG_BLANKS, bpe.LONG_BLANKS + 1, 5001):
+        run = (blank * n)[:n]
+        for t in (run, f"a{run}", f"{run}'s b", f"a{run}b{run}7", "ab " * 3000 + run + "cd " * 3000, f"{run}。{'x' * 5000}{run}"):
+            ids = c.encode(t)
+            assert ids == c._core.encode_ordinary(t) and c.decode(ids) == t.encode()
+
+
+def test_two_million_blanks(spark):
+    """More than the library's pattern can take, alone and between words, through encoding and packing."""
+    runs = [(b * 2_000_000)[:2_000_000] for b in (" ", "\n", "\t ", "x")]
+    texts = [*runs, *(f"one two{r}three four" for r in runs[:3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    got = {r["doc_id"]: r for r in bpe.encode(df, with_ids=False).collect()}
+    assert {k: r["decoded_sha256"] for k, r in got.items()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts)}
+    assert packing.pack(df.where("doc_id IN (0, 4)")).agg({"*": "count"}).first()[0] > 0
