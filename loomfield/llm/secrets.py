@@ -8,11 +8,11 @@ and prefixes, its parts are tried: the running sum of the ratio less `MIN_MEAN`
 begins again below zero, and a part ends where the sum has fallen by `MIN_GAIN` from its maximum;
 parts that rise by less are ordinary. Parts lose what lies beyond a separator in the `EDGE` characters
 at their ends, then grow to the `SEPARATORS` around them; parts that meet are one, and a secret
-has `MIN_TOTAL` nats. Runs and parts have `MIN_RUN` characters or more: a shorter string can't reach
-`MIN_TOTAL` but by a few rare pairs. Both models are bigram tables with add-half
+has `MIN_TOTAL` nats. Runs of `MIN_RUN` characters and more are looked at, and the thresholds alone decide on them: of random letters and digits they
+take 17 in 100 strings of 8 characters, 50 of 10, 77 of 12 and 91 of 14; even rarer pairs would be needed in shorter ones. Both models are bigram tables with add-half
 smoothing over ASCII, trained by aggregation from labelled samples (`text`, `secret`): some made by
 rule (`labelled_samples`), and tokens of a bounded, hashed sample of the table's own documents, the
-matches of the fixed patterns as secrets and shorter runs of token characters, which are words, as ordinary
+matches of the fixed patterns as secrets and runs of token characters below `TAUGHT` characters, nearly all of them words, as ordinary
 (`document_samples`). No set weighs more than `SET_PAIRS` pairs. Positions are code points, end exclusive.
 
 Everything is built-in functions on one row, with no shuffle but that of the samples; the model is
@@ -38,7 +38,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 24, 0),
 )
 RANDOM = "random"
-MIN_RUN = 14
+MIN_RUN = 8
 #: A whole run: only its first character has none of its kind before it, so no other is tried.
 RUN = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{MIN_RUN},}}+"
 SEPARATORS = "/=_-"
@@ -51,6 +51,8 @@ SAMPLES = 3000
 #: Bounds of the sample of documents: rows, and characters of each that teach.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_CHARS = 20_000
+#: Tokens of documents teach as ordinary below this length, and matches of the fixed patterns as random from it on.
+TAUGHT = 14
 #: A set of samples counts as so many pairs in each class at most.
 SET_PAIRS = 100_000.0
 #: Items of a chunk of `running`.
@@ -95,15 +97,15 @@ def pairs(c: Column) -> Column:
 def document_samples(df: DataFrame, text: str = "text", rows: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """text, secret: tokens of about `rows` distinct texts, those with the least hashes.
 
-    Matches of the fixed patterns are secrets where they are long enough to be random. Other runs teach what is
-    ordinary where they are too short to be looked at, so that a secret in the sample teaches nothing.
+    Matches of the fixed patterns are secrets where they have TAUGHT characters or more. Other runs teach what is
+    ordinary where they have fewer, so that a long secret in the sample teaches nothing; short ones are rare among its words.
     """
     hashed = df.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.lit(5), F.col(text).cast("string")).alias("h")).where("t IS NOT NULL")
     n = df.count()
     some = hashed.where(F.col("h") <= F.lit(min((1 << 63) - 1, int(rows / max(1, n) * (1 << 64)) - (1 << 63)))).groupBy("h").agg(F.min("t").alias("t"))
     found = lambda pattern, group: F.regexp_extract_all("t", F.lit(pattern), F.lit(group))
-    long = F.filter(F.flatten(F.array(*(found(p, g) for _, p, _, g in KINDS))), lambda x: F.length(x) >= MIN_RUN)
-    plain = F.filter(F.regexp_extract_all(F.regexp_replace("t", BASE, " "), F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0)), lambda x: F.length(x) < MIN_RUN)
+    long = F.filter(F.flatten(F.array(*(found(p, g) for _, p, _, g in KINDS))), lambda x: F.length(x) >= TAUGHT)
+    plain = F.filter(F.regexp_extract_all(F.regexp_replace("t", BASE, " "), F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0)), lambda x: F.length(x) < TAUGHT)
     return some.select(F.inline(F.concat(F.transform(long, lambda x: F.struct(x.alias("text"), F.lit(True).alias("secret"))), F.transform(plain, lambda x: F.struct(x.alias("text"), F.lit(False).alias("secret"))))))
 
 
