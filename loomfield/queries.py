@@ -676,7 +676,71 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, min(ts) AS first_ts FROM events GROUP BY 1")
 def first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("first_ts"))
+    from loomfield.streaming.events import first_seen
+
+    return first_seen(load(spark, sf_dir, "events").select("event_type", "ts"), ["event_type"]).withColumnRenamed("ts", "first_ts")
+
+
+def event_stream(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
+    """The events as a stream of several files, a batch each, whose times overlap."""
+    e = load(spark, sf_dir, "events")
+    e.repartition(files, "event_id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def stream_query(sql: str, mode: str) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    """Registers a query that runs a stream over the events to its end."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from loomfield.shared import new_folder
+            from loomfield.streaming.events import finished
+
+            folder = new_folder(spark, f.__name__)
+            # an append is of one batch: rows of later ones would be late
+            return finished(f(event_stream(spark, sf_dir, folder, 1 if mode == "append" else 4)), mode, folder)
+
+        run.__name__ = f.__name__
+        return query(sql)(run)
+
+    return add
+
+
+@stream_query("SELECT start, event_type, n, value FROM (SELECT CAST(time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * k) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events CROSS JOIN range(0, 2) t(k) GROUP BY ALL)", "complete")
+def stream_sliding(events: DataFrame) -> DataFrame:
+    """Days that begin every twelve hours, of a stream."""
+    from loomfield.streaming.events import tumbling
+
+    return tumbling(events, "1 day", "12 hours").withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 4)})
+
+
+@stream_query("WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM s GROUP BY user_id, k", "complete")
+def stream_sessions(events: DataFrame) -> DataFrame:
+    """Session windows of a stream, which join as rows between them come. The batches overlap, so rows may be as late as they like."""
+    from loomfield.streaming.events import session_counts
+
+    return session_counts(events, late="10000 days").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@stream_query("SELECT p.event_id AS purchase_id, e.event_id AS error_id FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts BETWEEN p.ts AND p.ts + INTERVAL 12 HOUR WHERE p.event_type = 'purchase' AND e.event_type = 'error'", "append")
+def stream_interval_join(events: DataFrame) -> DataFrame:
+    """A user's errors within twelve hours after a purchase, by a join of two streams."""
+    from loomfield.streaming.events import joined_within
+
+    of = lambda kind, name, at: events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(at))
+    return joined_within(of("purchase", "purchase_id", "bought"), of("error", "error_id", "failed"), ["user_id"], ("bought", "failed"), "12 HOURS").select("purchase_id", "error_id")
+
+
+@query("SELECT user_id, event_id, ts AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first event by time, of a stream whose batches overlap: the last revision of each."""
+    from loomfield.shared import new_folder
+    from loomfield.streaming.events import finished, first_seen
+
+    folder = new_folder(spark, "first_sightings")
+    revised = finished(first_seen(event_stream(spark, sf_dir, folder).select("user_id", "event_id", "ts"), ["user_id"]), "update", folder)
+    last = revised.groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts"), "batch").alias("r"))
+    return last.select("user_id", "r.event_id", F.col("r.ts").alias("first_ts"))
 
 
 @query("SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
