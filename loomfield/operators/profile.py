@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from loomfield.functions import text as T
 from loomfield.operators.clean import sheet_key
-from loomfield.operators.skew import same
+from loomfield.operators.skew import same, spread_join
+from loomfield.shared import new_folder
 
 IQR_FENCE = 1.5
 IQR_LEAST = 4
@@ -47,21 +48,25 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...])
 
     A sketch brackets each quantile; what is below a bracket is counted, and only what is inside, about
     4 / ACCURACY of the rows, is ordered. So no task holds a group, and the work is two more scans. The
-    brackets, a row a group, are fixed by an action; with more than MANY_GROUPS groups, Spark's own
-    `percentile` is used, which keeps the distinct values of each group in one task.
+    brackets, a row a group, are fixed by writing them to the shared folder. They are broadcast up to MANY_GROUPS of them; more are joined by
+    the group, and groups with very many rows are parted.
     """
     v = F.col(value).cast("double")
     ends = [min(1.0, max(0.0, p + e)) for p in at for e in (-2 / ACCURACY, 2 / ACCURACY)]
     base = [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
-    sketch = rows.groupBy(*by).agg(*base, F.percentile_approx(v, F.array(*map(F.lit, ends)), ACCURACY).alias("ends"))
-    found = sketch.limit(MANY_GROUPS + 1).collect()
-    if len(found) > MANY_GROUPS:
-        return rows.groupBy(*by).agg(*base, F.percentile(v, F.array(*map(F.lit, at))).alias("q"))
-    groups = rows.sparkSession.createDataFrame(found, sketch.schema)
-    key = F.struct(F.lit(0).alias("all"), *by).alias("by")
-    # a row a group, MANY_GROUPS at most
-    brackets = groups.select(F.struct(key, "n", "min", "max", "ends").alias("g"))
-    inside = rows.select(key, v.alias("v")).where("v IS NOT NULL").join(F.broadcast(brackets), F.col("by").eqNullSafe(F.col("g.by")))
+    spark, keys = rows.sparkSession, [f"b{i}" for i in range(len(by))]
+    sketch = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys))).agg(*base, F.percentile_approx(v, F.array(*map(F.lit, ends)), ACCURACY).alias("ends"))
+    folder = new_folder(spark, "brackets")
+    sketch.write.parquet(f"{folder}/groups")
+    groups = spark.read.schema(sketch.schema).parquet(f"{folder}/groups")
+    key = F.struct(F.lit(0).alias("all"), *(F.col(k).alias(c) for c, k in zip(by, keys))).alias("by")
+    brackets = groups.select(*keys, F.struct(key, "n", "min", "max", "ends").alias("g"))
+    valued = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), v.alias("v")).where("v IS NOT NULL")
+    if groups.count() <= MANY_GROUPS:
+        named = brackets.withColumnsRenamed({k: f"k_{k}" for k in keys})
+        inside = valued.join(F.broadcast(named), same(valued, named, keys, "k_"))
+    else:
+        inside = spread_join(valued, brackets, keys, ["v"])
     parts = [F.struct(F.sum((F.col("v") < lo).cast("bigint")).alias("below"), F.max(F.when(F.col("v") < lo, F.col("v"))).alias("prev"), F.min(F.when(F.col("v") > hi, F.col("v"))).alias("next")).alias(f"s{i}") for i in range(len(at)) for lo, hi in [(F.col("g.ends")[2 * i], F.col("g.ends")[2 * i + 1])]]
     around = inside.groupBy("g").agg(*parts).select("g", F.posexplode(F.array(*(f"s{i}" for i in range(len(at))))).alias("i", "s"))
     hit = F.array(*(F.when(F.col("v").between(F.col("g.ends")[2 * i], F.col("g.ends")[2 * i + 1]), i) for i in range(len(at))))

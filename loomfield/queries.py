@@ -234,6 +234,13 @@ def outliers_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.outliers(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", *map(r, ("q1", "median", "q3", "lower", "upper")), "flagged", "state")
 
 
+@query("SELECT l_orderkey, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.9), 6) AS q9 FROM lineitem GROUP BY 1")
+def quantiles_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of as many groups as there are orders."""
+    q = P.quantiles(load(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", (0.25, 0.9))
+    return q.select("l_orderkey", "n", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("q9"))
+
+
 NULL_GROUP = "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"
 
 
