@@ -309,6 +309,15 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- questionnaires and answers --------------------------------------------------------------
 
 
+@query("WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders), b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1009 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM a WHERE o_orderkey % 997 <> 5 UNION ALL SELECT * FROM a WHERE o_orderkey % 1013 = 7) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def table_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which some are changed, missing or there twice."""
+    a = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    k = F.col("o_orderkey")
+    b = a.where(k % 997 != 5).withColumn("o_totalprice", F.when(k % 1009 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).unionByName(a.where(k % 1013 == 7))
+    return R.set_difference(a, b)
+
+
 @query("SELECT conv_id, turn, question, CASE WHEN nr = 'assistant' THEN nt END AS reply FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'")
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.reply_pairs(load(spark, sf_dir, "conversations"))

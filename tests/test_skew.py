@@ -111,3 +111,15 @@ def test_spread_join(spark, least):
     known = [tuple(r) for r in right.collect()]
     want = [(r["id"], v) for r in left.collect() for v in ([v for k, v in known if k == r["k"]] or [None])]
     assert got == sorted(want, key=str)
+
+
+def test_only_differing_buckets_are_compared(spark):
+    rows = [(i, f"v{i % 50}", None if i % 9 else 0.5) for i in range(3000)] + [(1, "twice", None)] * 3 + [(None, None, None)] * 2
+    a = spark.createDataFrame(rows, "k bigint, v string, x double")
+    b = spark.createDataFrame([r for r in rows if r[0] != 17][:-1] + [(5, "new", 0.25), (1, "twice", None)], "k2 bigint, v string, x double").repartition(5)
+    got = sorted((str(tuple(r)[:3]), r["side"]) for r in R.set_difference(a, b).collect())
+    assert got == sorted([(str((17, "v17", None)), "left"), (str((None, None, None)), "left"), (str((5, "new", 0.25)), "right"), (str((1, "twice", None)), "right")])
+    assert [x.count() < 40 for x in R.differing(a, b)] == [True, True]
+    assert R.set_difference(a, a.repartition(3)).count() == 0 and [x.count() for x in R.differing(a, a.orderBy("v"))] == [0, 0]
+    assert R.set_difference(a, a.limit(0)).count() == len(rows) and R.set_difference(a.limit(0), a.limit(0)).count() == 0
+    assert R.set_difference(a.select("k"), a.select(F.col("k").cast("int"))).count() == 0
