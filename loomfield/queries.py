@@ -843,3 +843,12 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"SELECT p_partkey, slug_of(p_name) AS slug, seconds_of(concat('01:', lpad(p_size % 60, 2, '0'), ':07')) AS seconds, mark_of(element_at(array({symbols}), p_size % 3 + 1)) AS mark, round(score_of(concat(p_size, '/50')), 6) AS score, t.target AS second_target "
         "FROM {parts}, LATERAL targets_of('a\nb') t WHERE t.target_no = 1", parts=load(spark, sf_dir, "part"),
     )
+
+
+@query("WITH e AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(CASE WHEN i > 1 AND p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS k FROM e) SELECT user_id, event_type AS value, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, k, event_type")
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events of one type, user by user, by a table function over a partitioned table."""
+    from loomfield.functions import table
+
+    table.register(spark)
+    return spark.sql("SELECT * FROM runs_of(TABLE(SELECT user_id, event_id, event_type, ts FROM {events}) PARTITION BY user_id ORDER BY (ts, event_id), 'event_type', 'ts', 'user_id')", events=load(spark, sf_dir, "events"))

@@ -36,3 +36,17 @@ def test_ranges_and_clock(spark):
 def test_separator_is_dashes_only(spark):
     assert one(spark, lambda c: T.is_separator(T.pipe_cells(c)), "|---|:-:|") is True
     assert one(spark, lambda c: T.is_separator(T.pipe_cells(c)), "| - | a |") is False
+
+
+def test_runs_of_any_table(spark):
+    from loomfield.functions import table
+
+    table.register(spark)
+    rows = [("a", 1, None), ("a", 2, None), ("a", 3, 1.5), ("b", 1, 1.5), (None, 7, 2.0), ("a", 4, 1.5), (None, 8, 3.0)]
+    spark.createDataFrame(rows, "k string, o int, v double").createOrReplaceTempView("run_rows")
+    got = spark.sql("SELECT * FROM runs_of(TABLE(run_rows) PARTITION BY k ORDER BY (o), 'v', 'o', 'k')")
+    assert got.dtypes == [("k", "string"), ("value", "double"), ("first", "int"), ("last", "int"), ("n", "bigint")]
+    assert {tuple(r) for r in got.collect()} == {("a", None, 1, 2, 2), ("a", 1.5, 3, 4, 2), ("b", 1.5, 1, 1, 1), (None, 2.0, 7, 7, 1), (None, 3.0, 8, 8, 1)}
+    assert spark.sql("SELECT n FROM runs_of(TABLE(SELECT * FROM run_rows WHERE k = 'z') PARTITION BY k ORDER BY (o), 'v', 'o')").collect() == []
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM runs_of(TABLE(run_rows) PARTITION BY k ORDER BY (o), 'nothing', 'o')").collect()
