@@ -513,3 +513,22 @@ def test_mix_takes_the_first_of_the_seeded_order(spark):
                 break
             assert r["copies"] == whole + (not left_out)
         assert sum(r["size"] for r in own if (r["copies"] > whole) != left_out) <= need
+
+
+def test_short_random_strings(spark):
+    """From 8 characters on the thresholds decide, whatever the length; ordinary words aren't taken."""
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = secrets.default_model(docs)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    strings = [(n, "".join(r.choice(mixed) for _ in range(n))) for n in range(6, 15) for _ in range(200)]
+    rows = spark.createDataFrame([(i, s, n) for i, (n, s) in enumerate(strings)], "doc_id bigint, text string, n int")
+    found = {x["doc_id"] for x in secrets.scan(rows, model=model).where("n_random > 0").collect()}
+    passed = set()
+    for i, (n, s) in enumerate(strings):
+        total = sum(model[ord(a) * 128 + ord(b)] for a, b in zip(s, s[1:]))
+        if n >= 8 and total >= secrets.MIN_TOTAL and total >= secrets.MIN_MEAN * n:
+            passed.add(i)
+    base = {x["doc_id"] for x in secrets.scan(rows, model=model).where("n_assign + n_access + n_hex > 0").collect()}
+    assert passed - base <= found and {strings[i][0] for i in passed} >= set(range(9, 15))
+    assert secrets.scan(docs, model=model).where("n_random > 0").count() == 0
