@@ -75,6 +75,8 @@ def report(cells: DataFrame, sheets: DataFrame) -> dict[str, DataFrame]:
         w("OUTLIERS_FLAGGED_NOT_MODIFIED", "low", outliers.where("flagged > 0"), column, "values beyond the fences"),
         w("MISSING_VALUES_NOT_IMPUTED", "low", missing.where("missing_before > 0"), column, "missing values"),
         w("UNCERTAIN_HEADER", "medium", status.where("header_status <> 'CONFIRMED'"), none, "no confirmed header"),
+        w("NO_CROSS_SHEET_JOIN", "info", several_sheets(sheets, by), none, "sheets not joined: no key is agreed on"),
+        w("UNSUPPORTED_FEATURE_REVIEW", "medium", sheets.where("size(merges) > 0"), none, "a sheet with merged ranges passes unchanged"),
     ]
     all_warnings = warnings[0]
     for x in warnings[1:]:
@@ -90,6 +92,13 @@ def no_joins(spark: SparkSession, by: list[str]) -> DataFrame:
     return spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in by), F.lit(None).cast("string").alias("range"), F.lit("join_analysis=not_applicable; reason=no_explicit_key_contract; joins_performed=0").alias("status"))
 
 
+def several_sheets(sheets: DataFrame, by: list[str]) -> DataFrame:
+    """Workbooks with more than one sheet; the sheet is null, as the finding is of the workbook."""
+    books = [c for c in by if c != "sheet"]
+    found = sheets.groupBy(*books).agg(F.count("*").alias("n")).where("n > 1")
+    return found.select(*(F.col(c) if c in books else F.lit(None).cast("string").alias(c) for c in by))
+
+
 def actions_with_zeros(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """Every rule in order, with its count per sheet or 0."""
     return rules.join(counts, "rule", "left").select("rule_ord", "rule", *C.sheet_key(counts), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("rule_ord", *C.sheet_key(counts))

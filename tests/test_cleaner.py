@@ -261,3 +261,14 @@ def test_bad_inputs(spark, tmp_path):
 
 def test_preview(spark, book):
     assert P.preview(spark, book).count() == 5
+
+
+def test_sheets_that_are_not_joined_or_not_cleaned_are_warned_of(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "one.xlsx").write_bytes(xlsx.write_workbook({"S": [["n", "m"], ["x", 1]]}))
+    (tmp_path / "two.xlsx").write_bytes(xlsx.write_workbook({"S": [["n", "m"], ["x", 1]], "T": [["n", "m"], ["x", 1]]}))
+    cells, sheets = xlsx.read_cells(spark, str(tmp_path)), xlsx.read_sheets(spark, str(tmp_path))
+    sheets = sheets.withColumn("merges", F.when(F.col("sheet") == "T", F.array(F.lit("A5:B5"))).otherwise(F.col("merges")))
+    found = {(r["code"], os.path.basename(r["workbook"]), r["sheet"]) for r in R.report(cells, sheets)["Warnings"].collect()}
+    assert {x for x in found if x[0] in ("NO_CROSS_SHEET_JOIN", "UNSUPPORTED_FEATURE_REVIEW")} == {("NO_CROSS_SHEET_JOIN", "two.xlsx", None), ("UNSUPPORTED_FEATURE_REVIEW", "two.xlsx", "T")}
