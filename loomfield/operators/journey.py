@@ -23,20 +23,20 @@ def wide_to_long(rows: DataFrame, ids: list[str], name: str = "participant", val
 
 
 def route(rows: DataFrame, variants: DataFrame, theme: str = "theme") -> DataFrame:
-    """Rows whose theme is a known variant after trimming and lower-casing, with phase and phase_ord. Ten variants: a lookup of fixed size."""
+    """Rows whose theme is a known variant after trimming and lower-casing, with phase and phase_ord. The lookup is broadcast by Spark if it is small enough for that."""
     if theme not in rows.columns:
         raise EngineError("MISSING_COLUMN", theme)
-    return rows.join(F.broadcast(variants), T.fold(F.col(theme)) == F.col("variant")).drop("variant")
+    return rows.join(variants, T.fold(F.col(theme)) == F.col("variant")).drop("variant")
 
 
 def rejects(rows: DataFrame, variants: DataFrame, theme: str = "theme", reason: str = "UNKNOWN_THEME") -> DataFrame:
-    return rows.join(F.broadcast(variants), T.fold(F.col(theme)) == F.col("variant"), "left_anti").withColumn("reason", F.lit(reason))
+    return rows.join(variants, T.fold(F.col(theme)) == F.col("variant"), "left_anti").withColumn("reason", F.lit(reason))
 
 
 def counts(routed: DataFrame, phases: DataFrame) -> DataFrame:
     """Rows per phase, empty phases kept, in phase order."""
     n = routed.groupBy("phase").agg(F.count("*").alias("n"))
-    return F.broadcast(phases).join(n, "phase", "left").select("phase_ord", "phase", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("phase_ord")
+    return phases.join(n, "phase", "left").select("phase_ord", "phase", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("phase_ord")
 
 
 def complete_grid(a: DataFrame, b: DataFrame, filled: DataFrame, on: list[str], value: str, default: Column) -> DataFrame:
@@ -54,7 +54,7 @@ def check_interpretations(interpretations: DataFrame, phases: DataFrame, dimensi
     """Findings: a phase without a dimension, an unknown name, an emotion that isn't 1 to 5."""
     grid = phases.crossJoin(dimensions).select("phase", "dimension")
     missing = grid.join(interpretations, ["phase", "dimension"], "left_anti").withColumn("finding", F.lit("missing"))
-    unknown = interpretations.join(F.broadcast(grid), ["phase", "dimension"], "left_anti").select("phase", "dimension").withColumn("finding", F.lit("unknown"))
+    unknown = interpretations.join(grid, ["phase", "dimension"], "left_anti").select("phase", "dimension").withColumn("finding", F.lit("unknown"))
     level = T.rating_of(F.col("value"))
     emotion = interpretations.where((F.col("dimension") == model.DIMENSIONS[4]) & ~F.coalesce(level.between(1, 5), F.lit(False))).select("phase", "dimension").withColumn("finding", F.lit("emotion out of range"))
     return missing.unionByName(unknown).unionByName(emotion)

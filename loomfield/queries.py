@@ -852,3 +852,21 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table.register(spark)
     return spark.sql("SELECT * FROM runs_of(TABLE(SELECT user_id, event_id, event_type, ts FROM {events}) PARTITION BY user_id ORDER BY (ts, event_id), 'event_type', 'ts', 'user_id')", events=load(spark, sf_dir, "events"))
+
+
+@query("SELECT event_type, count(*) AS n, TRUE AS distinct_near, TRUE AS median_near FROM events GROUP BY ROLLUP (event_type)")
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day and type, written, then merged to types and to all; the estimates are held against exact counts: users within 6 %, the median's rank within 2 %."""
+    from loomfield.operators import sketches as K2
+    from loomfield.shared import new_folder
+
+    e, folder = load(spark, sf_dir, "events"), new_folder(spark, "sketches")
+    K2.build(e.withColumn("day", F.to_date("ts")), ["day", "event_type"], "user_id", "value").write.parquet(f"{folder}/days")
+    types = K2.merge(spark.read.parquet(f"{folder}/days"), ["event_type"])
+    every = K2.merge(types.withColumn("event_type", F.lit(None).cast("string")), ["event_type"])
+    about = K2.estimates(types.unionByName(every), (0.5,)).select("event_type", "n", "about", F.col("q")[0].alias("m"))
+    both = e.select("event_type", "user_id", "value").unionByName(e.select(F.lit(None).cast("string").alias("event_type"), "user_id", "value"))
+    named = about.withColumnRenamed("event_type", "t")
+    ranked = both.join(named, both["event_type"].eqNullSafe(named["t"])).groupBy("event_type", "n", "about")
+    exact = ranked.agg(F.count_distinct("user_id").alias("users"), (F.count(F.when(F.col("value") <= F.col("m"), 1)) / F.count("value")).alias("upto"), (F.count(F.when(F.col("value") < F.col("m"), 1)) / F.count("value")).alias("below"))
+    return exact.select("event_type", "n", (F.abs(F.col("about") - F.col("users")) <= 0.06 * F.col("users")).alias("distinct_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"))
