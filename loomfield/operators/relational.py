@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomfield.operators.skew import carried, earlier, in_intervals, running_last, summaries
+from loomfield.operators.skew import carried, earlier, in_intervals, running_last, spread_join, summaries
 
 #: Hash buckets by which tables are compared.
 BUCKETS = 65_536
+#: A cell of one level has 2**BITS cells of the level below.
+BITS = 3
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
@@ -101,6 +103,58 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str,
     return points.withColumn("__cell", cell(at)).join(spread, [*by, "__cell"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__cell")
 
 
+def covering(a: Column, b: Column, levels: Column) -> Column:
+    """(level, cell) of the fewest aligned cells that together are the leaf cells a to b: short runs at both ends of each level, so some 2 * 2**BITS a level however long the range is."""
+    bits = lambda k: (k * BITS).cast("int")
+    up = lambda x, k: F.call_function("shiftright", x, bits(k))
+    first = lambda k: -up(-a, k)
+    last = lambda k: up(b + 1, k) - 1
+    cells = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    def at(k: Column) -> Column:
+        wide, lo, hi = k + 1, first(k), last(k)
+        left, right = first(wide) * 2**BITS, (last(wide) + 1) * 2**BITS
+        own = F.when(first(wide) > last(wide), cells(lo, hi)).otherwise(F.concat(cells(lo, left - 1), cells(right, hi)))
+        return F.transform(own, lambda c: F.struct(k.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(levels, at))
+
+
+def points_within(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float, by: tuple[str, ...] = (), after_start: bool = False) -> DataFrame:
+    """Points within [lo, hi] of a range (or (lo, hi], `after_start`), and equal in `by`, for ranges of any length.
+
+    A range goes to the aligned cells that make it up, a point to its cell on each level, of which there are
+    as many as the longest range needs, the logarithm of its length in `width`. A cell above the lowest level has
+    matches only. Cells with many points are parted by skew's rule, and their ranges go to each part.
+    """
+    leaf = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    ranges = ranges.where(F.col(lo) <= F.col(hi)).dropna(subset=list(by)) if by else ranges.where(F.col(lo) <= F.col(hi))
+    points = points.dropna(subset=[*by, at])
+    longest = ranges.agg(F.max(leaf(hi) - leaf(lo) + 1)).first()[0] or 1
+    levels = F.sequence(F.lit(0), F.lit((int(longest).bit_length() + BITS - 1) // BITS))
+    spread = ranges.withColumn("__at", F.explode(covering(leaf(lo), leaf(hi), levels))).select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
+    own = points.withColumn("__level", F.explode(levels)).withColumn("__cell", F.call_function("shiftright", leaf(at), F.col("__level") * BITS))
+    joined = spread_join(own, spread, [*by, "__level", "__cell"], points.columns)
+    start = F.col(at) > F.col(lo) if after_start else F.col(at) >= F.col(lo)
+    return joined.where(start & (F.col(at) <= F.col(hi))).drop("__level", "__cell")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, span: tuple[str, str], other: tuple[str, str], width: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a left and a right row, equal in `by`, whose ranges (`span` of the left, `other` of the right, numbers, ends included) share a point. `width` is about the length of a common range; it changes the time, not the result.
+
+    Of two ranges that overlap, one begins within the other: the left in the right, or the right after the left's
+    start within the left. Each pair comes once, from one of two joins of points with ranges. A range that ends before it begins, or
+    with a null end, and a null in `by` match nothing. Equal rows match each by itself. Columns apart from `by` must have different names.
+    """
+    clash = (set(left.columns) & set(right.columns)) - set(by)
+    if clash:
+        raise ValueError(f"columns of both tables: {sorted(clash)}")
+    left, right = left.where(F.col(span[0]) <= F.col(span[1])), right.where(F.col(other[0]) <= F.col(other[1]))
+    names = [*left.columns, *(c for c in right.columns if c not in by)]
+    inside = points_within(left, right, span[0], *other, width, by).select(names)
+    return inside.unionByName(points_within(right, left, other[0], *span, width, by, after_start=True).select(names))
+
+
 def preview(rows: DataFrame, order: list[str], n_rows: int = 32, n_cols: int = 4) -> DataFrame:
     """The first rows by `order`, and the first columns: for people to look at."""
     return rows.orderBy(*order).limit(n_rows).select(*rows.columns[:n_cols])

@@ -782,6 +782,16 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.range_join(errors, purchases, "at", "lo", "hi", float(width), ("user_id",)).select("purchase_id", "error_id")
 
 
+@query("WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY ALL), s AS (SELECT user_id, event_type, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY ALL) SELECT user_id, day, event_type FROM v JOIN s USING (user_id) WHERE v.lo <= s.hi AND s.lo <= v.hi")
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's days, from the first event to the last, with the spans, mostly of weeks, between the user's first and last event of each type."""
+    e = load(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("at").alias("day_lo"), F.max("at").alias("day_hi"))
+    spans = e.groupBy("user_id", "event_type").agg(F.min("at").alias("type_lo"), F.max("at").alias("type_hi"))
+    both = R.overlap_join(days, spans, ("day_lo", "day_hi"), ("type_lo", "type_hi"), 12 * 3600 * 1e6, ("user_id",))
+    return both.select("user_id", "day", "event_type")
+
+
 @query("SELECT 'broadcast' AS strategy, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'merge', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'shuffle_hash', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One join by three strategies; the lookup that is broadcast has a row for each nation."""
