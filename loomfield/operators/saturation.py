@@ -6,7 +6,7 @@ participant counts once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,3 +97,78 @@ def summary_mismatch(bullets: DataFrame, observations: DataFrame) -> DataFrame:
     """Insights that only the summary bullets or only the observations have."""
     a, b = bullets.select("insight").distinct().withColumn("in_summary", F.lit(True)), observations.select(F.trim("insight").alias("insight")).distinct().withColumn("in_matrix", F.lit(True))
     return a.join(b, "insight", "full_outer").where("in_summary IS NULL OR in_matrix IS NULL").select("insight", F.coalesce("in_summary", F.lit(False)).alias("in_summary"), F.coalesce("in_matrix", F.lit(False)).alias("in_matrix"))
+
+
+# --- the grid as bitmaps ---------------------------------------------------------------------------
+
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP = 32_768
+
+
+def bitmaps(observations: DataFrame) -> DataFrame:
+    """(insight, bucket, bits): who mentions an insight, a bit for each participant_ord, BITMAP orders a row. Bucket null: somebody without an order does.
+
+    The grid at a bit a cell, for buckets with a mark only; orders are whole numbers, and stand for the participants alone. Bitmaps of parts of the
+    observations are put together by `merge_bitmaps`. Observations without an insight are under a null insight, so that whoever has no other counts.
+    """
+    at = F.col("participant_ord").cast("bigint")
+    # the bit functions take a null for none, so a bucket of rows without an order has no bits
+    return observations.groupBy(F.trim("insight").alias("insight"), F.floor(at / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BITMAP))).alias("bits"))
+
+
+def merge_bitmaps(maps: DataFrame, *by: str) -> DataFrame:
+    """Bitmaps by fewer columns (`insight`, or none for everybody), or of several tables of them."""
+    return maps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def people_in(maps: DataFrame, *by: str) -> DataFrame:
+    """How many participants by `by`, those without an order as one."""
+    n = F.when(F.col("bucket").isNull(), F.lit(1).cast("bigint")).otherwise(F.bitmap_count("bits"))
+    return maps.groupBy(*by).agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n"))
+
+
+def byte_at(bits: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(bits, at.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def lowest(bits: Column) -> Column:
+    """The place of the lowest bit that is set, null for none."""
+    digits = F.hex(bits)
+    zeros = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+    byte = byte_at(bits, F.floor(zeros / 2))
+    return F.when(F.bitmap_count(bits) > 0, F.floor(zeros / 2) * 8 + F.bit_count(byte.bitwiseAND(-byte) - 1))
+
+
+def first_orders(maps: DataFrame) -> DataFrame:
+    """(insight, first_ord), from the lowest bit of an insight's lowest bucket; null if only participants without an order have it."""
+    return maps.where("insight IS NOT NULL").groupBy("insight").agg(F.min(F.col("bucket") * BITMAP + lowest(F.col("bits"))).alias("first_ord"))
+
+
+def marks_per_insight(maps: DataFrame) -> DataFrame:
+    """(insight, first_ord, new, repeat, absent): the row sums of the grid, without its cells. Everybody without an order is one participant."""
+    total = people_in(merge_bitmaps(maps)).select(F.col("n").alias("__all"))
+    named = maps.where("insight IS NOT NULL")
+    # one row, a number
+    each = people_in(named, "insight").join(first_orders(maps), "insight").join(F.broadcast(total))
+    return each.select("insight", "first_ord", F.lit(1).cast("bigint").alias("new"), (F.col("n") - 1).alias("repeat"), (F.col("__all") - F.col("n")).alias("absent"))
+
+
+def cells(maps: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(insight, participant_ord, mark): the grid's cells for the participants of order lo to hi, and no others. Equals `matrix` there.
+
+    An insight meets a bucket's participants by an equi-join on bucket and part, GRID_PARTS of them, as in `matrix`.
+    """
+    asked = range(lo // BITMAP, hi // BITMAP + 1)
+    of = maps.where(F.col("bucket").between(asked.start, asked.stop - 1))
+    places = F.filter(F.sequence(F.lit(0), F.lit(BITMAP - 1)), lambda p: F.call_function("shiftright", byte_at(F.col("bits"), F.floor(p / 8)), (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    part = F.pmod(F.xxhash64("insight"), F.lit(GRID_PARTS)).cast("int")
+    within = lambda ps: F.filter(ps, lambda p: (F.col("bucket") * BITMAP + p).between(lo, hi))
+    everybody = merge_bitmaps(of).select("bucket", within(places).alias("__people")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))))
+    every = first_orders(maps).withColumn("__part", part).withColumn("bucket", F.explode(F.sequence(F.lit(asked.start).cast("bigint"), F.lit(asked.stop - 1).cast("bigint"))))
+    own = of.select(F.col("insight").alias("__i"), F.col("bucket").alias("__b"), "bits")
+    grid = every.join(everybody, ["bucket", "__part"])
+    grid = grid.join(own, (grid["insight"] == own["__i"]) & (grid["bucket"] == own["__b"]), "left").select("insight", "bucket", "first_ord", "bits", F.explode("__people").alias("p"))
+    set_ = F.coalesce(F.call_function("shiftright", byte_at(F.col("bits"), F.floor(F.col("p") / 8)), (F.col("p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    order = F.col("bucket") * BITMAP + F.col("p")
+    mark = F.when(~set_, "ABSENT").when(order == F.col("first_ord"), "NEW").otherwise("REPEAT")
+    return grid.select("insight", order.cast("bigint").alias("participant_ord"), mark.alias("mark"))

@@ -63,6 +63,24 @@ def saturation_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAPS = "few AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 <> 2 THEN c_nationkey END AS p, CASE WHEN c_custkey % 10 <> 3 THEN c_mktsegment || ':' || CAST(CAST(floor(c_acctbal / 500) AS INTEGER) % 9 AS VARCHAR) END AS i FROM customer WHERE c_nationkey <> 4 OR c_custkey % 10 = 3), ff AS (SELECT i, min(p) AS f FROM few WHERE i IS NOT NULL GROUP BY i)"
 
 
+@query(f"WITH {OBS}, everybody AS (SELECT count(DISTINCT p) AS a FROM obs) SELECT i AS insight, min(p) AS first_ord, CAST(1 AS BIGINT) AS new, count(*) - 1 AS repeat, (SELECT a FROM everybody) - count(*) AS absent FROM obs GROUP BY i")
+def insight_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's row sums from bitmaps of users, written and read back, without its cells."""
+    from loomfield.shared import new_folder
+
+    folder = new_folder(spark, "bitmaps")
+    S.bitmaps(observations(spark, sf_dir)).write.parquet(f"{folder}/maps")
+    return S.marks_per_insight(spark.read.parquet(f"{folder}/maps"))
+
+
+@query(f"WITH {OBS}, people AS (SELECT DISTINCT p FROM obs) SELECT firsts.i AS insight, people.p AS participant_ord, CASE WHEN s.p IS NULL THEN 'ABSENT' WHEN s.p = firsts.f THEN 'NEW' ELSE 'REPEAT' END AS mark FROM firsts CROSS JOIN people LEFT JOIN obs s ON s.i = firsts.i AND s.p = people.p")
+def insight_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of the grid of users, from bitmaps; the range asked for is that of the users."""
+    o = observations(spark, sf_dir)
+    lo, hi = o.agg(F.min("participant_ord"), F.max("participant_ord")).first()
+    return S.cells(S.bitmaps(o), 0 if lo is None else lo, -1 if hi is None else hi)
+
+
 @query(f"WITH {GAPS}, people AS (SELECT DISTINCT p FROM few) SELECT ff.i AS insight, people.p AS participant_ord, CASE WHEN s.i IS NULL THEN 'ABSENT' WHEN s.p IS NOT DISTINCT FROM ff.f THEN 'NEW' ELSE 'REPEAT' END AS mark FROM ff CROSS JOIN people LEFT JOIN few s ON s.i = ff.i AND s.p IS NOT DISTINCT FROM people.p")
 def saturation_matrix_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations without a number, insights without a name, and a nation that has no other: all of them keep their place in the grid."""
